@@ -161,7 +161,7 @@ def allot(bits: np.ndarray, groups: list[list[int]], ones: np.ndarray, n: int, m
 
 
 def _flips(width: int, e: int) -> np.ndarray:
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), e)], np.int64)
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), e)], np.uint64).view(np.int64)
 
 
 def _keys(distinct: DataFrame, groups, ones, n, max_bits) -> DataFrame:
