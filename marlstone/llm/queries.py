@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, exact, mixing, quality, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,5 +34,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op5_simhash_near_dedup, op6_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL}
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document stands for each document, and the size of its group."""
+    return exact.judge(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op5_simhash_near_dedup, op6_byte_bpe, op8_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op8_exact_dedup": exact.SQL}
