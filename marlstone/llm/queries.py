@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, quality, simhash
+from . import bpe, exact, mixing, ngrams, quality, simhash, substrings
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 100 bytes which also start earlier cover."""
+    return substrings.digests(_docs(spark, sf_dir))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     got = simhash.near_groups(_docs(spark, sf_dir), shingle=3, max_bits=2)
@@ -39,5 +44,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.judge(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op5_simhash_near_dedup, op6_byte_bpe, op8_exact_dedup)}
-ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op8_exact_dedup": exact.SQL}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that runs of 13 words of an earlier document cover."""
+    return ngrams.remove_repeats(_docs(spark, sf_dir), digest=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_suffix_dedup, op5_simhash_near_dedup, op6_byte_bpe, op8_exact_dedup, op9_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op8_exact_dedup": exact.SQL, "op9_substring_dedup": ngrams.SQL}
