@@ -1,14 +1,14 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over word features (each word, and its first 4, 5 and 6 letters, which inflected languages need) is
+A logistic model over word features (each word, and its first letters as a stem, which inflected languages need) is
 fitted with a second penalty beside the usual one: in labelled sentences that name a group, the name is swapped for
 other names of its kind, and the squared change of the score's log-odds is penalised (Garg et al., "Counterfactual
 Fairness in Text Classification through Robustness", 2019). So a group's name cannot carry weight of its own, and
 neutral mentions are not taken for toxic ones.
 
 The fit sees a bounded sample of labelled rows: at most `max_rows`, those with the least hash of their id, so that
-the sample is the same on every run and small enough to broadcast. Features are chosen from it by the z-score of
-their log-odds. Everything else sees every row and its whole text; labels, languages, sources and ids are not inputs.
+the sample is the same on every run and small enough to broadcast. Features are chosen from it by how many
+standard errors lie between their shares of toxic and of other rows, `least_z` at least. Everything else sees every row and its whole text; labels, languages, sources and ids are not inputs.
 
 Nulls: a null text is empty and scores as the intercept; rows without label or id are not used for fitting; of
 repeated labels of one id the highest counts. Without labels of both classes the score is the share of toxic ones
@@ -41,8 +41,12 @@ _SENTENCE = regex.compile(r"[^.!?\n]+")
 REMEMBER = 300_000
 
 
+#: Letters of the stems that, when more letters follow, are features beside the word itself.
+STEMS = (4, 5, 6, 7, 8)
+
+
 def features(word: str) -> list[str]:
-    return [f"={word}", *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
+    return [f"={word}", *(f"{word[:n]}+" for n in STEMS if len(word) > n)]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -92,7 +96,7 @@ def swaps(text: str, identities: Sequence[Sequence[str]], most: int = 4) -> list
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, l2: float, counterfactual: float, rounds: int = 400) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, l2: float, counterfactual: float, rounds: int = 1000) -> np.ndarray:
     """Weights, the intercept last: accelerated gradient descent on the mean log-loss, plus l2 / 2 * |w|^2 and
     counterfactual / 2 * mean (pairs . w)^2, where a row of `pairs` is the difference of two feature vectors."""
     n, k = x.shape
@@ -124,7 +128,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, l2: float, cou
 
 def train(
     docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000, max_pairs: int = 20_000,
-    l2: float = 1e-4, counterfactual: float = 10.0, identities: Sequence[Sequence[str]] = IDENTITIES,
+    least_z: float = 5.0, l2: float = 1e-5, counterfactual: float = 10.0, identities: Sequence[Sequence[str]] = IDENTITIES,
 ) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): all label rows given may be used, so leave held-out ones away."""
     spark = docs.sparkSession
@@ -145,10 +149,11 @@ def train(
     if not 0 < bad < total:
         rate = min(max(bad / total if total else 0.0, 1e-12), 1 - 1e-12)
         return Model({}, float(np.log(rate / (1 - rate))))
-    a, c = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
-    odds = F.log(a / (F.lit(bad + 1.0) - a)) - F.log(c / (F.lit(total - bad + 1.0) - c))
+    # how far apart the shares of toxic and of other rows with the feature are, in standard errors
+    share, a, c = F.col("n") / total, F.col("a") / bad, (F.col("n") - F.col("a")) / (total - bad)
+    z = F.abs(a - c) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / bad + 1 / (total - bad)))
     counts = sample.mapInArrow(tokens, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).where("n >= 4")
-    chosen = [r[0] for r in counts.select("feature", (F.abs(odds) / F.sqrt(1 / a + 1 / c)).alias("z")).orderBy(F.desc("z"), "feature").limit(max_features).collect()]
+    chosen = [r[0] for r in counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()]
     index = {f: k for k, f in enumerate(chosen)}
     reader = Model(dict.fromkeys(chosen, 0.0), 0.0)
 
