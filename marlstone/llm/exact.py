@@ -1,9 +1,10 @@
 """Exact duplicates by distributed radix partitioning, most significant bytes first.
 
 Texts are equal if they are once ASCII white space is deleted. A round splits every open group by its texts' next
-bytes: rows are counted by (group, bytes, whether more bytes follow), with a map-side combine. A part of one row is
-settled as unique, a part whose texts have ended is settled as equal, and the others are the groups of the next round,
-whose slice is 16 times as long. So each byte is moved once at most, unique texts leave after a few dozen bytes, and
+bytes. Only rows of open groups send any, as a filter of fixed size tells each scan which they are. Rows are counted by
+(group, bytes, whether more bytes follow), with a map-side combine. A part of one row is settled as unique, a part
+whose texts have ended is settled as equal, and the others are the groups of the next round, whose slice is 16 times
+as long. So each byte is moved once at most, unique texts leave after a few dozen bytes, and
 equality is decided by the bytes themselves. No group is gathered: a part is known by its least row, and the rows find
 their part's count by a join that adaptive execution splits where it is skewed.
 
@@ -14,19 +15,20 @@ together; a hash of the text only tells rows that repeat an id apart. Other colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, cut, row_hash
+from ._common import BLANKS, cut, drop, row_hash, ship
 
 FIRST, TIMES = 64, 16
-
-
-def normalised(text: Column) -> Column:
-    out = F.coalesce(text.cast("string"), F.lit(""))
-    for c in BLANKS:
-        out = F.replace(out, F.lit(c), F.lit(""))
-    return out.cast("binary")
+#: Bits of the filter of open rows, which is broadcast: 4 MB. A full one lets all rows pass, and the join decides.
+FILTER = 1 << 25
+_BLANKS = BLANKS.encode()
+_INNER = bytes(range(128, 192))  # bytes inside a code point
 
 
 def _on(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -35,13 +37,68 @@ def _on(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, a["doc_id"].eqNullSafe(b["_id"]) & (a["rid"] == b["_rid"]), how).drop("_id", "_rid")
 
 
-def settle(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, keep_id, group_size) of the rows that have an equal row; one row for repeated rows."""
-    base = docs.select("doc_id", row_hash(F.col("text")).alias("rid"), F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), normalised(F.col("text")).alias("norm"))
-    at, wide, groups, done = 0, FIRST, None, None
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u = key.view(np.uint64)
+    return (u % np.uint64(FILTER)).astype(np.int64), ((u >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(FILTER)).astype(np.int64)
+
+
+def _filter(open_rows: DataFrame) -> np.ndarray:
+    """A bit map in which both places of each open row's hash are set; made of FILTER / 64 words at most."""
+
+    def run(batches):
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    words = open_rows.select(F.xxhash64("doc_id", "rid")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _parts(docs: DataFrame, at: int, wide: int, open_rows: DataFrame | None) -> DataFrame:
+    """(doc_id, rid, chars, part, more) of the rows that may be open, and sha256 where open_rows is not given."""
+    spark = docs.sparkSession
+    ship(spark)
+    held = None if open_rows is None else spark.sparkContext.broadcast(_filter(open_rows))
+
+    def run(batches):
+        for b in batches:
+            if held is not None:
+                x, y = _places(b.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+                bits, one = held.value, np.uint64(1)
+                hit = (bits[x >> 6] >> (x & 63).astype(np.uint64)) & (bits[y >> 6] >> (y & 63).astype(np.uint64)) & one
+                b = b.filter(pa.array(hit == one))
+            chars, part, more, digest = [], [], [], []
+            for t in b.column(3):
+                raw = t.as_py()
+                norm = raw.translate(None, _BLANKS)
+                chars.append(len(raw.translate(None, _INNER)))
+                part.append(norm[at : at + wide])
+                more.append(len(norm) > at + wide)
+                if held is None:
+                    digest.append(hashlib.sha256(norm).hexdigest())
+            cols = [b.column(0), b.column(1), pa.array(chars, pa.int64()), pa.array(part, pa.binary()), pa.array(more, pa.bool_()), pa.array(digest if held is None else [""] * len(part), pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "chars", "part", "more", "text_sha256"])
+
+    rid = row_hash(F.col("text"))
+    src = docs.select("doc_id", rid.alias("rid"), F.xxhash64("doc_id", rid).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
+    kinds = src.select("doc_id", "rid", F.lit(0).cast("long").alias("chars"), F.col("data").alias("part"), F.lit(True).alias("more"), F.lit("").alias("text_sha256"))
+    return src.mapInArrow(run, kinds.schema)
+
+
+def settle(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, text_sha256) of every row, and (doc_id, rid, keep_id, group_size) of those that have an equal
+    row; in the second, one row for repeated rows."""
+    id_type = docs.schema["doc_id"].dataType
+    at, wide, groups, done, base = 0, FIRST, None, None, None
     while True:
-        rows = base.select("doc_id", "rid", "chars", F.substring("norm", at + 1, wide).alias("part"), (F.octet_length("norm") > at + wide).alias("more"))
-        rows = rows.select("*", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("g_id"), F.lit(0).cast("long").alias("g_rid")) if groups is None else _on(rows, groups, "inner")
+        rows = _parts(docs, at, wide, groups)
+        if groups is None:
+            base = cut(rows)
+            rows = base.drop("text_sha256").select("*", F.lit(None).cast(id_type).alias("g_id"), F.lit(0).cast("long").alias("g_rid"))
+        else:
+            rows = cut(_on(rows.drop("text_sha256"), groups, "inner"))
         least = rows.groupBy("g_id", "g_rid", "part", "more").agg(
             F.count("*").alias("group_size"), F.min(F.struct("doc_id", "rid")).alias("g"), F.min(F.struct((-F.col("chars")).alias("n"), "doc_id")).alias("best")
         )
@@ -50,16 +107,18 @@ def settle(docs: DataFrame) -> DataFrame:
         now = cut(met.select("doc_id", "rid", "more", F.col("g.doc_id").alias("g_id"), F.col("g.rid").alias("g_rid"), F.col("best.doc_id").alias("keep_id"), "group_size").distinct())
         ended = now.where("not more").select("doc_id", "rid", "keep_id", "group_size")
         done = ended if done is None else done.unionByName(ended)
+        if groups is not None:
+            drop(rows)
         groups = now.where("more").select("doc_id", "rid", "g_id", "g_rid")
         if groups.isEmpty():
-            return done
+            return base.select("doc_id", "rid", "text_sha256"), done
         at, wide = at + wide, wide * TIMES
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row; the digest is of the normalised text."""
-    rows = docs.select("doc_id", row_hash(F.col("text")).alias("rid"), F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-    found = _on(rows, settle(docs), "left")
+    rows, equal = settle(docs)
+    found = _on(rows, equal, "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
 
@@ -67,7 +126,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_hash(F.col("text")).alias("rid"))
-    gone = settle(docs).where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "rid")
+    gone = settle(docs)[1].where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "rid")
     return _on(rows, gone, "left_anti").select("row.*")
 
 
