@@ -142,7 +142,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, smooth: flo
         prior = (w[1].sum() + smooth) / (counts.sum() + 2 * smooth)
         logs = np.einsum("pjv,jcv->pc", hot, np.log(vote)) + np.log([1 - prior, prior])
         q = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -700, 700)))
-        if was is not None and np.abs(q - was).max() < 1e-9:
+        if was is not None and np.abs(q - was).max(initial=0) < 1e-9:
             break
         was = q
     return Fit(float(prior), vote)
