@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, lines, mixing, quality, simhash
 from marlstone.llm._common import cut
@@ -38,9 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256); ids are packed little-endian 32-bit integers."""
-    tokens = bpe.read_ranks(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, tokens, public_tokenizers.PATTERN), tokens)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
 
 
 STAGES = [

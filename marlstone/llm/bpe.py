@@ -13,6 +13,7 @@ ids are each returned; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 from ._common import ship
 
 #: Remembered matches for each Python worker.
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: Bytes of text whose matches are merged together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 WIDEST = 64
 _NONE = np.int64(1) << 60
 
@@ -241,12 +242,29 @@ def decode(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     return src.mapInArrow(run, src.select("doc_id", "ids", F.lit(b"").alias("bytes")).schema)
 
 
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): encode() and decode() in one pass, so that each task has one
+    Python worker and the decoded bytes never leave it."""
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(tokens)
+    names = ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+    def run(batches):
+        codec = _codec(held, pattern)
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                ids = codec.encode_all(part.column(1).to_pylist())
+                own = pa.array([hashlib.sha256(x).hexdigest() for x in ids])
+                back = pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), own, back], names)
+
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kinds = src.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(b"").alias("ids"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
+    return src.mapInArrow(run, kinds.schema)
+
+
 def digests(docs: DataFrame, tokens: list[bytes], pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the round trip of every text, as digests."""
-    both = decode(encode(docs, tokens, pattern), tokens)
-    return both.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+    return round_trip(docs, tokens, pattern).drop("ids")
