@@ -12,6 +12,7 @@ from ..functions import market as m
 from ..operators import events as ev
 from ..operators.align import asof, asof_clipped, each_listing, tick_index, trade_clock
 from ..operators.ema import alpha, ewm, held, kernel, mean
+from ..sources.staging import staged
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Market:
     reads: DataFrame
     yard_span: float = 60
     inverted: frozenset[str] = field(default_factory=frozenset)
+    _yards: dict = field(default_factory=dict, repr=False)
 
     @property
     def others(self) -> list[str]:
@@ -32,20 +34,20 @@ class Market:
 
     @cached_property
     def clock(self) -> DataFrame:
-        return trade_clock(self.trade)
+        return staged(trade_clock(self.trade))
 
     @cached_property
     def at_reads(self) -> DataFrame:
         """(t, c): reads with their number of ticks."""
-        return tick_index(self.reads, self.clock, "t", "c")
+        return staged(tick_index(self.reads, self.clock, "t", "c"))
 
     @cached_property
     def mids(self) -> DataFrame:
-        return ev.mids(self.book)
+        return staged(ev.mids(self.book))
 
     @cached_property
     def moves(self) -> DataFrame:
-        return tick_index(ev.mid_moves(self.mids), self.clock, "rx", "k", before=True)
+        return staged(tick_index(ev.mid_moves(self.mids), self.clock, "rx", "k", before=True))
 
     @cached_property
     def gaps(self) -> DataFrame:
@@ -96,15 +98,20 @@ class Market:
 
     def sigma(self, span: float | None = None, name: str = "sigma") -> DataFrame:
         """(listing, t, sigma): root mean square of a listing's own moves; null until it has moved."""
-        out = self.flow_mean(self.moves, F.col("d") * F.col("d"), span or self.yard_span, name)
-        return out.withColumn(name, F.sqrt(name))
+        key = "sigma", span or self.yard_span
+        if key not in self._yards:
+            out = self.flow_mean(self.moves, F.col("d") * F.col("d"), key[1], "v")
+            self._yards[key] = staged(out.withColumn("v", F.sqrt("v")))
+        return self._yards[key].withColumnRenamed("v", name)
 
     def lam(self, span: float | None = None, name: str = "lam") -> DataFrame:
         """(listing, t, lam): a listing's own moves per second; null until the clock has run."""
-        span = span or self.yard_span
-        w = self.flow(self.moves, {"w": F.lit(1.0)}, span)
-        dt = self.committed(self.gaps, {"dt": F.col("dt")}, span, ())
-        return w.join(dt, "t").select("listing", "t", F.when(F.col("dt") > 0, F.col("w") / F.col("dt")).alias(name))
+        key = "lam", span or self.yard_span
+        if key not in self._yards:
+            w = self.flow(self.moves, {"w": F.lit(1.0)}, key[1])
+            dt = self.committed(self.gaps, {"dt": F.col("dt")}, key[1], ())
+            self._yards[key] = staged(w.join(dt, "t").select("listing", "t", F.when(F.col("dt") > 0, F.col("w") / F.col("dt")).alias("v")))
+        return self._yards[key].withColumnRenamed("v", name)
 
     def of_target(self, df: DataFrame) -> DataFrame:
         """The target's rows, without listing."""

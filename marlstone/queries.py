@@ -38,9 +38,9 @@ def query(name: str, sql: str | None = None):
 
 def market(spark: SparkSession, sf_dir: str) -> Market:
     """All listings, read every hour from the 101st tick on."""
-    book, trade = src.books(spark, sf_dir), src.trades(spark, sf_dir)
-    grid = align.uniform_grid(align.trade_clock(trade), 100, HOUR, HOUR)
-    return Market(book, trade, LISTINGS, "byb", grid, YARD)
+    mk = Market(src.books(spark, sf_dir), src.trades(spark, sf_dir), LISTINGS, "byb", None, YARD)
+    mk.reads = align.uniform_grid(mk.clock, 100, HOUR, HOUR)
+    return mk
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -462,3 +462,563 @@ def k_momentum_scale(spark, d):
     mk = market(spark, d)
     v = mk.of_target(features.get("m_price_momentum").build(mk, FAST)).join(mk.of_target(mk.sigma()), "t").where("sigma > 0").withColumn("level", F.log("sigma"))
     return _rounded(features.scale_spread(v, "level", "value"), 4)
+
+
+# dataset columns: steps of a minute, columns of byb and others
+
+from .plans.dataset import Column, Dataset  # noqa: E402
+from .plans.outcomes import outcomes  # noqa: E402
+
+
+def dataset(spark: SparkSession, sf_dir: str, mask: str = "both") -> Dataset:
+    book, trade = src.books(spark, sf_dir), src.trades(spark, sf_dir)
+    low, high = book.agg(F.floor(F.min("rx") / MINUTE) + 1, F.floor(F.max("rx") / MINUTE)).first()
+    return Dataset(book, trade, LISTINGS, "byb", MINUTE, low, high, mask, 5e-4, {"byb": 100.0, "bin": 100.0, "okx": 100.0}, 50)
+
+
+_DATA = f"""
+lo AS (SELECT min(rx) // {MINUTE} + 1 AS a, max(rx) // {MINUTE} AS b FROM book),
+st AS (SELECT t, t * {MINUTE} AS q FROM (SELECT rx // {MINUTE} AS t FROM book WHERE listing = 'byb' UNION SELECT rx // {MINUTE} FROM trade WHERE listing = 'byb'), lo WHERE t BETWEEN a AND b),
+micro AS (SELECT *, (bid_qty * ask_prc + ask_qty * bid_prc) / (bid_qty + ask_qty) AS mp, bid_qty + ask_qty AS dep, (bid_qty - ask_qty) / (bid_qty + ask_qty) AS imb, (bid_prc + ask_prc) / 2 AS mid FROM book),
+bs AS (SELECT *, row_number() OVER w AS n, CASE WHEN (ask_prc - bid_prc) / mp > 0.0005 THEN 1.0 ELSE 0.0 END::DOUBLE AS wide, coalesce(abs(ln(mp / lag(mp) OVER w)), 0) AS alr,
+  coalesce((CASE WHEN bid_prc >= lag(bid_prc) OVER w THEN bid_qty ELSE 0 END) - (CASE WHEN bid_prc <= lag(bid_prc) OVER w THEN lag(bid_qty) OVER w ELSE 0 END) - (CASE WHEN ask_prc <= lag(ask_prc) OVER w THEN ask_qty ELSE 0 END) + (CASE WHEN ask_prc >= lag(ask_prc) OVER w THEN lag(ask_qty) OVER w ELSE 0 END), 0)
+  * CASE WHEN lag(bid_prc) OVER w IS NULL THEN 0 ELSE 1 END AS o FROM micro WINDOW w AS (PARTITION BY listing ORDER BY rx)),
+ts AS (SELECT *, row_number() OVER w AS n, CASE WHEN aggressor = 'Bid' THEN qty ELSE 0 END AS bq, CASE WHEN aggressor = 'Bid' THEN 0 ELSE qty END AS sq, CASE WHEN aggressor = 'Bid' THEN qty * prc ELSE 0 END AS bv, CASE WHEN aggressor = 'Bid' THEN 0 ELSE qty * prc END AS sv,
+  coalesce((prc - lag(prc) OVER w) * (lag(prc) OVER w - lag(prc, 2) OVER w), 0) AS cov FROM trade WINDOW w AS (PARTITION BY listing ORDER BY rx)),
+tk AS (SELECT listing, rx, n FROM ts),
+dense AS (SELECT l.listing, x.t, x.t - a + 1 AS n, x.t * {MINUTE} AS q FROM (SELECT unnest(range(a, b + 1)) AS t, a FROM lo) x CROSS JOIN ls l),
+dm AS (SELECT d.listing, d.t, d.n, m.mp, m.mid FROM dense d ASOF LEFT JOIN micro m ON d.listing = m.listing AND d.q >= m.rx)
+"""
+
+
+def _at(src_: str, *cols: tuple[str, str]) -> str:
+    """Columns of a stream as of each step; 0 before its first row."""
+    return f"SELECT s.t, {', '.join(f'coalesce(round({e}, 6), 0) + 0.0::DOUBLE AS \"{n}\"' for n, e in cols)} FROM st s ASOF LEFT JOIN {src_} x ON s.q >= x.rx"
+
+
+def _at5(src_: str, *cols: tuple[str, str]) -> str:
+    return _at(src_, *cols).replace(", 6)", ", 5)")
+
+
+def _of(src_: str, listing: str) -> str:
+    return f"(SELECT * FROM {src_} WHERE listing = '{listing}')"
+
+
+def columns(name: str, asked: list[Column], select: str, *ctes: str) -> None:
+    def run(spark, d):
+        return _rounded(dataset(spark, d).build(asked, single=False), 5 if name == "f_dt_events" else 6)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = o.sql(select, _DATA, *ctes)
+
+
+_ME = ["byb"]
+columns("f_state", [Column(f"{{LISTING}}_{x}", _ME) for x in ("microprice", "spread_width", "book_depth", "book_imbalance", "spread_wide_flag")],
+        _at(_of("bs", "byb"), ("byb_microprice", "mp"), ("byb_spread_width", "(ask_prc - bid_prc) / mp"), ("byb_book_depth", "dep"), ("byb_book_imbalance", "imb"), ("byb_spread_wide_flag", "wide")))
+columns("f_since", [Column("{LISTING}_time_since_last_trade_ms", _ME), Column("{LISTING}_time_since_spread_wide_ms", _ME), Column("{LISTING}_feed_latency_excess_ms", _ME)],
+        "SELECT a.t, byb_time_since_last_trade_ms, byb_time_since_spread_wide_ms, byb_feed_latency_excess_ms FROM a JOIN b ON a.t = b.t JOIN c ON a.t = c.t",
+        f"a AS ({_at(_of('ts', 'byb'), ('byb_time_since_last_trade_ms', f'(s.q - x.rx) / {MINUTE}::DOUBLE'))})", f"b AS ({_at('(SELECT * FROM bs WHERE wide > 0 AND listing = ' + chr(39) + 'byb' + chr(39) + ')', ('byb_time_since_spread_wide_ms', f'(s.q - x.rx) / {MINUTE}::DOUBLE'))})",
+        f"lx AS (SELECT rx, listing, rx - exchange_time - min(rx - exchange_time) OVER (PARTITION BY listing ORDER BY rx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS e FROM book)", f"c AS ({_at(_of('lx', 'byb'), ('byb_feed_latency_excess_ms', f'e / {MINUTE}::DOUBLE'))})")
+columns("f_flow", [Column("{LISTING}_buy_trade_value", _ME), Column("{LISTING}_sell_trade_value", ["okx"])],
+        f"SELECT s.t, coalesce(round((SELECT sum(bv) FROM ts WHERE listing = 'byb' AND rx > s.q - {MINUTE} AND rx <= s.q), 6), 0) AS byb_buy_trade_value, coalesce(round((SELECT sum(sv) FROM ts WHERE listing = 'okx' AND rx > s.q - {MINUTE} AND rx <= s.q), 6), 0) AS okx_sell_trade_value FROM st s")
+columns("f_dt_events", [Column("{LISTING}_dt_{N}b", _ME, [1, 5]), Column("{LISTING}_dt_{N}t", _ME, [3]), Column("{LISTING}_dt_{N}m", ["bin"], [4])],
+        "SELECT a.t, byb_dt_1b, byb_dt_5b, byb_dt_3t, bin_dt_4m FROM a JOIN b ON a.t = b.t JOIN c ON a.t = c.t",
+        f"a AS ({_at5(f'(SELECT rx, (rx - lag(rx, 1) OVER (ORDER BY rx)) / {MINUTE}::DOUBLE AS d1, (rx - lag(rx, 5) OVER (ORDER BY rx)) / {MINUTE}::DOUBLE AS d5 FROM bs WHERE listing = {chr(39)}byb{chr(39)})', ('byb_dt_1b', 'd1'), ('byb_dt_5b', 'd5'))})",
+        f"b AS ({_at5(f'(SELECT rx, (rx - lag(rx, 3) OVER (ORDER BY rx)) / {MINUTE}::DOUBLE AS d3 FROM ts WHERE listing = {chr(39)}byb{chr(39)})', ('byb_dt_3t', 'd3'))})",
+        f"c AS ({_at5(f'(SELECT rx, (rx - lag(rx, 4) OVER (ORDER BY rx)) / {MINUTE}::DOUBLE AS d4 FROM moves WHERE listing = {chr(39)}bin{chr(39)})', ('bin_dt_4m', 'd4'))})")
+columns("f_trade_count", [Column("{LISTING}_trade_count_{N}ms", ["byb", "bin"], [600])],
+        f"SELECT s.t, (SELECT count(*) FROM ts WHERE listing = 'byb' AND rx > s.q - 600 * {MINUTE} AND rx <= s.q)::DOUBLE AS byb_trade_count_600ms, (SELECT count(*) FROM ts WHERE listing = 'bin' AND rx > s.q - 600 * {MINUTE} AND rx <= s.q)::DOUBLE AS bin_trade_count_600ms FROM st s")
+columns("f_return_ms", [Column("{LISTING}_return_{N}ms", _ME, [30, 240])],
+        "SELECT s.t, " + ", ".join(f"CASE WHEN d.n > {k} AND d.mp > 0 AND p{k}.mp > 0 THEN round(ln(d.mp) - ln(p{k}.mp), 6) + 0.0::DOUBLE ELSE 0 END AS byb_return_{k}ms" for k in (30, 240)) + " FROM st s JOIN dm d ON d.t = s.t AND d.listing = 'byb' " + " ".join(f"LEFT JOIN dm p{k} ON p{k}.t = s.t - {k} AND p{k}.listing = 'byb'" for k in (30, 240)))
+
+
+def _steps(name: str, span: int, expr: str, source: str = "dm", listing: str = "byb") -> str:
+    """An average over every step, in blocks: long grids would overflow a single power."""
+    a, dd = repr(ema.alpha(span)), repr(1 - ema.alpha(span))
+    block = 50 * span
+    return f"""{name}_x AS (SELECT t, n, (n - 1) // {block} AS b, (n - 1) % {block} AS p, ({expr})::DOUBLE AS x FROM {source} WHERE listing = '{listing}'),
+{name}_s AS (SELECT b + 1 AS b, sum(x * pow({dd}::DOUBLE, {block - 1} - p)) AS s FROM {name}_x GROUP BY b),
+{name} AS (SELECT x.t, {a}::DOUBLE * (pow({dd}::DOUBLE, p) * sum(x * pow({dd}::DOUBLE, -p)) OVER (PARTITION BY x.b ORDER BY p) + coalesce(s.s, 0) * pow({dd}::DOUBLE, p + 1)) AS y FROM {name}_x x LEFT JOIN {name}_s s ON s.b = x.b)"""
+
+
+def _step_columns(**named: str) -> str:
+    return "SELECT s.t, " + ", ".join(f'round({c}.y, 6) + 0.0::DOUBLE AS "{n}"' for n, c in named.items()) + " FROM st s " + " ".join(f"JOIN {c} ON {c}.t = s.t" for c in named.values())
+
+
+columns("f_ema_microprice_ms", [Column("{LISTING}_ema_microprice_centered_{N}ms", _ME, [60]), Column("{LISTING}_ema_microprice_centered_sq_{N}ms", _ME, [60])],
+        _step_columns(byb_ema_microprice_centered_60ms="c", byb_ema_microprice_centered_sq_60ms="q"), _steps("c", 60, "coalesce(mp - 100, 0)"), _steps("q", 60, "coalesce((mp - 100) * (mp - 100), 0)"))
+columns("f_ema_return_sq_ms", [Column("{LISTING}_ema_microprice_return_sq_{N}ms", _ME, [60])], _step_columns(byb_ema_microprice_return_sq_60ms="c"),
+        "dr AS (SELECT *, coalesce(pow(ln(mp / lag(mp) OVER (PARTITION BY listing ORDER BY n)), 2), 0) AS r FROM dm)", _steps("c", 60, "r", "dr"))
+columns("f_ema_trade_value_ms", [Column("{LISTING}_ema_buy_trade_value_{N}ms", _ME, [60]), Column("{LISTING}_ema_sell_trade_value_{N}ms", _ME, [60])],
+        _step_columns(byb_ema_buy_trade_value_60ms="c", byb_ema_sell_trade_value_60ms="q"),
+        f"tv AS (SELECT d.listing, d.t, d.n, coalesce(v.bv, 0) AS bv, coalesce(v.sv, 0) AS sv FROM dense d LEFT JOIN (SELECT listing, (rx + {MINUTE - 1}) // {MINUTE} AS t, sum(bv) AS bv, sum(sv) AS sv FROM ts GROUP BY ALL) v ON v.listing = d.listing AND v.t = d.t)", _steps("c", 60, "bv", "tv"), _steps("q", 60, "sv", "tv"))
+columns("f_cross_ratio_ms", [Column("{LISTING1}_{LISTING2}_ema_log_microprice_ratio_{N}ms", pairs=[("byb", "bin")], spans=[60]), Column("{LISTING1}_{LISTING2}_ema_log_microprice_ratio_sq_{N}ms", pairs=[("byb", "bin")], spans=[60])],
+        _step_columns(byb_bin_ema_log_microprice_ratio_60ms="c", byb_bin_ema_log_microprice_ratio_sq_60ms="q"),
+        "lr AS (SELECT a.listing, a.t, a.n, coalesce(ln(a.mp / b.mp), 0) AS r FROM dm a JOIN dm b ON a.t = b.t AND b.listing = 'bin' WHERE a.listing = 'byb')", _steps("c", 60, "r", "lr"), _steps("q", 60, "r * r", "lr"))
+columns("f_ema_book_b", [Column(f"{{LISTING}}_{x}", _ME, [FAST]) for x in ("ema_ofi_{N}b", "ema_ofi_sq_{N}b", "ema_abs_log_ret_{N}b", "ema_book_imbalance_{N}b", "ema_book_imbalance_sq_{N}b", "ema_book_depth_{N}b", "ema_book_depth_sq_{N}b", "ema_spread_wide_flag_{N}b")],
+        _at("e", ("byb_ema_ofi_20b", "y1"), ("byb_ema_ofi_sq_20b", "y2"), ("byb_ema_abs_log_ret_20b", "y3"), ("byb_ema_book_imbalance_20b", "y4"), ("byb_ema_book_imbalance_sq_20b", "y5"), ("byb_ema_book_depth_20b", "y6"), ("byb_ema_book_depth_sq_20b", "y7"), ("byb_ema_spread_wide_flag_20b", "y8")),
+        o.ewm("e", _of("bs", "byb"), FAST, y1="o", y2="o * o", y3="alr", y4="imb", y5="imb * imb", y6="dep", y7="dep * dep", y8="wide"))
+columns("f_ema_trade_t", [Column(f"{{LISTING}}_{x}", _ME, [FAST]) for x in ("ema_buy_trade_qty_{N}t", "ema_sell_trade_qty_{N}t", "ema_buy_trade_value_{N}t", "ema_sell_trade_value_{N}t", "ema_trade_serial_cov_{N}t")],
+        _at("e", ("byb_ema_buy_trade_qty_20t", "y1"), ("byb_ema_sell_trade_qty_20t", "y2"), ("byb_ema_buy_trade_value_20t", "y3"), ("byb_ema_sell_trade_value_20t", "y4"), ("byb_ema_trade_serial_cov_20t", "y5")),
+        o.ewm("e", _of("ts", "byb"), FAST, y1="bq", y2="sq", y3="bv", y4="sv", y5="cov"))
+
+
+def _interval(name: str, source: str, clock: str, **sums: str) -> str:
+    """Sums of byb's events since the tick before, at every tick of a listing's trades."""
+    s = ", ".join(f"sum({e}) AS {n}" for n, e in sums.items())
+    c = ", ".join(f"coalesce(v.{n}, 0) AS {n}" for n in sums)
+    return f"{name} AS (SELECT k.listing, k.rx, k.n, {c} FROM {_of('tk', clock)} k LEFT JOIN (SELECT c.n, {s} FROM {_of(source, 'byb')} e ASOF JOIN {_of('tk', clock)} c ON e.rx <= c.rx GROUP BY ALL) v ON v.n = k.n)"
+
+
+columns("f_ema_trade_clock", [Column(f"{{LISTING}}_{x}@{{CLOCK}}", _ME, [FAST], ["trades_bin"]) for x in ("ema_buy_trade_qty_{N}t", "ema_sell_trade_qty_{N}t", "ema_buy_trade_value_{N}t", "ema_sell_trade_value_{N}t", "ema_trade_serial_cov_{N}t")],
+        _at("e", *((f"byb_ema_{x}_20t@trades_bin", f"y{k}") for k, x in enumerate(("buy_trade_qty", "sell_trade_qty", "buy_trade_value", "sell_trade_value", "trade_serial_cov")))),
+        _interval("iv", "ts", "bin", a="bq", b="sq", c="bv", d="sv", e="cov"), o.ewm("e", "iv", FAST, y0="a", y1="b", y2="c", y3="d", y4="e"))
+for _name, _clock, _tag in (("f_flow_t", "byb", ""), ("f_flow_clock", "bin", "@trades_bin")):
+    columns(_name, [Column(f"{{LISTING}}_{x}" + "@{CLOCK}" * bool(_tag), _ME, [FAST], ["trades_bin"] * bool(_tag)) for x in ("ema_ofi_{N}t", "ema_ofi_sq_{N}t", "ema_abs_log_ret_{N}t")],
+            _at("e", (f"byb_ema_ofi_20t{_tag}", "y0"), (f"byb_ema_ofi_sq_20t{_tag}", "y1"), (f"byb_ema_abs_log_ret_20t{_tag}", "y2")), _interval("iv", "bs", _clock, a="o", b="o * o", c="alr"), o.ewm("e", "iv", FAST, y0="a", y1="b", y2="c"))
+_LEVELS = ("ema_book_imbalance_{N}t", "ema_book_imbalance_sq_{N}t", "ema_book_depth_{N}t", "ema_book_depth_sq_{N}t", "ema_spread_wide_flag_{N}t", "ema_microprice_centered_{N}t", "ema_microprice_centered_sq_{N}t")
+for _name, _clock, _tag in (("f_level_t", "byb", ""), ("f_level_clock", "bin", "@trades_bin")):
+    columns(_name, [Column(f"{{LISTING}}_{x}" + "@{CLOCK}" * bool(_tag), _ME, [FAST], ["trades_bin"] * bool(_tag)) for x in _LEVELS],
+            _at("e", *((f"byb_{x.replace('{N}', '20')}{_tag}", f"y{k}") for k, x in enumerate(_LEVELS))),
+            f"lv AS (SELECT k.listing, k.rx, k.n, coalesce(b.imb, 0) AS i, coalesce(b.dep, 0) AS q, coalesce(b.wide, 0) AS w, coalesce(b.mp - 100, 0) AS m FROM {_of('tk', _clock)} k ASOF LEFT JOIN {_of('bs', 'byb')} b ON k.rx >= b.rx)",
+            o.ewm("e", "lv", FAST, y0="i", y1="i * i", y2="q", y3="q * q", y4="w", y5="m", y6="m * m"))
+for _name, _clock, _tag in (("f_vol_t", "byb", ""), ("f_vol_clock", "bin", "@trades_bin")):
+    columns(_name, [Column("{LISTING}_vol_{N}t" + "@{CLOCK}" * bool(_tag), _ME, [FAST], ["trades_bin"] * bool(_tag))], _at("e2", (f"byb_vol_20t{_tag}", "y")),
+            f"ck AS (SELECT rx, row_number() OVER (ORDER BY rx) AS n FROM {_of('tk', _clock)}, lo WHERE rx BETWEEN a * {MINUTE} AND b * {MINUTE})",
+            f"rv AS (SELECT t * {MINUTE} AS rx, pow(ln(mid / lag(mid) OVER (ORDER BY n)), 2) AS r FROM dm WHERE listing = 'byb')",
+            "iv AS (SELECT 'byb' AS listing, k.rx, k.n, coalesce(v.r, 0) AS r FROM ck k LEFT JOIN (SELECT c.n, sum(r) AS r FROM (SELECT * FROM rv WHERE r > 0) e ASOF JOIN ck c ON e.rx <= c.rx GROUP BY ALL) v ON v.n = k.n)", o.ewm("e", "iv", FAST, y="r"), "e2 AS (SELECT rx, sqrt(y) AS y FROM e)")
+
+# outcomes, of byb at the hourly reads
+
+
+def _outcomes(spark, d, *fields):
+    mk = market(spark, d)
+    own = F.col("listing") == "byb"
+    out = outcomes(mk.book.where(own), mk.trade.where(own), mk.reads, 2 * HOUR, MINUTE, MINUTE, 50, fields)
+    return _rounded(out.select("t", *(F.when(F.abs(f) < float("inf"), F.col(f)).alias(f) if t == "double" else F.col(f).cast("long").alias(f) for f, t in out.dtypes[1:])))
+
+
+_OUT = f"""
+lat AS (SELECT rx, bid_prc, ask_prc, (bid_prc + ask_prc) / 2 AS mid, rx - exchange_time AS latency, rx - exchange_time - min(rx - exchange_time) OVER (ORDER BY rx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS excess, row_number() OVER (ORDER BY rx) AS n FROM book WHERE listing = 'byb'),
+lat2 AS (SELECT *, coalesce(ln(mid / lag(mid) OVER (ORDER BY rx)), 0) AS d FROM lat),
+cum AS (SELECT *, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER (ORDER BY rx) AS ups, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER (ORDER BY rx) AS downs, sum(greatest(d, 0)) OVER (ORDER BY rx) AS up, sum(greatest(-d, 0)) OVER (ORDER BY rx) AS down FROM lat2),
+v AS (SELECT a.t, a.t + 2 * {MINUTE} + coalesce(b.excess, 0) AS entry, a.t + 2 * {HOUR} AS exit, b.* FROM anchors a ASOF LEFT JOIN cum b ON a.t >= b.rx),
+en AS (SELECT v.t, b.* FROM v ASOF LEFT JOIN cum b ON v.entry >= b.rx), ex AS (SELECT v.t, b.* FROM v ASOF LEFT JOIN cum b ON v.exit > b.rx),
+w AS (SELECT v.t, v.entry, v.exit, v.mid, v.bid_prc, v.ask_prc, v.latency, v.excess, en.bid_prc AS eb, en.ask_prc AS ea, ex.bid_prc AS xb, ex.ask_prc AS xa, ex.mid AS xm, ex.n >= en.n AS ok, ex.ups + ex.downs - v.ups - v.downs AS moves, ex.ups - en.ups AS ups, ex.downs - en.downs AS downs, ex.up - en.up AS up, ex.down - en.down AS down FROM v JOIN en ON en.t = v.t JOIN ex ON ex.t = v.t)
+"""
+
+
+@query("g_entry_exit", o.sql("""SELECT t, round(mid, 6) AS eval_mid, round(ln(bid_prc / mid), 6) AS eval_bid_l, round(ln(ask_prc / mid), 6) AS eval_ask_l, round(latency / 1e6::DOUBLE, 6) AS feed_latency_raw_ms, round(excess / 1e6::DOUBLE, 6) AS feed_latency_excess_ms,
+round(ln(eb / mid), 6) + 0.0::DOUBLE AS c_bid_entry_l, round(ln(ea / mid), 6) + 0.0::DOUBLE AS c_ask_entry_l, CASE WHEN ok THEN round(ln(xb / mid), 6) ELSE 0 END + 0.0::DOUBLE AS c_bid_exit_l, CASE WHEN ok THEN round(ln(xa / mid), 6) ELSE 0 END + 0.0::DOUBLE AS c_ask_exit_l, CASE WHEN ok THEN round(ln(xm / mid), 6) ELSE 0 END + 0.0::DOUBLE AS c_mid_exit_l FROM w""", _OUT))
+def g_entry_exit(spark, d):
+    return _outcomes(spark, d, "eval_mid", "eval_bid_l", "eval_ask_l", "feed_latency_raw_ms", "feed_latency_excess_ms", "c_bid_entry_l", "c_ask_entry_l", "c_bid_exit_l", "c_ask_exit_l", "c_mid_exit_l")
+
+
+@query("g_path_moves", o.sql("SELECT t, moves::BIGINT AS c_mid_move_count, ups::BIGINT AS c_mid_up_count, downs::BIGINT AS c_mid_down_count, round(up, 6) + 0.0::DOUBLE AS c_mid_up_l, round(down, 6) + 0.0::DOUBLE AS c_mid_down_l FROM w", _OUT))
+def g_path_moves(spark, d):
+    return _outcomes(spark, d, "c_mid_move_count", "c_mid_up_count", "c_mid_down_count", "c_mid_up_l", "c_mid_down_l")
+
+
+def _extreme(side: str, op: str) -> str:
+    return f"round(ln({op}(CASE WHEN x.aggressor = '{side}' THEN x.prc END) / any_value(w.mid)), 6) + 0.0::DOUBLE AS c_{'buy' if side == 'Bid' else 'sell'}_trade_{op}_l"
+
+
+@query("g_trade_extremes", o.sql("SELECT w.t, " + ", ".join(_extreme(s, op) for s in ("Bid", "Ask") for op in ("min", "max")) + ", " + ", ".join(f"count(CASE WHEN x.aggressor = '{s}' THEN 1 END) AS c_{n}_trade_count, round(ln(sum(CASE WHEN x.aggressor = '{s}' THEN x.prc * x.qty END)), 6) AS c_{n}_trade_value_l" for s, n in (("Bid", "buy"), ("Ask", "sell"))) + " FROM w LEFT JOIN trade x ON x.listing = 'byb' AND w.ok AND x.rx >= w.entry AND x.rx < w.exit GROUP BY w.t", _OUT))
+def g_trade_extremes(spark, d):
+    names = [f"c_{s}_trade_{e}" for s in ("buy", "sell") for e in ("min_l", "max_l", "count", "value_l")]
+    return _outcomes(spark, d, *names)
+
+
+# targets and controls
+
+from .operators import stats  # noqa: E402
+from .plans import research  # noqa: E402
+from .sources.staging import staged  # noqa: E402
+
+_TGT = f"""
+tm AS (SELECT rx, mid FROM mids WHERE listing = 'byb'),
+y0 AS (SELECT a.t, ln(m.mid) AS l FROM anchors a ASOF LEFT JOIN tm m ON a.t >= m.rx),
+y1 AS (SELECT a.t, ln(m.mid) AS l FROM anchors a ASOF LEFT JOIN tm m ON a.t + {HOUR} >= m.rx),
+ym AS (SELECT a.t, ln(m.mid) AS l FROM anchors a ASOF LEFT JOIN tm m ON a.t - {HOUR} >= m.rx),
+{o.sigma("ys", YARD)},
+{o.lam("yl", YARD)},
+price AS (SELECT y0.t, (y1.l - y0.l) / s.v AS y FROM y0 JOIN y1 ON y0.t = y1.t JOIN ys s ON s.t = y0.t AND s.listing = 'byb'),
+trail AS (SELECT y0.t, (y0.l - ym.l) / s.v AS y FROM y0 JOIN ym ON y0.t = ym.t JOIN ys s ON s.t = y0.t AND s.listing = 'byb'),
+rate AS (SELECT a.t, (SELECT count(*) FROM moves m WHERE m.listing = 'byb' AND m.rx > a.t AND m.rx <= a.t + {HOUR}) / greatest(l.v, 1e-9) AS y FROM anchors a JOIN yl l ON l.t = a.t AND l.listing = 'byb'),
+lev AS (SELECT s.t, ln(s.v) AS vol, ln(CASE WHEN l.v > 0 THEN l.v END) AS rate FROM ys s JOIN yl l ON l.t = s.t AND l.listing = s.listing WHERE s.listing = 'byb'),
+{o.mean("tfi", "vol", FAST, "signed", "total")},
+{o.mean("pmk", "moves", FAST, "d")},
+pm AS (SELECT p.listing, p.t, p.v / s.v AS v FROM pmk p JOIN ys s ON s.t = p.t AND s.listing = 'byb'),
+own AS (SELECT f.t, round(f.v, 9) + 0.0::DOUBLE AS f, round(g.v, 9) + 0.0::DOUBLE AS g, round(p.y, 9) + 0.0::DOUBLE AS y, round(tr.y, 9) + 0.0::DOUBLE AS tr, round(l.vol, 9) AS vol, round(l.rate, 9) AS rate FROM tfi f JOIN pm g ON g.t = f.t AND g.listing = 'byb' JOIN price p ON p.t = f.t JOIN trail tr ON tr.t = f.t JOIN lev l ON l.t = f.t WHERE f.listing = 'byb'),
+num AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS total FROM own)
+"""
+
+
+def _ic(source: str, x: str, y: str, key: str = "0", where: str = "true") -> str:
+    """(k, ic, n) of the correlation of average ranks."""
+    return f"""SELECT k, corr(rx, ry) AS ic, count(*) AS n FROM (
+  SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0 AS ry
+  FROM (SELECT {key} AS k, round({x}, 9) + 0.0::DOUBLE AS x, round({y}, 9) + 0.0::DOUBLE AS y FROM {source} WHERE {x} IS NOT NULL AND {y} IS NOT NULL AND {where})) GROUP BY k"""
+
+
+def _table(mk: Market) -> DataFrame:
+    """(t, f, g, y, tr, vol_level, rate_level): two features of byb, its target, the move before, and the regime."""
+    f = mk.of_target(features.get("trade_flow_imbalance").build(mk, FAST)).withColumnRenamed("value", "f")
+    g = mk.of_target(features.get("price_momentum").build(mk, FAST)).withColumnRenamed("value", "g")
+    y, tr = research.price_target(mk, HOUR).withColumnRenamed("price_target", "y"), research.trailing_outcome(mk, HOUR).withColumnRenamed("trailing", "tr")
+    wide = f.join(g, "t").join(y, "t").join(tr, "t").join(research.regimes(mk), "t")
+    return staged(_rounded(wide, 9))
+
+
+@query("i_price_target", o.sql("SELECT t, round(y, 6) + 0.0::DOUBLE AS price_target FROM price", _TGT))
+def i_price_target(spark, d):
+    return _rounded(research.price_target(market(spark, d), HOUR))
+
+
+@query("i_rate_target", o.sql("SELECT t, round(y, 3) AS rate_target FROM rate", _TGT))
+def i_rate_target(spark, d):
+    return _rounded(research.rate_target(market(spark, d), HOUR), 3)
+
+
+@query("i_n_move_target", o.sql("SELECT r.t, round((ln(m.mid) - y0.l) / s.v, 6) + 0.0::DOUBLE AS n_move_target FROM (SELECT a.t, coalesce(m.n, 0) + 5 AS n FROM anchors a ASOF LEFT JOIN mv m ON a.t >= m.rx) r JOIN y0 ON y0.t = r.t JOIN ys s ON s.t = r.t AND s.listing = 'byb' LEFT JOIN mv m ON m.n = r.n",
+       _TGT, "mv AS (SELECT rx, mid, row_number() OVER (ORDER BY rx) AS n FROM (SELECT rx, mid, lag(mid) OVER (ORDER BY rx) AS p FROM tm) WHERE mid <> p)"))
+def i_n_move_target(spark, d):
+    return _rounded(research.n_move_target(market(spark, d), 5))
+
+
+@query("i_controls", o.sql(f"SELECT a.t, round({_LOG}, 6) + 0.0::DOUBLE AS rate_momentum, round(CASE WHEN c.v > 0 AND e.v > 0 THEN ln(c.v / e.v) END, 6) + 0.0::DOUBLE AS vol_momentum FROM la a JOIN lb b ON a.t = b.t AND a.listing = b.listing JOIN sa c ON c.t = a.t AND c.listing = a.listing JOIN sb e ON e.t = a.t AND e.listing = a.listing WHERE a.listing = 'byb'", o.lam("la", FAST), o.lam("lb", 200), o.sigma("sa", FAST), o.sigma("sb", 200)))
+def i_controls(spark, d):
+    mk = market(spark, d)
+    mk.yard_span = 200
+    return _rounded(research.controls(mk))
+
+
+@query("i_regime_terciles", o.sql("SELECT t, len(list_filter(cuts, lambda x: x <= vol)) AS regime FROM lev, (SELECT quantile_cont(vol, [0.33, 0.67]) AS cuts FROM lev)", _TGT))
+def i_regime_terciles(spark, d):
+    return research.terciles(research.regimes(market(spark, d)), "vol_level").select("t", "regime")
+
+
+@query("i_trailing_outcome", o.sql("SELECT t, round(y, 6) + 0.0::DOUBLE AS trailing FROM trail", _TGT))
+def i_trailing_outcome(spark, d):
+    return _rounded(research.trailing_outcome(market(spark, d), HOUR))
+
+
+# statistics
+
+
+@query("j_rank_ic", o.sql(f"SELECT k AS listing, round(ic, 4) AS ic, n FROM ({_ic('(SELECT f.listing, f.v, p.y FROM tfi f JOIN price p ON p.t = f.t)', 'v', 'y', 'listing')})", _TGT))
+def j_rank_ic(spark, d):
+    mk = market(spark, d)
+    f = features.get("trade_flow_imbalance").build(mk, FAST).join(research.price_target(mk, HOUR), "t")
+    return _rounded(stats.rank_ic(f, "value", "price_target", ["listing"], digits=9), 4)
+
+
+_WF = """
+seg AS (SELECT *, (SELECT count(*) FROM range(1, 6) e(j) WHERE i >= floor(total * e.j / 6.0)) AS s FROM num WHERE f IS NOT NULL AND y IS NOT NULL),
+fit AS (SELECT j, regr_slope(y, f) AS b FROM seg, range(1, 6) e(j) WHERE i < floor(total * e.j / 6.0) - 24 GROUP BY j HAVING count(*) >= 100)
+"""
+
+
+@query("j_wf_ic", o.sql(f"SELECT round(avg(ic), 4) AS ic, count(*) AS folds FROM ({_ic('(SELECT s, f * sign(b) AS p, y FROM seg JOIN fit ON fit.j = seg.s)', 'p', 'y', 's')})", _TGT, _WF))
+def j_wf_ic(spark, d):
+    return _rounded(stats.wf_ic(_table(market(spark, d)), ["f"], "y", ["t"], embargo=24), 4)
+
+
+@query("j_stratified_ic", o.sql(f"SELECT round(sum(ic * n) / sum(n), 4) AS ic FROM ({_ic('(SELECT *, len(list_filter(cuts, lambda x: x <= vol)) AS b FROM own, (SELECT quantile_cont(vol, [0.25, 0.5, 0.75]) AS cuts FROM own WHERE f IS NOT NULL AND y IS NOT NULL))', 'f', 'y', 'b')}) WHERE n > 100", _TGT))
+def j_stratified_ic(spark, d):
+    return _rounded(stats.stratified_ic(_table(market(spark, d)), "f", "y", "vol_level", 4), 4)
+
+
+@query("j_partial_ic", o.sql(f"SELECT round(a.ic, 4) AS raw, round(b.ic, 4) AS backward, round((a.ic - b.ic * c.ic) / sqrt((1 - b.ic * b.ic) * (1 - c.ic * c.ic)), 4) AS netted FROM ({_ic('own', 'f', 'y', where='tr IS NOT NULL')}) a, ({_ic('own', 'f', 'tr', where='y IS NOT NULL')}) b, ({_ic('own', 'tr', 'y', where='f IS NOT NULL')}) c", _TGT))
+def j_partial_ic(spark, d):
+    return _rounded(stats.partial_ic(_table(market(spark, d)), "f", "y", "tr"), 4)
+
+
+_DEC = "(SELECT *, len(list_filter((SELECT quantile_cont({l}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM own WHERE f IS NOT NULL), lambda x: x <= {l})) AS dec FROM own WHERE f IS NOT NULL AND {l} IS NOT NULL)"
+
+
+@query("j_gate_a", o.sql(f"""SELECT (SELECT round(max(s) / min(s), 3) FROM (SELECT stddev_pop(f) AS s FROM {_DEC.format(l='vol')} GROUP BY dec) WHERE s > 0) AS scale,
+(SELECT round(max(abs(ic)), 3) FROM ({_ic('own', 'f', 'vol')} UNION ALL {_ic('own', 'f', 'rate')})) AS track, (SELECT round(max(abs(ic)), 3) FROM ({_ic('own', 'abs(f)', 'vol')} UNION ALL {_ic('own', 'abs(f)', 'rate')})) AS mag,
+(SELECT round(max(v), 3) FROM ({' UNION ALL '.join(f"SELECT greatest(stddev_pop(mf) / (SELECT stddev_pop(f) FROM own), stddev_pop(ma) / (SELECT avg(abs(f)) FROM own)) AS v FROM (SELECT avg(f) AS mf, avg(abs(f)) AS ma FROM {_DEC.format(l=x)} GROUP BY dec)" for x in ('vol', 'rate'))})) AS disp""", _TGT))
+def j_gate_a(spark, d):
+    return _rounded(stats.gate_a(_table(market(spark, d)), "f", "vol_level", "rate_level"), 3)
+
+
+@query("j_mirror_ic", o.sql(f"SELECT round(ic, 4) AS ic, n FROM ({_ic('(SELECT f, y FROM own UNION ALL SELECT -f, -y FROM own)', 'f', 'y')})", _TGT))
+def j_mirror_ic(spark, d):
+    return _rounded(stats.rank_ic(stats.mirrored(_table(market(spark, d)), ["f"], "y"), "f", "y"), 4)
+
+
+def _scan_ic(spans: tuple) -> str:
+    return " UNION ALL ".join(f"SELECT '{s}' AS span, k AS listing, round(ic, 4) AS ic, n FROM ({_ic(f'(SELECT f.listing, f.v, p.y FROM sc{s} f JOIN price p ON p.t = f.t)', 'v', 'y', 'listing')})" for s in spans)
+
+
+@query("j_ic_scan", o.sql(_scan_ic((20, 60)), _TGT, *(o.mean(f"sc{s}", "vol", s, "signed", "total") for s in (20, 60))))
+def j_ic_scan(spark, d):
+    mk = market(spark, d)
+    return _rounded(research.ic_scan(mk, "trade_flow_imbalance", [(20,), (60,)], research.price_target(mk, HOUR), "price_target", 9), 4)
+
+
+@query("j_best_span", o.sql(f"SELECT arg_max(span, s) AS span FROM (SELECT span, avg(abs(ic)) AS s FROM ({_scan_ic((20, 60))}) GROUP BY span)", _TGT, *(o.mean(f"sc{s}", "vol", s, "signed", "total") for s in (20, 60))))
+def j_best_span(spark, d):
+    mk = market(spark, d)
+    return stats.best_span(research.ic_scan(mk, "trade_flow_imbalance", [(20,), (60,)], research.price_target(mk, HOUR), "price_target", 9))
+
+
+@query("j_acf_lag", o.sql("SELECT coalesce(min(CASE WHEN abs(c / (n * v)) < 2 / sqrt(n) THEN lag END), 10000)::INT AS lag FROM (SELECT l.lag, sum((a.y - m) * (b.y - m)) AS c, any_value(n) AS n, any_value(v) AS v FROM (SELECT unnest([50, 100, 200, 500]) AS lag) l, (SELECT avg(y) AS m, var_pop(y) AS v, count(*) AS n FROM own) s, (SELECT y, row_number() OVER (ORDER BY t) AS i FROM own) a JOIN (SELECT y, row_number() OVER (ORDER BY t) AS i FROM own) b ON b.i = a.i + l.lag GROUP BY l.lag)", _TGT))
+def j_acf_lag(spark, d):
+    lag = stats.acf_lag(_table(market(spark, d)), "y", ["t"])
+    return spark.createDataFrame([(lag,)], "lag int")
+
+
+@query("j_fold_marginals")
+def j_fold_marginals(spark, d):
+    return _rounded(stats.fold_marginals(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24))
+
+
+@query("j_bootstrap")
+def j_bootstrap(spark, d):
+    t = _table(market(spark, d))
+    full, _ = stats.walk_forward(t, ["g", "f"], "y", ["t"], embargo=24)
+    base, _ = stats.walk_forward(t, ["g"], "y", ["t"], embargo=24, also=["f"])
+    both = full.withColumnRenamed("pred", "full").join(base.select("t", F.col("pred").alias("base")), "t")
+    return _rounded(stats.block_bootstrap(both, "full", "base", "y", ["t"], stats.block_length(50, 24, 100), draws=64))
+
+
+@query("j_second_span")
+def j_second_span(spark, d):
+    return _rounded(research.second_span_adds(_table(market(spark, d)), "f", "g", "y", 24))
+
+
+@query("j_shaping", o.sql("""SELECT 'raw' AS shape, round(kurtosis_pop(f), 4) AS excess_kurtosis, round(max(abs(f)), 4) AS max_abs FROM own
+UNION ALL SELECT 'z-score', round(kurtosis_pop(z), 4), round(max(abs(z)), 4) FROM sh UNION ALL SELECT 'robust+clip', round(kurtosis_pop(greatest(least(rz, 4), -4)), 4), round(max(abs(greatest(least(rz, 4), -4))), 4) FROM sh UNION ALL SELECT 'arcsinh', round(kurtosis_pop(asinh(rz)), 4), round(max(abs(asinh(rz))), 4) FROM sh""",
+       _TGT, "mo AS (SELECT avg(f) AS m, stddev_pop(f) AS s, median(f) AS med FROM own)", "md AS (SELECT 1.4826 * median(abs(f - med)) AS mad FROM own, mo)", "sh AS (SELECT (f - m) / s AS z, (f - med) / mad AS rz FROM own, mo, md)"))
+def j_shaping(spark, d):
+    return _rounded(stats.shaping(_table(market(spark, d)).where("f is not null"), "f").where("shape <> 'rank-Gaussian'"), 4)
+
+
+_WEEK = f"(t - (SELECT min(t) FROM anchors)) // (168 * {HOUR})"
+
+
+@query("j_oos_verdict", o.sql(f"""SELECT listing, round(block0, 4) AS block0, round(mean, 4) AS mean, n, CASE WHEN sign(mean) = sign(block0) AND block0 <> 0 AND abs(mean) >= 0.5 * abs(block0) AND abs(mean) > 0.02 AND same >= 0.7 AND abs(mean) >= std THEN 'PERSISTS' ELSE 'FADES' END AS verdict
+FROM (SELECT listing, any_value(b0) AS block0, avg(ic) AS mean, stddev_samp(ic) AS std, count(*) AS n, avg(CASE WHEN sign(ic) = sign(b0) THEN 1 ELSE 0 END) AS same FROM (SELECT *, first_value(ic) OVER (PARTITION BY listing ORDER BY block) AS b0 FROM wk) WHERE block > 0 GROUP BY listing)""",
+       _TGT, f"wk AS (SELECT split_part(k, '/', 1) AS listing, split_part(k, '/', 2)::INT AS block, ic FROM ({_ic(f'(SELECT f.listing || chr(47) || {_WEEK.replace(chr(40) + chr(116), chr(40) + chr(102) + chr(46) + chr(116), 1)} AS w, f.v, p.y FROM tfi f JOIN price p ON p.t = f.t)', 'v', 'y', 'w')}) WHERE n > 100)"))
+def j_oos_verdict(spark, d):
+    """Weeks as blocks, all in parallel."""
+    mk = market(spark, d)
+    f = features.get("trade_flow_imbalance").build(mk, FAST).join(research.price_target(mk, HOUR), "t")
+    f = f.join(F.broadcast(mk.reads.agg(F.min("t").alias("_0")))).withColumn("block", F.floor((F.col("t") - F.col("_0")) / (168 * HOUR)))  # one row
+    ics = stats.rank_ic(f, "value", "price_target", ["listing", "block"], digits=9).where("ic is not null")
+    return _rounded(stats.block_stats(ics, ["listing"], "block", "ic").select("listing", "block0", "mean", "n", stats.verdict().alias("verdict")), 4)
+
+
+# relational operators
+
+
+@query("l_group_agg", o.sql("SELECT aggressor, count(*) AS n, sum(qty) AS qty FROM trade GROUP BY ALL"))
+def l_group_agg(spark, d):
+    return src.trades(spark, d).groupBy("aggressor").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+
+
+@query("l_tumbling_1h", o.sql(f"SELECT listing, rx // {HOUR} AS hour, arg_max(bid_prc, rx) AS last_bid, round(avg(ask_qty), 6) AS mean_ask_qty FROM book GROUP BY ALL"))
+def l_tumbling_1h(spark, d):
+    return _rounded(src.books(spark, d).groupBy("listing", F.floor(F.col("rx") / HOUR).alias("hour")).agg(F.max_by("bid_prc", "rx").alias("last_bid"), F.avg("ask_qty").alias("mean_ask_qty")), 6).withColumn("last_bid", F.col("last_bid"))
+
+
+@query("l_top1", o.sql("SELECT listing, arg_max(seq, qty * 1000000 - seq) AS seq, max(qty) AS qty FROM trade GROUP BY ALL"))
+def l_top1(spark, d):
+    return src.trades(spark, d).groupBy("listing").agg(F.max_by("seq", F.struct("qty", -F.col("seq"))).alias("seq"), F.max("qty").alias("qty"))
+
+
+@query("l_pivot", o.sql("SELECT aggressor, sum(CASE WHEN listing = 'byb' THEN qty END) AS byb, sum(CASE WHEN listing = 'bin' THEN qty END) AS bin, sum(CASE WHEN listing = 'okx' THEN qty END) AS okx FROM trade GROUP BY ALL"))
+def l_pivot(spark, d):
+    return src.trades(spark, d).groupBy("aggressor").pivot("listing", list(LISTINGS)).agg(F.sum("qty"))
+
+
+@query("l_union_distinct", o.sql(f"SELECT DISTINCT rx // {HOUR} AS hour FROM (SELECT rx FROM book UNION ALL SELECT rx FROM trade)"))
+def l_union_distinct(spark, d):
+    return src.books(spark, d).select("rx").unionByName(src.trades(spark, d).select("rx")).select(F.floor(F.col("rx") / HOUR).alias("hour")).distinct()
+
+
+@query("l_intersect", o.sql(f"SELECT rx // {HOUR} AS hour FROM book WHERE listing = 'byb' INTERSECT SELECT rx // {HOUR} FROM trade WHERE listing = 'okx'"))
+def l_intersect(spark, d):
+    hour = F.floor(F.col("rx") / HOUR).alias("hour")
+    return src.books(spark, d).where("listing = 'byb'").select(hour).intersect(src.trades(spark, d).where("listing = 'okx'").select(hour))
+
+
+@query("l_evenly_spaced", o.sql("SELECT rx, n FROM clock WHERE n % 50 = 0"))
+def l_evenly_spaced(spark, d):
+    """Every 50th tick."""
+    return market(spark, d).clock.where("n % 50 = 0")
+
+
+@query("l_line_revenue", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY ALL")
+def l_line_revenue(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+# operators of the exploration notebooks
+
+_RET = "SELECT listing, n, coalesce(l - lag(l) OVER (PARTITION BY listing ORDER BY n), 0) AS r FROM (SELECT k.listing, k.n, ln(m.mid) AS l FROM (SELECT * FROM clock CROSS JOIN ls) k ASOF LEFT JOIN mids m ON k.listing = m.listing AND k.rx >= m.rx)"
+
+
+def _tick_returns(mk: Market) -> DataFrame:
+    """(listing, n, r): log move of each listing's mid between ticks; 0 where there is none yet."""
+    level = mk.on_ticks(mk.mids.select("listing", "rx", F.log("mid").alias("l")).withColumn("seen", F.lit(1.0)), ["l", "seen"])
+    back = level.select("listing", (F.col("n") + 1).alias("n"), F.col("l").alias("_l"), F.col("seen").alias("_s"))
+    return level.join(back, ["listing", "n"], "left").select("listing", "n", F.when((F.col("seen") > 0) & (F.col("_s") > 0), F.col("l") - F.col("_l")).otherwise(0.0).alias("r"))
+
+
+@query("m_kyle_lambda", o.sql("SELECT r.listing, r.t, round(e.e / (e.w + eps.x), 9) + 0.0::DOUBLE AS value FROM rd r JOIN e ON e.listing = r.listing AND e.n = r.c JOIN (SELECT listing, 1e-6 * median(q2) AS x FROM imp GROUP BY ALL) eps ON eps.listing = r.listing",
+       "imp AS (SELECT v.listing, v.rx, coalesce(v.signed * (ln(m.mid) - ln(lag(m.mid) OVER (PARTITION BY v.listing ORDER BY v.rx))), 0) AS qd, v.signed * v.signed AS q2 FROM vol v ASOF JOIN mids m ON v.listing = m.listing AND v.rx >= m.rx)", o.inject("i", "imp", a="qd", b="q2"), o.ewm("e", "i", FAST, e="a", w="b")))
+def m_kyle_lambda(spark, d):
+    """Price moved per signed volume; the floor is a millionth of the median squared flow of the whole block, so not causal."""
+    mk = market(spark, d)
+    imp = _impact(mk)
+    eps = imp.where("q2 > 0").groupBy("listing").agg((1e-6 * F.percentile("q2", F.lit(0.5))).alias("eps"))
+    out = mk.committed(mk.injected(imp, {"a": F.coalesce("qd", F.lit(0.0)), "b": F.col("q2")}), {"e": F.col("a"), "w": F.col("b")}, FAST)
+    return _rounded(out.join(F.broadcast(eps), "listing").select("listing", "t", (F.col("e") / (F.col("w") + F.col("eps"))).alias("value")), 9)  # a row per listing
+
+
+@query("m_leadlag_rho", o.sql("SELECT r.listing, r.t, round(CASE WHEN e.xx * e.yy > 0 THEN e.xy / sqrt(e.xx * e.yy) END, 5) + 0.0::DOUBLE AS value FROM rd r JOIN e ON e.listing = r.listing AND e.n = r.c WHERE r.listing <> 'byb'",
+       f"tr AS ({_RET})", "ll AS (SELECT a.listing, a.n, coalesce(lag(a.r, 2) OVER (PARTITION BY a.listing ORDER BY a.n), 0) AS x, b.r AS y FROM tr a JOIN tr b ON a.n = b.n AND b.listing = 'byb' WHERE a.listing <> 'byb')", o.ewm("e", "ll", FAST, xy="x * y", xx="x * x", yy="y * y")))
+def m_leadlag_rho(spark, d):
+    """Correlation of byb's tick returns with those of another listing two ticks before."""
+    mk = market(spark, d)
+    r = _tick_returns(mk)
+    x = r.where("listing <> 'byb'").select("listing", (F.col("n") + 2).alias("n"), F.col("r").alias("x"))
+    y = mk.of_target(r).withColumnRenamed("r", "y")
+    both = align.each_listing(y, mk.others).join(x, ["listing", "n"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    out = mk.committed(both, {"xy": F.col("x") * F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y")}, FAST)
+    return _rounded(out.select("listing", "t", F.when(F.col("xx") * F.col("yy") > 0, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("value")), 5)
+
+
+@query("m_vol_surge", o.sql(o.value(o.pair("f", "g", _DIV)), o.sigma("f", FAST), o.sigma("g", SLOW)))
+def m_vol_surge(spark, d):
+    mk = market(spark, d)
+    g = mk.sigma(SLOW, "_g")
+    return _rounded(mk.sigma(FAST, "value").join(g, ["listing", "t"]).select("listing", "t", F.when(F.col("_g") > 0, F.col("value") / F.col("_g")).alias("value")))
+
+
+@query("m_efficiency_ratio", o.sql(o.value("SELECT listing, t, CASE WHEN w > 0 THEN e / w END AS v FROM f"), o.kern("f", "moves", FAST, e="d", w="abs(d)")))
+def m_efficiency_ratio(spark, d):
+    mk = market(spark, d)
+    return _rounded(mk.flow(mk.moves, {"e": F.col("d"), "w": F.abs("d")}, FAST).select("listing", "t", ema.mean("e", "w").alias("value")))
+
+
+@query("m_momentum_spread", o.sql(o.value(o.pair("f", "g", "a.v - b.v"), digits=9), o.mean("f", "moves", FAST, "d"), o.mean("g", "moves", SLOW, "d")))
+def m_momentum_spread(spark, d):
+    mk = market(spark, d)
+    g = mk.flow_mean(mk.moves, F.col("d"), SLOW, "_g")
+    return _rounded(mk.flow_mean(mk.moves, F.col("d"), FAST).join(g, ["listing", "t"]).select("listing", "t", (F.col("value") - F.col("_g")).alias("value")), 9)
+
+
+@query("m_range_position", ORACLE_SQL["k_range_breakout"].replace("round(v, 5)", "round(tanh(v), 5)"))
+def m_range_position(spark, d):
+    return _rounded(features.get("m_range_breakout").build(market(spark, d), FAST).withColumn("value", F.tanh("value")), 5)
+
+
+@query("m_gap_ac1", o.sql("SELECT r.listing, r.t, round(CASE WHEN e.b > 0 THEN e.a / e.b END, 6) + 0.0::DOUBLE AS value FROM rd r JOIN e ON e.listing = r.listing AND e.n = r.c WHERE r.listing <> 'byb'", f"tr AS ({_RET})",
+       "gd AS (SELECT a.listing, a.n, b.r - a.r AS g FROM tr a JOIN tr b ON a.n = b.n AND b.listing = 'byb' WHERE a.listing <> 'byb')", "g2 AS (SELECT *, coalesce(g * lag(g) OVER (PARTITION BY listing ORDER BY n), 0) AS gg FROM gd)", o.ewm("e", "g2", FAST, a="gg", b="g * g")))
+def m_gap_ac1(spark, d):
+    """First autocorrelation of changes of the log gap of byb to each other listing."""
+    mk = market(spark, d)
+    r = _tick_returns(mk)
+    g = r.where("listing <> 'byb'").join(mk.of_target(r).withColumnRenamed("r", "_r"), "n").select("listing", "n", (F.col("_r") - F.col("r")).alias("g"))
+    back = g.select("listing", (F.col("n") + 1).alias("n"), F.col("g").alias("_g"))
+    both = g.join(back, ["listing", "n"], "left").withColumn("gg", F.coalesce(F.col("g") * F.col("_g"), F.lit(0.0)))
+    out = mk.committed(both, {"a": F.col("gg"), "b": F.col("g") * F.col("g")}, FAST)
+    return _rounded(out.select("listing", "t", ema.mean("a", "b").alias("value")))
+
+
+@query("m_half_life", o.sql("SELECT listing, t, round(CASE WHEN abs(v) > 0 AND abs(v) < 1 THEN ln(2) / -ln(abs(v)) END, 5) AS ticks FROM (" + ORACLE_SQL["m_gap_ac1"].split("\nSELECT", 1)[-1].join(["SELECT", ""]).replace("round(CASE WHEN e.b > 0 THEN e.a / e.b END, 6) + 0.0::DOUBLE AS value", "CASE WHEN e.b > 0 THEN e.a / e.b END AS v") + ")", f"tr AS ({_RET})",
+       "gd AS (SELECT a.listing, a.n, b.r - a.r AS g FROM tr a JOIN tr b ON a.n = b.n AND b.listing = 'byb' WHERE a.listing <> 'byb')", "g2 AS (SELECT *, coalesce(g * lag(g) OVER (PARTITION BY listing ORDER BY n), 0) AS gg FROM gd)", o.ewm("e", "g2", FAST, a="gg", b="g * g")))
+def m_half_life(spark, d):
+    """Ticks until a gap's change has lost half its correlation."""
+    mk = market(spark, d)
+    r = _tick_returns(mk)
+    g = r.where("listing <> 'byb'").join(mk.of_target(r).withColumnRenamed("r", "_r"), "n").select("listing", "n", (F.col("_r") - F.col("r")).alias("g"))
+    back = g.select("listing", (F.col("n") + 1).alias("n"), F.col("g").alias("_g"))
+    both = g.join(back, ["listing", "n"], "left").withColumn("gg", F.coalesce(F.col("g") * F.col("_g"), F.lit(0.0)))
+    out = mk.committed(both, {"a": F.col("gg"), "b": F.col("g") * F.col("g")}, FAST).withColumn("v", F.abs(ema.mean("a", "b")))
+    return _rounded(out.select("listing", "t", F.when((F.col("v") > 0) & (F.col("v") < 1), 0.6931471805599453 / -F.log("v")).alias("ticks")), 5)
+
+
+@query("m_lifetime", o.sql(" UNION ALL ".join(f"SELECT {k} AS lag_h, round(ic, 4) AS ic FROM ({_ic(f'(SELECT f.v, (SELECT ln(arg_max(m.mid, m.rx)) FROM tm m WHERE m.rx <= f.t + {(k + 1) * HOUR}) - (SELECT ln(arg_max(m.mid, m.rx)) FROM tm m WHERE m.rx <= f.t + {k * HOUR}) AS y FROM tfi f WHERE f.listing = chr(98) || chr(121) || chr(98))', 'v', 'y')})" for k in (0, 1, 4)), _TGT))
+def m_lifetime(spark, d):
+    """How a lead fades as its target starts later."""
+    mk = market(spark, d)
+    f = mk.of_target(features.get("trade_flow_imbalance").build(mk, FAST))
+    out = None
+    for k in (0, 1, 4):
+        one = stats.rank_ic(f.join(research.log_move(mk, k * HOUR, (k + 1) * HOUR, "y"), "t"), "value", "y", digits=9).select(F.lit(k).alias("lag_h"), "ic")
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out, 4)
+
+
+@query("m_cadence_match", o.sql("SELECT r.listing, r.t, round(m.mid, 6) AS mid FROM (SELECT r.listing, r.t, b.rx AS q FROM rd r ASOF LEFT JOIN (SELECT rx FROM mids WHERE listing = 'byb') b ON r.t >= b.rx) r ASOF LEFT JOIN mids m ON r.listing = m.listing AND r.q >= m.rx"))
+def m_cadence_match(spark, d):
+    """Every listing's mid, re-read only when byb's updates."""
+    mk = market(spark, d)
+    at = align.asof(mk.reads, mk.of_target(mk.mids).withColumn("q", F.col("rx")), [], ["q"])
+    return _rounded(align.asof(align.each_listing(at, LISTINGS), mk.mids, ["listing"], ["mid"], at="q").select("listing", "t", "mid"))
+
+
+@query("m_eps_merge_r2", o.sql("""SELECT listing, round(1 - sum(pow(nxt - merged, 2)) / sum(pow(nxt - old, 2)), 5) AS r2, count(*) AS n FROM (
+SELECT s.listing, s.nxt, s.old, coalesce(t.prc, s.old) AS merged FROM (SELECT listing, seq, rx, mid AS old, x, lead(mid) OVER w AS nxt, lead(rx) OVER w AS nrx FROM (SELECT listing, seq, rx, (bid_prc + ask_prc) / 2 AS mid, max(exchange_time) OVER (PARTITION BY listing ORDER BY rx) AS x FROM book) WINDOW w AS (PARTITION BY listing ORDER BY rx)) s
+LEFT JOIN (SELECT listing, bseq, arg_max(prc, rx) AS prc FROM (SELECT t.listing, t.prc, t.rx, b.seq AS bseq FROM trade t ASOF JOIN (SELECT listing, seq, rx, max(exchange_time) OVER (PARTITION BY listing ORDER BY rx) AS x FROM book) b ON t.listing = b.listing AND t.rx >= b.rx WHERE t.exchange_time > b.x + 1000000000) GROUP BY ALL) t ON t.listing = s.listing AND t.bseq = s.seq
+WHERE s.nxt IS NOT NULL) GROUP BY listing"""))
+def m_eps_merge_r2(spark, d):
+    """How much better than the snapshot a print predicts the next snapshot, if it is admitted a second of exchange time later."""
+    mk = market(spark, d)
+    fresh = mk.book.withColumns({"mid": m.mid(), "kind": F.lit(0)}).select("listing", "seq", "rx", "mid", "exchange_time")
+    cap = align.asof(fresh.select("listing", "seq", F.col("rx").alias("t"), "mid"), _newest(fresh), ["listing"], ["x"]).withColumnRenamed("t", "rx")
+    t = align.asof(mk.trade.select("listing", F.col("rx").alias("t"), "prc", F.col("exchange_time").alias("e")), cap.withColumn("bseq", F.col("seq")), ["listing"], ["bseq", "x"], seq="seq").where(F.col("e") > F.col("x") + 1_000_000_000)
+    last = t.groupBy("listing", F.col("bseq").alias("seq")).agg(F.max_by("prc", "t").alias("prc"))
+    own = align.numbered(cap, ["listing"], "rx", ["rx", "seq"])
+    nxt = own.select("listing", (F.col("n") - 1).alias("n"), F.col("mid").alias("nxt"))
+    both = own.join(nxt, ["listing", "n"]).join(last, ["listing", "seq"], "left")
+    r2 = 1 - F.sum(F.pow(F.col("nxt") - F.coalesce("prc", "mid"), 2)) / F.sum(F.pow(F.col("nxt") - F.col("mid"), 2))
+    return _rounded(both.groupBy("listing").agg(r2.alias("r2"), F.count("*").alias("n")), 5)
+
+
+def _newest(book: DataFrame) -> DataFrame:
+    """(listing, rx, x): the newest exchange time so far, at each book time."""
+    from pyspark.sql import Window as W
+
+    from .operators.scan import DAY
+
+    b = book.groupBy("listing", "rx").agg(F.max("exchange_time").alias("x")).withColumn("c", F.floor(F.col("rx") / (7 * DAY)))
+    per = b.groupBy("listing", "c").agg(F.max("x").alias("m")).select("listing", "c", F.max("m").over(W.partitionBy("listing").orderBy("c").rowsBetween(W.unboundedPreceding, -1)).alias("m"))
+    run = b.withColumn("x", F.max("x").over(W.partitionBy("listing", "c").orderBy("rx").rowsBetween(W.unboundedPreceding, 0)))
+    return run.join(per, ["listing", "c"]).select("listing", "rx", F.greatest("x", "m").alias("x"))
+
+
+@query("m_xcorr", o.sql("SELECT l.lag, round(corr(a.r, b.r), 5) AS c FROM (SELECT unnest(range(-5, 6)) AS lag) l, tr a JOIN tr b ON b.n = a.n + l.lag WHERE a.listing = 'bin' AND b.listing = 'byb' GROUP BY l.lag", f"tr AS ({_RET})"))
+def m_xcorr(spark, d):
+    """Correlation of bin's tick returns with byb's, lag ticks later."""
+    mk = market(spark, d)
+    r = _tick_returns(mk)
+    a = r.where("listing = 'bin'").select(F.explode(F.sequence(F.lit(-5), F.lit(5))).alias("lag"), "n", F.col("r").alias("a")).withColumn("n", F.col("n") + F.col("lag"))
+    return _rounded(a.join(mk.of_target(r), "n").groupBy("lag").agg(F.corr("a", "r").alias("c")), 5)
+
+
+@query("m_event_rate_ic", o.sql(f"SELECT round(ic, 4) AS ic, n FROM ({_ic('(SELECT r.v, y.y FROM p_r r JOIN rate y ON y.t = r.t AND r.listing = chr(98) || chr(121) || chr(98))', 'v', 'y')})", _TGT, _rate("p", FAST, False)))
+def m_event_rate_ic(spark, d):
+    mk = market(spark, d)
+    r = mk.of_target(features._trade_rate(mk, FAST, False)).join(research.rate_target(mk, HOUR), "t")
+    return _rounded(stats.rank_ic(r, "value", "rate_target", digits=9), 4)
+
+
+@query("m_pit", o.sql("""SELECT listing, bucket, count(*) AS n FROM (SELECT listing, least(floor((rank() OVER (PARTITION BY listing ORDER BY abs(s)) + (count(*) OVER (PARTITION BY listing, abs(s)) - 1) / 2.0 - 0.5) / count(*) OVER (PARTITION BY listing) * 10), 9)::BIGINT AS bucket, sign(s) FROM (
+SELECT listing, sum(d) OVER (PARTITION BY listing ORDER BY rx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS s, row_number() OVER (PARTITION BY listing ORDER BY rx) AS n FROM moves) WHERE n >= 5) GROUP BY ALL"""))
+def m_pit(spark, d):
+    """Sizes of five-move sums, by their place in their own distribution: tenths hold equal shares."""
+    mk = market(spark, d)
+    mv = align.running(ev.mid_moves(mk.mids), ["listing"], "rx", ["rx"], {"n": F.lit(1), "run": F.col("d")})
+    then = mv.select("listing", (F.col("n") + 5).alias("n"), F.col("run").alias("_then"))
+    s = mv.where("n >= 5").join(then, ["listing", "n"], "left").withColumn("s", F.abs(F.col("run") - F.coalesce("_then", F.lit(0.0))))
+    total = s.groupBy("listing").agg(F.count("*").alias("all"))
+    r = stats.average_ranks(s, "s", "r", ["listing"]).join(F.broadcast(total), "listing")  # a row per listing
+    return r.groupBy("listing", F.least(F.floor((F.col("r") - 0.5) / F.col("all") * 10), F.lit(9)).alias("bucket")).agg(F.count("*").alias("n"))
