@@ -21,6 +21,7 @@ from ..operators import events as ev
 from ..operators.align import asof, bucket_sum, interval_sum, masked_steps, trailing_count
 from ..operators.ema import ewm
 from ..operators.scan import numbered
+from ..sources.staging import staged
 
 # The column families, by kind of clock.
 STATE = ("microprice", "spread_width", "book_depth", "book_imbalance", "spread_wide_flag")
@@ -105,6 +106,13 @@ class Dataset:
     wide: float = 1e-4
     reference: dict[str, float] = field(default_factory=dict)
     latency_rows: int = 30_000
+    _held: dict = field(default_factory=dict, repr=False)
+
+    def _once(self, key: tuple, make) -> DataFrame:
+        """A stream that several columns read, staged the first time."""
+        if key not in self._held:
+            self._held[key] = staged(make())
+        return self._held[key]
 
     def build(self, columns: Iterable[Column], single: bool = True) -> DataFrame:
         """(t, columns): t is the step's number; 0 where nothing has happened yet. single: 32-bit floats."""
@@ -119,6 +127,9 @@ class Dataset:
         return out.select("t", *(F.coalesce(F.col(f"`{u.name}`").cast(kind), F.lit(0.0).cast(kind)).alias(u.name) for u in units))
 
     def steps(self) -> DataFrame:
+        return self._once(("steps",), self._steps)
+
+    def _steps(self) -> DataFrame:
         book, trade = self.book.where(F.col("listing") == self.target), self.trade.where(F.col("listing") == self.target)
         micro = ev.last_per_time(book).withColumn("mid", m.microprice()).select("listing", "rx", "seq", "mid")
         return masked_steps(self.mask, book, trade, ev.mid_moves(micro), self.step, self.low, self.high)
@@ -151,6 +162,12 @@ class Dataset:
         return df.where(F.col("listing") == listing)
 
     def _states(self, listing: str) -> DataFrame:
+        return self._once(("states", listing), lambda: self._make_states(listing))
+
+    def _collapsed(self, listing: str) -> DataFrame:
+        return self._once(("trades", listing), lambda: self._make_collapsed(listing))
+
+    def _make_states(self, listing: str) -> DataFrame:
         s = numbered(ev.last_per_time(self._own(self.book, listing)), ["listing"], "rx", ["rx"])
         s = s.withColumns({"microprice": m.microprice(), "spread_width": m.spread_width(), "book_depth": m.depth(), "book_imbalance": F.coalesce(m.imbalance(), F.lit(0.0)), "spread_wide_flag": m.spread_wide(self.wide)})
         s = ev.with_previous(s, [*ev.STATE, "microprice"])
@@ -159,7 +176,7 @@ class Dataset:
             "abs_log_ret": F.when((F.col("microprice") > 0) & (F.col("p_microprice") > 0), F.abs(F.log(F.col("microprice") / F.col("p_microprice")))).otherwise(0.0),
         })
 
-    def _collapsed(self, listing: str) -> DataFrame:
+    def _make_collapsed(self, listing: str) -> DataFrame:
         t = numbered(ev.collapse_trades(self._own(self.trade, listing)), ["listing"], "rx", ["rx", "seq"])
         buy, v = m.lifts_ask(), F.col("qty") * F.col("prc")
         t = t.withColumns({"buy_trade_qty": F.when(buy, F.col("qty")).otherwise(0.0), "sell_trade_qty": F.when(buy, 0.0).otherwise(F.col("qty")), "buy_trade_value": F.when(buy, v).otherwise(0.0), "sell_trade_value": F.when(buy, 0.0).otherwise(v)})
@@ -217,7 +234,7 @@ class Dataset:
         return self._read(raw, ["_v"], seq="seq").select("t", *(F.col("_v").alias(u.name) for u in own))
 
     def _moves(self, own: list[Unit], listing: str) -> DataFrame:
-        mv = numbered(ev.mid_moves(ev.mids(self._own(self.book, listing))), ["listing"], "rx", ["rx"])
+        mv = self._once(("moves", listing), lambda: numbered(ev.mid_moves(ev.mids(self._own(self.book, listing))), ["listing"], "rx", ["rx"]))
         return self._named(self._read(self._lags(mv, own, self.step), [u.name for u in own]), own)
 
     def _trades(self, own: list[Unit], listing: str) -> DataFrame:
@@ -251,6 +268,9 @@ class Dataset:
 
     def _every_step(self, listing: str, price: str = "microprice") -> DataFrame:
         """Every step, numbered from 1, with the price as of it."""
+        return self._once(("every", listing, price), lambda: self._make_every(listing, price))
+
+    def _make_every(self, listing: str, price: str) -> DataFrame:
         dense = self.book.sparkSession.range(self.low, self.high + 1).select(F.col("id").alias("t"))
         return self._read(self._states(listing).withColumn("mid", m.mid()).select("rx", price), [price], dense).select("t", (F.col("t") - self.low + 1).alias("n"), price)
 

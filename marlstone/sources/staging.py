@@ -23,12 +23,18 @@ def _folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, cleared at the end."""
+    path = f"{_folder(spark)}/staged-{uuid.uuid4().hex}"
+    _tables.append((spark.sparkContext.applicationId, path))
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
     """`df`, computed once: readers scan a table instead of its whole plan, and an executor may be lost at any time."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/staged-{uuid.uuid4().hex}"
+    path = folder(spark)
     df.write.parquet(path)
-    _tables.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
