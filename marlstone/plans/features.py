@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators.ema import alpha, held, mean
+from ..sources.staging import staged
 from .market import Market
 
 
@@ -54,6 +55,10 @@ def _less(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["listing", "t"]).select("listing", "t", (F.col("value") - F.col("_b")).alias("value"))
 
 
+def _spread(both: DataFrame) -> DataFrame:
+    return both.select("listing", "t", (F.col("fast") - F.col("slow")).alias("value"))
+
+
 def _ratio(a: DataFrame, b: DataFrame, log: bool = False) -> DataFrame:
     b = b.withColumnRenamed("value", "_b")
     q = F.when((F.col("value") > 0) & (F.col("_b") > 0), F.log(F.col("value") / F.col("_b"))) if log else F.when(F.col("_b") > 0, F.col("value") / F.col("_b"))
@@ -66,8 +71,8 @@ def _ratio(a: DataFrame, b: DataFrame, log: bool = False) -> DataFrame:
 @register(2, "odd")
 def price_dislocation(mk: Market, fast: float, slow: float) -> DataFrame:
     """Fast less slow live-front average of log(mid / target's mid), per sigma."""
-    gap = mk.gap(mk.mids.select("listing", "rx", F.log("mid").alias("g")), "g")
-    out = _less(mk.live_front(gap, "g", fast), mk.live_front(gap, "g", slow))
+    gap = staged(mk.gap(mk.mids.select("listing", "rx", F.log("mid").alias("g")), "g"))
+    out = _spread(mk.live_fronts(gap, "g", {"fast": fast, "slow": slow}))
     return mk.per_sigma(out.where(F.col("listing") != mk.target))
 
 
@@ -94,16 +99,17 @@ def ofi_ema(mk: Market, span: float) -> DataFrame:
 
 @register(2, "odd")
 def ofi_fast_slow(mk: Market, fast: float, slow: float) -> DataFrame:
-    return _less(ofi_ema(mk, fast), ofi_ema(mk, slow))
+    e = mk.indexed(ev.ofi_path(mk.book))
+    return _less(mk.flow_mean(e, F.col("ofi"), fast), mk.flow_mean(e, F.col("ofi"), slow))
 
 
 @register(2, "odd")
 def stoikov_premium_fast_slow(mk: Market, fast: float, slow: float) -> DataFrame:
     """Fast less slow live-front average of the premium; null until a tick has seen one."""
-    p = mk.premium()
+    p = staged(mk.premium())
     first = p.groupBy("listing").agg(F.min("rx").alias("_p"))
     ticks = mk.at_reads.join(mk.clock.withColumnsRenamed({"n": "c", "rx": "_last"}), "c")
-    out = _less(mk.live_front(p, "prem", fast), mk.live_front(p, "prem", slow)).join(first, "listing").join(ticks.select("t", "_last"), "t", "left")
+    out = _spread(mk.live_fronts(p, "prem", {"fast": fast, "slow": slow})).join(first, "listing").join(ticks.select("t", "_last"), "t", "left")
     return out.select("listing", "t", F.when(F.col("_last") >= F.col("_p"), F.col("value")).alias("value"))
 
 
@@ -134,8 +140,7 @@ def _committed_ratio(mk: Market, events: DataFrame, num, den, span: float) -> Da
 
 @_module(1, "odd")
 def m_flow_imbalance(mk: Market, span: float) -> DataFrame:
-    v = ev.signed_volume(mk.trade, mk.inverted)
-    return _committed_ratio(mk, v, F.col("signed"), F.col("total"), span)
+    return _committed_ratio(mk, ev.signed_volume(mk.trade, mk.inverted), F.col("signed"), F.col("total"), span)
 
 
 @_module(1, "odd")
@@ -165,7 +170,7 @@ def m_microprice(mk: Market, span: float) -> DataFrame:
 
 def _level_legs(mk: Market, atom: str, span: float, own: bool) -> DataFrame:
     """Live fronts are linear: the front of a difference of levels is the difference of fronts."""
-    front = mk.live_front(mk.premium(), atom, span, clip=True)
+    front = staged(mk.live_front(mk.premium(), atom, span, clip=True))
     tgt = mk.of_target(front).withColumnRenamed("value", "_v")
     gaps = front.where(F.col("listing") != mk.target).join(tgt, "t").select(F.concat(F.lit("gap_"), "listing").alias("listing"), "t", (F.col("value") - F.col("_v")).alias("value"))
     return gaps if not own else front.select(F.concat(F.lit("prem_"), "listing").alias("listing"), "t", "value").unionByName(gaps)
@@ -182,7 +187,7 @@ def _ofi_endpoint(mk: Market) -> DataFrame:
 
 @_module(2, "odd")
 def m_ofi(mk: Market, fast: float, slow: float) -> DataFrame:
-    e = _ofi_endpoint(mk)
+    e = mk.indexed(_ofi_endpoint(mk))
     return _less(mk.flow_mean(e, F.col("ofi"), fast), mk.flow_mean(e, F.col("ofi"), slow))
 
 

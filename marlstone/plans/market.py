@@ -82,11 +82,23 @@ class Market:
     def fresh(self, stream: DataFrame, values: list[str], clip: bool = False) -> DataFrame:
         return (asof_clipped if clip else asof)(each_listing(self.reads, self.listings), stream, ["listing"], values)
 
+    def live_fronts(self, stream: DataFrame, value: str, spans: dict[str, float], clip: bool = False) -> DataFrame:
+        """(listing, t, names): committed averages of a level, each taken one step towards its freshest value."""
+        tick = self.on_ticks(stream, [value], clip)
+        if len(spans) > 1:
+            tick = staged(tick)
+        out = self.fresh(stream, [value], clip)
+        for name, span in spans.items():
+            out = out.join(self.committed(tick, {f"_{name}": F.col(value)}, span), ["listing", "t"])
+        fronts = ((1 - alpha(s)) * F.col(f"_{n}") + alpha(s) * F.col(value) for n, s in spans.items())
+        return out.select("listing", "t", *(f.alias(n) for f, n in zip(fronts, spans, strict=True)))
+
     def live_front(self, stream: DataFrame, value: str, span: float, name: str = "value", clip: bool = False) -> DataFrame:
-        """(listing, t, name): the committed average of a level, taken one step towards its freshest value."""
-        a = alpha(span)
-        com = self.committed(self.on_ticks(stream, [value], clip), {"_com": F.col(value)}, span)
-        return com.join(self.fresh(stream, [value], clip), ["listing", "t"]).select("listing", "t", ((1 - a) * F.col("_com") + a * F.col(value)).alias(name))
+        return self.live_fronts(stream, value, {name: span}, clip)
+
+    def indexed(self, events: DataFrame) -> DataFrame:
+        """Events with their number of ticks, staged for several flows."""
+        return staged(tick_index(events, self.clock, "rx", "k", before=True))
 
     def injected(self, events: DataFrame, sums: dict[str, Column]) -> DataFrame:
         """(listing, n, sums): mass of each tick, from events that lie on ticks."""
