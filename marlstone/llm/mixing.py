@@ -26,6 +26,9 @@ from ._common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
+#: Sources up to which their table, a few numbers each, is broadcast; beyond it is joined by shuffles, which adaptive
+#: execution splits where a source is large.
+FEW = 10_000
 
 
 def unit(doc_id: Column, seed: int) -> Column:
@@ -67,19 +70,23 @@ def copies(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3
         )
     )
     aims = targets(sized, weights, most)
-    mean = sized.groupBy("source").agg((F.try_divide(F.sum("size").cast("double"), F.sum(F.col("weight") * F.col("size")))).alias("norm"))
+    aims = _same(aims, sized.groupBy("source").agg((F.try_divide(F.sum("size").cast("double"), F.sum(F.col("weight") * F.col("size")))).alias("norm")))
+    aims = cut(aims)
+    few = aims.count() <= FEW
     due = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) * F.col("weight") * F.coalesce("norm", F.lit(1.0)))
-    ranked = _same(_same(sized, aims), mean).withColumn("due", due).withColumn("whole", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.col("whole"))
+    ranked = _same(sized, F.broadcast(aims) if few else aims).withColumn("due", due).withColumn("whole", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) * F.try_divide(1 - F.col("p"), F.col("p"))
     ranked = ranked.withColumn("q", odds).withColumn("at", F.col("q") / (1 + F.col("q")))
     ranked = ranked.withColumn("cell", F.least(F.floor(F.col("at") * CELLS * CELLS), F.lit(CELLS * CELLS - 1)).cast("long"))
-    last = cut(_last(ranked))
+    last = cut(_last(ranked, few))
     taken = F.col("whole") + F.when(F.struct("q", F.coalesce("doc_id", F.lit(-(1 << 62))), "size") <= F.col("last"), 1).otherwise(0)
-    return _same(ranked, last).select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.col("whole")).alias("copies"))
+    return _same(ranked, F.broadcast(last) if few else last).select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.col("whole")).alias("copies"))
 
 
-def _last(ranked: DataFrame) -> DataFrame:
-    """(source, last): the highest rank that is still taken; sources that take none are left out."""
+def _last(ranked: DataFrame, few: bool) -> DataFrame:
+    """(source, last): the highest rank that is still taken; sources that take none are left out. few: tables of sources
+    are small enough to broadcast."""
+    sent = F.broadcast if few else (lambda x: x)
     open_ = ranked.where("q is not null")
     spare = ranked.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("spare"))
 
@@ -91,10 +98,10 @@ def _last(ranked: DataFrame) -> DataFrame:
 
     first = _same(open_.groupBy("source", F.floor(F.col("cell") / CELLS).alias("c")).agg(F.sum("size").alias("words")), spare)
     first = boundary(first, F.lit(0)).select("source", F.col("c").alias("high"), F.col("before").alias("base"), "spare")
-    inner = _same(open_, first, "inner").where(F.floor(F.col("cell") / CELLS) == F.col("high"))
+    inner = _same(open_, sent(first), "inner").where(F.floor(F.col("cell") / CELLS) == F.col("high"))
     second = inner.groupBy("source", F.col("cell").alias("c"), "base", "spare").agg(F.sum("size").alias("words"))
     second = boundary(second, F.col("base")).select("source", F.col("c").alias("at_cell"), F.col("before").alias("base"), "spare")
-    rows = _same(open_, second, "inner").where("cell = at_cell").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 62))))
+    rows = _same(open_, sent(second), "inner").where("cell = at_cell").withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 62))))
     w = W.partitionBy("source").orderBy("q", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(w), F.lit(0)))
     hit = rows.where(F.col("before") + F.col("size") / 2 < F.col("spare"))
