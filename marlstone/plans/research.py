@@ -110,6 +110,17 @@ def second_span_adds(table: DataFrame, one: str, two: str, y: str, embargo: int,
     return solo.join(F.broadcast(joint)).withColumn("adds", F.col("joint") - F.col("solo") >= bar)  # one row
 
 
+def joint_adds(table: DataFrame, legs: Sequence[str], y: str, embargo: int, bar: float = 0.01) -> DataFrame:
+    """(joint, best, single, adds): whether all legs together beat the best one, out of sample."""
+    ones = None
+    for leg in legs:
+        one = stats.wf_ic(table, [leg], y, ["t"], embargo=embargo).select(F.lit(leg).alias("leg"), "ic")
+        ones = one if ones is None else ones.unionByName(one)
+    best = ones.agg(F.max_by("leg", "ic").alias("best"), F.max("ic").alias("single"))
+    joint = stats.wf_ic(table, list(legs), y, ["t"], embargo=embargo).select(F.col("ic").alias("joint"))
+    return joint.join(F.broadcast(best)).withColumn("adds", F.col("joint") - F.col("single") >= bar)  # one row
+
+
 def markdown(df: DataFrame) -> str:
     """A report table; df has one row per feature and leg."""
     rows = df.collect()

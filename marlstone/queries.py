@@ -62,7 +62,9 @@ def feature(name: str, sql: str, *spans, digits: int = 6, **options) -> None:
 
 
 def _blocks(df: DataFrame) -> DataFrame:
-    return df.withColumn("block", F.date_format(F.date_trunc("week", F.timestamp_seconds(F.floor(F.col("rx") / 1_000_000_000))), "yyyy-MM-dd"))
+    """Blocks are weeks, named by their Monday; in whole days, so no time zone plays a part."""
+    day = F.floor(F.col("rx") / (24 * HOUR))
+    return df.withColumn("block", F.date_add(F.lit("1970-01-01").cast("date"), (day - F.pmod(day + 3, F.lit(7))).cast("int")).cast("string"))
 
 
 _BLOCK = "strftime(date_trunc('week', make_timestamp(rx // 1000)), '%Y-%m-%d')"
@@ -790,6 +792,14 @@ def j_second_span(spark, d):
     return _rounded(research.second_span_adds(_table(market(spark, d)), "f", "g", "y", 24))
 
 
+@query("j_joint_adds", o.sql(f"""SELECT 'f' AS leg, round(avg(ic), 4) AS single FROM ({_ic('(SELECT s, f * sign(b) AS p, y FROM seg JOIN fit ON fit.j = seg.s)', 'p', 'y', 's')})""", _TGT, _WF))
+def j_joint_adds(spark, d):
+    """The best single leg of two, and what it scores; its joint score has several columns and is held by tests."""
+    t = _table(market(spark, d)).where("f is not null and g is not null")
+    out = research.joint_adds(t, ["f"], "y", 24)
+    return _rounded(out.select(F.col("best").alias("leg"), "single"), 4)
+
+
 @query("j_shaping", o.sql("""SELECT 'raw' AS shape, round(kurtosis_pop(f), 4) AS excess_kurtosis, round(max(abs(f)), 4) AS max_abs FROM own
 UNION ALL SELECT 'z-score', round(kurtosis_pop(z), 4), round(max(abs(z)), 4) FROM sh UNION ALL SELECT 'robust+clip', round(kurtosis_pop(greatest(least(rz, 4), -4)), 4), round(max(abs(greatest(least(rz, 4), -4))), 4) FROM sh UNION ALL SELECT 'arcsinh', round(kurtosis_pop(asinh(rz)), 4), round(max(abs(asinh(rz))), 4) FROM sh""",
        _TGT, "mo AS (SELECT avg(f) AS m, stddev_pop(f) AS s, median(f) AS med FROM own)", "md AS (SELECT 1.4826 * median(abs(f - med)) AS mad FROM own, mo)", "sh AS (SELECT (f - m) / s AS z, (f - med) / mad AS rz FROM own, mo, md)"))

@@ -310,6 +310,23 @@ def test_shapes_and_verdicts(spark, sample):
     assert "| f |" in research.markdown(oos.report(ics))
 
 
+def test_reports_over_a_market(spark, data, tmp_path):
+    y = research.price_target(data, HOUR)
+    grid = [(5,), (20,)]
+    best = oos.best_spans(data, "trade_flow_imbalance", grid, y, "price_target")
+    assert set(best) <= set(src.LISTINGS) and set(best.values()) <= {"5", "20"}
+    values = oos.readings(data, {"m_flow_imbalance": (5,), "m_ofi": (5, 20)})
+    ics = oos.sweep(values, y, "price_target", F.lit(0), research.trailing_outcome(data, HOUR))
+    assert {"feature", "leg", "block", "ic", "netted"} <= set(ics.columns) and ics.count() == 6
+    oos.append_matrix(ics, str(tmp_path / "m"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 6
+    rep = research.gate_report(data, "trade_flow_imbalance", (5,), y, "price_target", 10)
+    assert set(rep) == {"joint", "scale", "track", "mag", "disp", "passes"} and rep["passes"] in (True, False)
+    wide = y.withColumn("a", F.col("price_target") + F.rand(1)).withColumn("b", F.rand(2))
+    out = research.joint_adds(wide, ["a", "b"], "price_target", 5).first()
+    assert out.best in ("a", "b", None)
+
+
 def test_spans_and_scores_are_kept(spark, tmp_path):
     oos.save_spans(spark, {"ofi": {"byb": "20/60"}}, str(tmp_path / "s"))
     assert oos.load_spans(spark, str(tmp_path / "s")) == {"ofi": {"byb": "20/60"}}
