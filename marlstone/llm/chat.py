@@ -200,6 +200,3 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
 
-
-#: DuckDB: the query op10 but for formatted_chars and n_windows, which depend on the template; over the view conversations.
-SQL = None
