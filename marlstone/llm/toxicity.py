@@ -96,30 +96,47 @@ def swaps(text: str, identities: Sequence[Sequence[str]], most: int = 4) -> list
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, l2: float, counterfactual: float, rounds: int = 1000) -> np.ndarray:
+class Rows:
+    """A sparse matrix of +1 and -1: for each row the columns with either."""
+
+    def __init__(self, plus: Sequence[Sequence[int]], minus: Sequence[Sequence[int]], width: int):
+        both = [np.array([*p, *m], np.int64) for p, m in zip(plus, minus, strict=True)]
+        self.shape = len(both), width
+        self.col = np.concatenate([np.zeros(0, np.int64), *both])
+        self.row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+        self.sign = np.concatenate([np.zeros(0), *(np.repeat([1.0, -1.0], [len(p), len(m)]) for p, m in zip(plus, minus, strict=True))])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.sign * w[self.col], self.shape[0])
+
+    def turned_times(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.sign * r[self.row], self.shape[1])
+
+
+def fit_logistic(x: Rows, y: np.ndarray, pairs: Rows, l2: float, counterfactual: float, rounds: int = 1000) -> np.ndarray:
     """Weights, the intercept last: accelerated gradient descent on the mean log-loss, plus l2 / 2 * |w|^2 and
     counterfactual / 2 * mean (pairs . w)^2, where a row of `pairs` is the difference of two feature vectors."""
     n, k = x.shape
+    m = pairs.shape[0]
+
+    def pull(w: np.ndarray) -> np.ndarray:
+        return counterfactual * pairs.turned_times(pairs.times(w)) / m if m else np.zeros(k)
+
     w = np.zeros(k + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
     # a bound on the curvature: a quarter of the mean squared row, by power iteration
-    v = np.ones(k + 1) / np.sqrt(k + 1)
-    top = 1.0
+    v, top = np.ones(k + 1) / np.sqrt(k + 1), 1.0
     for _ in range(20):
-        z = x @ v[:-1] + v[-1]
-        g = np.append(x.T @ z, z.sum()) / (4 * n)
-        if len(pairs):
-            g[:-1] += counterfactual * (pairs.T @ (pairs @ v[:-1])) / len(pairs)
+        z = x.times(v[:-1]) + v[-1]
+        g = np.append(x.turned_times(z), z.sum()) / (4 * n)
+        g[:-1] += pull(v[:-1])
         top = max(float(np.linalg.norm(g)), 1e-9)
         v = g / top
     step = 1 / (1.1 * top + l2)
     ahead, was, t = w.copy(), w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead[:-1] + ahead[-1], -50, 50)))
-        r = (p - y) / n
-        g = np.append(x.T @ r + l2 * ahead[:-1], r.sum())
-        if len(pairs):
-            g[:-1] += counterfactual * (pairs.T @ (pairs @ ahead[:-1])) / len(pairs)
+        r = (1 / (1 + np.exp(-np.clip(x.times(ahead[:-1]) + ahead[-1], -50, 50))) - y) / n
+        g = np.append(x.turned_times(r) + l2 * ahead[:-1] + pull(ahead[:-1]), r.sum())
         w = ahead - step * g
         t, t0 = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, was = w + (t0 - 1) / t * (w - was), w
@@ -173,14 +190,10 @@ def train(
     got = sorted(rows.where("y >= 0").collect())  # max_rows at most
     differ = sorted(rows.where("y < 0").orderBy(F.xxhash64("plus", "minus")).limit(max_pairs).collect())
 
-    def dense(which) -> np.ndarray:
-        out = np.zeros((len(which), len(chosen)), np.float32)
-        for k, r in enumerate(which):
-            out[k, r.plus] = 1
-            out[k, r.minus] = -1
-        return out
+    def sparse(which) -> Rows:
+        return Rows([r.plus for r in which], [r.minus for r in which], len(chosen))
 
-    w = fit_logistic(dense(got), np.array([r.y for r in got], float), dense(differ), l2, counterfactual)
+    w = fit_logistic(sparse(got), np.array([r.y for r in got], float), sparse(differ), l2, counterfactual)
     return Model(dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
