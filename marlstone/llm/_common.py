@@ -18,9 +18,17 @@ BLANKS = " \t\n\x0b\x0c\r"
 _tables: dict[str, list[str]] = {}
 
 
+#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows would be large batches.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per SparkContext, so that they need no installation of it."""
+    """Send this package to the executors once per SparkContext, so that they need no installation of it, and make Arrow
+    batches of BATCH_ROWS rows, unless the session asks for another number than Spark's default."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_marlstone_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]

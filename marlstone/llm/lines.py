@@ -60,15 +60,19 @@ def later_lines(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, gone) of every row."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.col("text").cast("string").alias("text"), row_hash(F.col("text")).alias("rid"))
+    """(row, doc_id, gone) of every row; the text is shuffled once, inside its row."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_hash(F.col("text")).alias("rid"))
     gone = later_lines(docs).withColumnsRenamed({"doc_id": "_id", "rid": "_rid"})
-    return rows.join(gone, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["rid"] == F.col("_rid")), "left").select("row", "doc_id", "text", "gone")
+    return rows.join(gone, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["rid"] == F.col("_rid")), "left").select("row", "doc_id", "gone")
+
+
+_TEXT = "row.text"
 
 
 def _kept():
-    rest = F.filter(F.split("text", "\n", -1), lambda _, k: ~F.array_contains("gone", k))
-    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    text = F.col(_TEXT).cast("string")
+    rest = F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains("gone", k))
+    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
 def remove_later(docs: DataFrame) -> DataFrame:
@@ -82,7 +86,7 @@ def remove_later(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): lines with a word, those removed, and a digest of the rest; null counts as empty."""
-    has_word = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0))
+    has_word = F.size(F.filter(F.split(F.coalesce(F.col(_TEXT).cast("string"), F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0))
     return _marked(docs).select("doc_id", has_word.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -114,10 +114,10 @@ def _last(ranked: DataFrame, few: bool) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with all their columns."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
-    own = copies(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    met = rows.join(own.where("copies > 0"), rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"))
+    own = copies(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").distinct()
+    met = rows.join(own.where("copies > 0"), rows["doc_id"].eqNullSafe(F.col("_id")) & rows["source"].cast("string").eqNullSafe(F.col("_source")) & (rows["size"] == F.col("_size")))
     return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 

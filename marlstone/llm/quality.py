@@ -74,11 +74,11 @@ def with_stats(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = [text_stats(x) for x in b.column(1).to_pylist()]
+            got = [text_stats(x) for x in b.column(0).field("text").to_pylist()]
             cols = list(zip(*got, strict=True)) if got else [()] * len(STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["row", *STATS])
 
-    src = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.struct(*docs.columns).alias("row"))  # the text is sent once, inside its row
     return src.mapInArrow(run, src.select("row", *(F.lit(0).cast("long").alias(c) for c in STATS)).schema)
 
 
