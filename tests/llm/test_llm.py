@@ -475,3 +475,58 @@ def test_chat_escapes():
     for t in ("", "<|", "<\\|", "<\\\\|x|>", FORGED, "a<b|c"):
         assert "<|" not in chat.escape(t) and chat.unescape(chat.escape(t)) == t
         assert "\n" not in chat.escape_role(t + "\n\\n") and chat.unescape_role(chat.escape_role(t + "\n\\n")) == t + "\n\\n"
+
+
+# pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import duckdb
+
+    import corpus_pipeline
+
+    r = random.Random(11)
+    vocab = [f"w{k}" for k in range(400)]
+    body = lambda n: " ".join(r.choices(vocab, k=n))
+    passage = "\n".join(body(12) for _ in range(4))
+    texts = [body(r.randint(60, 200)) + "\n" + (passage if k % 4 == 0 else body(20)) + "\n" + body(30) for k in range(60)]
+    texts += [texts[5], texts[9], texts[9] + " more", "short", None, "", "junk### " * 90, "a b c " * 80, " ".join(w.upper() + "!!" for w in r.choices(vocab, k=90))]
+    rows = [(k, t, "en", r.choice(["a", "b", "c"]), len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+
+    kept = {x.doc_id for x in quality.judge(docs).where("kept").collect()}
+    assert not kept & {63, 64, 65, 66, 67} and len(kept) >= 60
+    one = [x for x in rows if x[0] in kept]
+    cut = brute_lines(one)
+    two = [(x[0], cut[x[0], x[1]][2], *x[2:4]) for x in one]
+    prints = {x[0]: print_of(x[1], 3) for x in two}
+    root = groups_of(prints.values(), 2)
+    least = {}
+    for i, p in prints.items():
+        least[root[p]] = min(least.get(root[p], i), i)
+    three = [x for x in two if least[root[prints[x[0]]]] == x[0]]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", three)
+    took = {i: (size, taken) for i, size, _, _, taken in con.execute(mixing.SQL).fetchall()}
+    four = [(i, t) for i, t, *_ in three if took[i][0] for _ in range(took[i][1] // took[i][0])]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = lambda t: np.array(library.encode_ordinary(t), "<u4").tobytes()
+    want = sorted((i, len(ids(t)) // 4, sha(ids(t)), sha(t)) for i, t in four)
+    got_rows = sorted(tuple(x) for x in out.where("n_tokens > 0").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    assert got_rows == want
+    assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_over_nothing(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
