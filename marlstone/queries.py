@@ -232,11 +232,11 @@ def d_asof_book(spark, d):
     return align.asof(t, src.books(spark, d), ["listing"], ["bid_prc", "ask_qty"], seq="seq").select("listing", "seq", "bid_prc", "ask_qty")
 
 
-@query("d_asof_strict", o.sql("SELECT DISTINCT t.listing, t.rx, b.n FROM ctrade t ASOF LEFT JOIN (SELECT listing, rx, count(*) AS n FROM cbook GROUP BY ALL) b ON t.listing = b.listing AND t.rx > b.rx"))
+@query("d_asof_strict", o.sql("SELECT DISTINCT t.listing, t.rx, coalesce(b.n, 0) AS n FROM ctrade t ASOF LEFT JOIN (SELECT listing, rx, count(*) AS n FROM cbook GROUP BY ALL) b ON t.listing = b.listing AND t.rx > b.rx"))
 def d_asof_strict(spark, d):
     t = src.trades(spark, d, HOUR).select("listing", F.col("rx").alias("t")).distinct()
     b = src.books(spark, d, HOUR).groupBy("listing", "rx").agg(F.count("*").alias("n"))
-    return align.asof(t, b, ["listing"], ["n"], strict=True).select("listing", F.col("t").alias("rx"), "n")
+    return align.asof(t, b, ["listing"], ["n"], strict=True).select("listing", F.col("t").alias("rx"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("d_asof_clipped", o.sql("SELECT f.listing, f.t, round(f.mid, 6) AS mid FROM f", o.fresh("f", "mids", "mid", clip=True, reads="(SELECT listing, rx AS t, 0 AS c FROM clock CROSS JOIN ls)")))
