@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, lines, mixing, quality, simhash
+from marlstone.llm import bpe, lines, mixing, near, quality
 from marlstone.llm._common import cut
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs, shingle=3, max_bits=2)
+    """Of each group of near-duplicates (Jaccard similarity of five-word shingles >= 0.8) the document with the smallest id stays."""
+    return near.keep_one(docs, shingle=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

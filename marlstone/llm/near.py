@@ -1,0 +1,163 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, `least` or more; links are closed into groups.
+
+No pair is missed. Search (Bayardo et al., "Scaling Up All Pairs Similarity Search", 2007): where one order of all shingles
+is fixed, two sets with J >= least share a shingle among the first n - ceil(least * n) + 1 of each. The order here puts
+shingles that are common in a sample last, so that few sets meet at them; the sample moves work only, not results.
+
+Sets that meet need not all be compared, as only groups are asked for: for each shared shingle one set, the hub, is held
+against the others, what links is closed, and after `rounds` such rounds with other hubs all pairs that share a shingle and are
+not in one group yet are compared. So a large group of near copies costs a few comparisons a member. Each comparison
+is of whole sets of 64-bit hashes.
+
+Nulls: a null text has no shingle; texts without any are copies of each other. A null doc_id counts as no id when a
+group's smallest is taken. Rows that repeat are each returned. Other columns are ignored.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import cut, ship
+from ._components import components
+from ._words import hashes, lower_ascii, shingles
+from .exact import FILTER, _places
+
+#: Texts of the sample that tells common shingles, how often they occur there, and how many are told apart.
+SAMPLE, OFTEN, COMMON = 20_000, 8, 500_000
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(hashes(shingles(lower_ascii(text), shingle)))
+
+
+def name_of(own: np.ndarray) -> int:
+    """A hash of a set, as a signed 64-bit integer."""
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
+
+
+def common_values(src: DataFrame, shingle: int) -> np.ndarray:
+    def run(batches):
+        for b in batches:
+            own = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["value"])
+
+    every = max(1, src.count() // SAMPLE)
+    some = src.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0) if every > 1 else src.select("text")
+    counts = some.mapInArrow(run, "value long").groupBy("value").count().where(F.col("count") >= OFTEN)
+    got = counts.orderBy(F.desc("count"), "value").limit(COMMON).select("value").toArrow()
+    return np.sort(got["value"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def prefixes(src: DataFrame, shingle: int, least: float, common: np.ndarray) -> DataFrame:
+    """(doc_id, sid, n, prefix) of every row: the name and size of its set, and the shingles of which one is shared."""
+    held = src.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        values = held.value  # sorted
+        for b in batches:
+            sid, n, first = [], [], []
+            for t in b.column(1).to_pylist():
+                own = shingle_set(t, shingle)
+                sid.append(name_of(own))
+                n.append(len(own))
+                late = values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own if len(values) else np.zeros(len(own), bool)
+                first.append(np.concatenate([own[~late], own[late]])[: len(own) - ceil(least * len(own) - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "sid", "n", "prefix"])
+
+    kinds = src.select("doc_id", F.lit(0).cast("long").alias("sid"), F.lit(0).alias("n"), F.array(F.lit(0).cast("long")).alias("prefix"))
+    return src.mapInArrow(run, kinds.schema)
+
+
+def sets_of(src: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(sid, own) for the wanted sids: a filter of fixed size keeps most others back, and the join the rest."""
+
+    def places(batches):
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
+
+    words = wanted.mapInArrow(places, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    held = src.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+
+    def run(batches):
+        for b in batches:
+            own = [shingle_set(t, shingle) for t in b.column(0).to_pylist()]
+            sid = np.array([name_of(x) for x in own], np.int64)
+            x, y = _places(sid)
+            hit = (held.value[x >> 6] >> (x & 63).astype(np.uint64)) & (held.value[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1)
+            at = np.flatnonzero(hit).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(sid[at]), pa.array([own[k].tobytes() for k in at], pa.binary())], ["sid", "own"])
+
+    found = src.select("text").mapInArrow(run, "sid long, own binary").join(wanted, "sid", "left_semi")
+    return found.groupBy("sid").agg(F.first("own").alias("own"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of pairs (u, v) of sids those with J >= least."""
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    one = pairs.join(sets.select(F.col("sid").alias("u"), F.col("own").alias("x")), "u")
+    two = one.join(sets.select(F.col("sid").alias("v"), F.col("own").alias("y")), "v")
+    return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, rounds: int = 2) -> DataFrame:
+    """(doc_id, component_id) of every row; component_id is the smallest doc_id of the row's group."""
+    ship(docs.sparkSession)
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = cut(prefixes(src, shingle, least, common_values(src, shingle)))
+    met = rows.select(F.explode("prefix").alias("value"), "sid", "n")
+    shared = met.groupBy("value").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("value")
+    met = cut(met.join(shared, "value").distinct())
+    sets = cut(sets_of(src, shingle, met.select("sid").distinct()))
+    links, roots = None, None
+    for k in range(rounds + 1):
+        now = met.withColumn("comp", F.col("sid"))
+        if roots is not None:
+            now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("value", "sid", "n", F.coalesce("root", "sid").alias("comp"))
+        now = cut(now)
+        if k < rounds:
+            hubs = now.groupBy("value").agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), "sid", "n", "comp")).alias("o"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+            other = hubs.where("a <> b").select("value", F.col("o.sid").alias("sid2"), F.col("o.n").alias("n2"), F.col("o.comp").alias("comp2"))
+        else:  # all pairs but those inside the largest group that has the shingle
+            large = now.groupBy("value", "comp").count().groupBy("value").agg(F.max(F.struct("count", "comp")).alias("o"), F.count("*").alias("c")).where("c > 1")
+            other = now.join(large, "value").where("comp <> o.comp").select("value", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        near = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9)
+        pairs = cut(now.join(other, "value").where(near).select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct())
+        if pairs.isEmpty():
+            break
+        more = cut(similar(pairs, sets, least))
+        links = more if links is None else links.unionByName(more)
+        roots = cut(components(links).select("node", "root"))
+    own = rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"))
+    if roots is None:
+        named = own.select("sid", F.col("first_id").alias("component_id"))
+    else:
+        joined = own.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
+        named = joined.join(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("sid", "component_id")
+    return rows.select("doc_id", "sid").join(named, "sid").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that carry their group's smallest doc_id, as simhash.keep_one does."""
+    if "doc_id" not in docs.columns:
+        raise ValueError("doc_id is missing")
+    lose = near_groups(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(lose, "doc_id", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, chat, exact, lines, mixing, ngrams, quality, simhash, substrings, toxicity
+from marlstone.llm import bpe, chat, exact, lines, mixing, near, ngrams, quality, simhash, substrings, toxicity
 from marlstone.llm._components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -342,6 +342,57 @@ def test_simhash_keep_one(docs, empty, clashing):
     assert simhash.keep_one(empty).count() == 0
 
 
+def near_texts():
+    """Chains of edited texts, about half of the steps above the limit, and one crowd around a common text."""
+    r = random.Random(8)
+    vocab = [f"w{k}" for k in range(500)]
+    texts = [None, "", "a", "A", "one two three"]
+    for _ in range(25):
+        w = r.choices(vocab, k=r.randint(20, 120))
+        for _ in range(4):
+            texts.append(" ".join(w))
+            for _ in range(max(1, len(w) // r.choice([20, 40, 60]))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+    base = r.choices(vocab, k=100)
+    return texts + [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in range(40)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2])
+def test_near_groups_by_jaccard(spark, empty, rounds, monkeypatch):
+    monkeypatch.setattr(near, "OFTEN", 3)
+    rows = list(enumerate(near_texts()))
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    at = list(range(len(rows)))
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    close = missed = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                at[b] = a
+                close += 1
+                missed += (print_of(rows[i][1], 3) ^ print_of(rows[j][1], 3)).bit_count() > 2
+    assert missed > close / 2  # the same groups are beyond a fingerprint within two bits
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(near.near_groups(docs, rounds=rounds)) == sorted(((i, root(i)) for i, _ in rows), key=repr)
+    assert near.near_groups(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_at_the_limit(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(120)]
+    other = [*w[:40], "x", *w[41:80], "y", *w[81:]]  # 106 of 126 shingles
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other)), (3, " ".join(reversed(w)))], "doc_id long, text string")
+    assert (print_of(" ".join(w), 3) ^ print_of(" ".join(other), 3)).bit_count() > 2
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
 def test_components_of_paths_and_stars(spark):
     e = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     out = {r.node: r.root for r in components(spark.createDataFrame(e, "u long, v long")).collect()}
