@@ -7,7 +7,8 @@ Fairness in Text Classification through Robustness", 2019). So a group's name ca
 neutral mentions are not taken for toxic ones.
 
 The fit sees a bounded sample of labelled rows: at most `max_rows`, those with the least hash of their id, so that
-the sample is the same on every run and small enough to broadcast. Features are chosen from it by how many
+the sample is the same on every run and small enough to broadcast. All swaps of the sample count: equal differences of
+features are counted on the executors, and the penalty weighs each by its count. Features are chosen from it by how many
 standard errors lie between their shares of toxic and of other rows, `least_z` at least. Everything else sees every row and its whole text; labels, languages, sources and ids are not inputs.
 
 Nulls: a null text is empty and scores as the intercept; rows without label or id are not used for fitting; of
@@ -113,14 +114,14 @@ class Rows:
         return np.bincount(self.col, self.sign * r[self.row], self.shape[1])
 
 
-def fit_logistic(x: Rows, y: np.ndarray, pairs: Rows, l2: float, counterfactual: float, rounds: int = 1000) -> np.ndarray:
+def fit_logistic(x: Rows, y: np.ndarray, pairs: Rows, times: np.ndarray, l2: float, counterfactual: float, rounds: int = 1000) -> np.ndarray:
     """Weights, the intercept last: accelerated gradient descent on the mean log-loss, plus l2 / 2 * |w|^2 and
-    counterfactual / 2 * mean (pairs . w)^2, where a row of `pairs` is the difference of two feature vectors."""
+    counterfactual / 2 * mean (pairs . w)^2, where a row of `pairs` is the difference of two feature vectors, met as many `times`."""
     n, k = x.shape
-    m = pairs.shape[0]
+    m = times.sum()
 
     def pull(w: np.ndarray) -> np.ndarray:
-        return counterfactual * pairs.turned_times(pairs.times(w)) / m if m else np.zeros(k)
+        return counterfactual * pairs.turned_times(times * pairs.times(w)) / m if m else np.zeros(k)
 
     w = np.zeros(k + 1)
     w[-1] = np.log(y.mean() / (1 - y.mean()))
@@ -144,7 +145,7 @@ def fit_logistic(x: Rows, y: np.ndarray, pairs: Rows, l2: float, counterfactual:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000, max_pairs: int = 20_000,
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000,
     least_z: float = 5.0, l2: float = 1e-5, counterfactual: float = 10.0, identities: Sequence[Sequence[str]] = IDENTITIES,
 ) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): all label rows given may be used, so leave held-out ones away."""
@@ -188,12 +189,12 @@ def train(
 
     rows = sample.mapInArrow(vectors, "y int, plus array<int>, minus array<int>")
     got = sorted(rows.where("y >= 0").collect())  # max_rows at most
-    differ = sorted(rows.where("y < 0").orderBy(F.xxhash64("plus", "minus")).limit(max_pairs).collect())
+    differ = sorted(rows.where("y < 0").groupBy("plus", "minus").agg(F.count("*").alias("times")).collect())  # as many as names and their stems differ
 
     def sparse(which) -> Rows:
         return Rows([r.plus for r in which], [r.minus for r in which], len(chosen))
 
-    w = fit_logistic(sparse(got), np.array([r.y for r in got], float), sparse(differ), l2, counterfactual)
+    w = fit_logistic(sparse(got), np.array([r.y for r in got], float), sparse(differ), np.array([r.times for r in differ], float), l2, counterfactual)
     return Model(dict(zip(chosen, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 

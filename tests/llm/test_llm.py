@@ -187,6 +187,33 @@ def test_toxicity(spark, empty):
     assert [h[0] for h in held] == [zlib.crc32(str(k).encode()) % 3 == 1 for k in range(30)]
 
 
+def test_toxicity_penalises_every_group(spark):
+    r = random.Random(4)
+    kinds = [("women", "men"), ("girls", "boys"), ("frauen", "männer"), ("mujeres", "hombres"), ("old", "young")]
+    rows = []
+    for k in range(900):
+        bad = k % 3 == 0
+        said = "gloom one two. " if bad else "one two three. "
+        for kind in kinds:  # 40,500 swaps in toxic texts
+            said += f"{kind[0]} three. " * 27 if bad else f"{r.choice(kind)} four. " * (r.random() < 0.2)
+        rows.append((k, said, int(bad)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fair, plain = (toxicity.train(d, d, counterfactual=c) for c in (10.0, 0.0))
+    odds = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
+    for one, two in kinds:
+        assert abs(odds(fair, one) - odds(fair, two)) < 0.2 * abs(odds(plain, one) - odds(plain, two)), one
+
+
+def test_fit_weighs_differences_by_their_count():
+    r = np.random.default_rng(3)
+    x = toxicity.Rows([sorted(r.choice(6, 3, replace=False).tolist()) for _ in range(80)], [[]] * 80, 6)
+    y = r.integers(0, 2, 80).astype(float)
+    few = toxicity.Rows([[0], [2]], [[1], [3]], 6)
+    all_rows = toxicity.Rows([[0]] * 5 + [[2]], [[1]] * 5 + [[3]], 6)
+    a = toxicity.fit_logistic(x, y, few, np.array([5.0, 1.0]), 1e-3, 1.0)
+    assert np.allclose(a, toxicity.fit_logistic(x, y, all_rows, np.ones(6), 1e-3, 1.0))
+
+
 # repeated bytes and words
 
 
