@@ -86,13 +86,13 @@ class Model:
         self.__init__(*state)
 
 
-def swaps(text: str, identities: Sequence[Sequence[str]], most: int = 4) -> list[tuple[str, str]]:
-    """(sentence, the same with one name swapped) for sentences that have one; `most` swaps a sentence."""
+def swaps(text: str, identities: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
+    """(sentence, the same with one name swapped) for sentences that have one, once for each other name of its kind."""
     kind = {t: g for g in identities for t in g}
     out = []
     for s in _SENTENCE.findall(text.lower()):
         for w in set(_WORD.findall(s)) & kind.keys():
-            others = [t for t in kind[w] if t != w][:most]
+            others = [t for t in kind[w] if t != w]
             out += [(s, regex.sub(rf"\b{regex.escape(w)}\b", t, s)) for t in others]
     return out
 
@@ -145,7 +145,7 @@ def fit_logistic(x: Rows, y: np.ndarray, pairs: Rows, times: np.ndarray, l2: flo
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 1000,
+    docs: DataFrame, labels: DataFrame, max_rows: int = 20_000,
     least_z: float = 5.0, l2: float = 1e-5, counterfactual: float = 10.0, identities: Sequence[Sequence[str]] = IDENTITIES,
 ) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): all label rows given may be used, so leave held-out ones away."""
@@ -171,7 +171,7 @@ def train(
     share, a, c = F.col("n") / total, F.col("a") / bad, (F.col("n") - F.col("a")) / (total - bad)
     z = F.abs(a - c) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / bad + 1 / (total - bad)))
     counts = sample.mapInArrow(tokens, "feature string, toxic int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).where("n >= 4")
-    chosen = [r[0] for r in counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(max_features).collect()]
+    chosen = [r[0] for r in counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").collect()]
     index = {f: k for k, f in enumerate(chosen)}
     reader = Model(dict.fromkeys(chosen, 0.0), 0.0)
 

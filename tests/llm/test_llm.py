@@ -204,6 +204,16 @@ def test_toxicity_penalises_every_group(spark):
         assert abs(odds(fair, one) - odds(fair, two)) < 0.2 * abs(odds(plain, one) - odds(plain, two)), one
 
 
+def test_toxicity_keeps_every_feature_and_swaps_every_name(spark):
+    assert {t for _, t in toxicity.swaps("muslims pray", toxicity.IDENTITIES)} == {f"{x} pray" for x in ("christians", "jews", "hindus", "buddhists", "atheists")}
+    r = random.Random(6)
+    bad = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(300)]
+    rows = [(k, " ".join(r.sample(bad, 100)) if k % 2 else "one two three", k % 2) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights = toxicity.train(d, d, counterfactual=0.0).weights
+    assert len(weights) > 1000 and all(f"={w}" in weights for w in bad)
+
+
 def test_fit_weighs_differences_by_their_count():
     r = np.random.default_rng(3)
     x = toxicity.Rows([sorted(r.choice(6, 3, replace=False).tolist()) for _ in range(80)], [[]] * 80, 6)
