@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import cut, ship
 from ._words import words
@@ -68,18 +69,18 @@ def text_stats(text: str | None) -> tuple[int, ...]:
     return n, bare, symbols, dup_lines, repeat, lines, upper, letters, marks, len(code)
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """Each row of `docs` as the struct `row`, and its counts."""
-    ship(docs.sparkSession)
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType(), False) for c in STATS]))
+def _counts(texts: pa.Array) -> pa.Array:
+    got = [text_stats(x) for x in texts.to_pylist()]
+    cols = list(zip(*got, strict=True)) if got else [()] * len(STATS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], list(STATS))
 
-    def run(batches):
-        for b in batches:
-            got = [text_stats(x) for x in b.column(0).field("text").to_pylist()]
-            cols = list(zip(*got, strict=True)) if got else [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["row", *STATS])
 
-    src = docs.select(F.struct(*docs.columns).alias("row"))  # the text is sent once, inside its row
-    return src.mapInArrow(run, src.select("row", *(F.lit(0).cast("long").alias(c) for c in STATS)).schema)
+def with_stats(docs: DataFrame) -> DataFrame:
+    """Each row of `docs` as the struct `row`, and its counts. Python gets the text and gives integers; the row itself
+    stays where it is."""
+    ship(docs.sparkSession)
+    return docs.select(F.struct(*docs.columns).alias("row"), _counts(F.col("text").cast("string")).alias("_s")).select("row", "_s.*")
 
 
 @dataclass(frozen=True)
@@ -177,8 +178,8 @@ def judge(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, leas
 
 
 def keep_good(docs: DataFrame, rules: Callable[[], list[Rule]] = default_rules, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` that pass, with all their columns. The counts are made twice, so that no text is stored or shuffled."""
+    """The rows of `docs` that pass, with all their columns. The counts are made twice, so that no text is stored,
+    shuffled or sent back from Python."""
     own = rules()
-    counted = with_stats(docs)
-    found = fit_rules(counted.select(*STATS), own)
-    return counted.where(_verdict(found, own, least)).select("row.*")
+    found = fit_rules(with_stats(docs.select("text")).select(*STATS), own)
+    return with_stats(docs).where(_verdict(found, own, least)).select("row.*")
