@@ -11,8 +11,16 @@ and candidates are verified on all 64 bits.
 
 Only distinct fingerprints are searched, so copies cost nothing. A partition value that very many distinct
 fingerprints share would emit their pairs; such fingerprints, and those probing them, are linked another way that is
-also exact: two fingerprints are within 2r bits just if their balls of radius r meet, and a point of a ball is shared
-by at most as many fingerprints as a ball has points.
+also exact: two fingerprints are within r + s bits just if a ball of radius r around one meets a ball of radius s around the
+other, and a point is shared by at most as many fingerprints as a ball has points.
+
+similar_groups() asks for more than a few bits can tell: a Jaccard similarity of `least`, 0.8 by default, of five-word
+shingles. Sets of that similarity differ in about ten bits of 64, which no pigeonhole search reaches without probing
+most of the corpus. So the search proposes the pairs within `max_bits`, and what it cannot reach is found by prefixes of
+the sets (_sets); a pair that prefixes propose is dropped if its fingerprints are `FAR` bits apart or more, and every pair
+left is verified by the Jaccard similarity of the whole sets. For each shared shingle one set, the hub, is held against the
+others, what links is closed into groups, and then only pairs across groups are compared, so a large group of near copies
+costs a few comparisons a member.
 
 Nulls: a null text has no word, so fingerprint zero; a null doc_id is kept, and counts as no id when a group's
 smallest is taken. Rows that repeat are each returned. Other columns are ignored.
@@ -29,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ._common import cut, ship
 from ._components import components
+from ._sets import common_values, similar, summaries
 from ._words import hashes, lower_ascii, shingles
 
 BITS = 64
@@ -36,11 +45,13 @@ BITS = 64
 CROWD = 512
 #: Cost of one probe in candidates, for the dynamic programme.
 PROBE_COST = 4.0
+#: Sets of LARGE shingles and more with J >= 0.8 differ in FAR bits or more with a chance of some 1e-6: a bit differs with
+#: chance acos(0.889) / pi = 0.15.
+FAR, LARGE = 25, 64
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """As a signed 64-bit integer."""
-    got = hashes(shingles(lower_ascii(text), shingle))
+def fingerprint_of(got: np.ndarray) -> int:
+    """Of shingle hashes, as a signed 64-bit integer."""
     if not len(got):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -49,6 +60,10 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > len(got), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return fingerprint_of(hashes(shingles(lower_ascii(text), shingle)))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row."""
     ship(docs.sparkSession)
@@ -191,25 +206,38 @@ def _keys(distinct: DataFrame, groups, ones, n, max_bits) -> DataFrame:
 
 
 def _by_balls(crowd: DataFrame, max_bits: int) -> DataFrame:
-    """Links inside `crowd` (fp): one to the least fingerprint for each shared point of the balls of radius max_bits / 2."""
-    flips = np.concatenate([_flips(BITS, e) for e in range(max_bits // 2 + 1)]) if max_bits else np.zeros(1, np.int64)
+    """Links inside `crowd` (fp), by points. Two fingerprints are within r + s bits just if some point is within r of one and
+    s of the other, where r and s are max_bits halved, down and up. At each point all within s are linked to the least one
+    within r, if there is one: it is within max_bits of them."""
+    r, s = max_bits // 2, max_bits - max_bits // 2
+    flips = np.concatenate([_flips(BITS, e) for e in range(s + 1)]) if max_bits else np.zeros(1, np.int64)
+    inner = np.concatenate([np.full(len(_flips(BITS, e)), e <= r) for e in range(s + 1)]) if max_bits else np.ones(1, bool)
 
     def run(batches):
         for b in batches:
             fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for at in range(0, len(fps), 1000):
                 x = fps[at : at + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array((x[:, None] ^ flips).ravel()), pa.array(np.repeat(x, len(flips)))], ["hub", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array((x[:, None] ^ flips).ravel()), pa.array(np.repeat(x, len(flips))), pa.array(np.tile(inner, len(x)))], ["point", "fp", "inner"])
+
+    points = crowd.mapInArrow(run, "point long, fp long, inner boolean")
+    least = F.min(F.when(F.col("inner"), F.col("fp"))).alias("v")
+    held = points.groupBy("point").agg(F.collect_list("fp").alias("own"), least).where("size(own) > 1 and v is not null")  # a ball's points at most
+    return held.select(F.explode("own").alias("u"), "v").where("u <> v").distinct()
+
+
+def _by_stars(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Each crowded value's fingerprints, and those probing it, held against its least one."""
+    own = keys.join(hot, ["part", "value"])
+    least = own.where("not probe").groupBy("part", "value").agg(F.min("fp").alias("v"))
+    return own.select("part", "value", F.col("fp").alias("u")).join(least, ["part", "value"]).where("u <> v").select("u", "v").distinct()
 
-    hubs = crowd.mapInArrow(run, "hub long, fp long")
-    held = hubs.groupBy("hub").agg(F.collect_list("fp").alias("own")).where("size(own) > 1")  # a ball's points at most
-    return held.select(F.explode("own").alias("u"), F.array_min("own").alias("v")).where("u <> v").distinct()
 
+def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD, whole: bool = True) -> DataFrame:
+    """(u, v) between distinct fingerprints (column fp): every pair within max_bits, but inside crowds only as many as connect the same sets.
 
-def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp): every pair within max_bits, but inside crowds only as many as connect the same sets."""
-    if max_bits % 2 and crowd < 1 << 62:
-        raise ValueError("max_bits must be even: crowded values are linked by balls of half that radius")
+    whole=False is for callers that search on by other means: crowded values only propose pairs with their least fingerprint.
+    """
     spark = distinct.sparkSession
     ship(spark)
     n, both = co_set(distinct)
@@ -220,7 +248,7 @@ def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD) -> DataFra
         cold, more = keys, None
     else:
         cold = keys.join(hot, ["part", "value"], "left_anti")
-        more = _by_balls(cut(keys.join(hot, ["part", "value"], "left_semi").select("fp").distinct()), max_bits)
+        more = _by_balls(cut(keys.join(hot, ["part", "value"], "left_semi").select("fp").distinct()), max_bits) if whole else _by_stars(keys, hot)
     a = cold.where("probe").select("part", "value", F.col("fp").alias("u"))
     b = cold.where("not probe").select("part", "value", F.col("fp").alias("v"))
     found = a.join(b, ["part", "value"]).where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)).select("u", "v")
@@ -238,12 +266,72 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that carry their group's smallest doc_id: one document of each group stays.
+def _across(met: DataFrame, roots: DataFrame | None, every_pair: bool, least: float) -> DataFrame:
+    """(u, v) of sets that share a value of met (value, sid, n, fp) and are not in one group yet. every_pair: all but those
+    inside the group that has the value most often; else each value's hub against the others."""
+    now = met.withColumn("comp", F.col("sid"))
+    if roots is not None:
+        now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(*met.columns, F.coalesce("root", "sid").alias("comp"))
+    now = cut(now)
+    as_other = [F.col(c).alias(f"{c}2") for c in ("sid", "n", "fp", "comp")]
+    if every_pair:
+        large = now.groupBy("value", "comp").count().groupBy("value").agg(F.max(F.struct("count", "comp")).alias("o"), F.count("*").alias("c")).where("c > 1")
+        other = now.join(large, "value").where("comp <> o.comp").select("value", *as_other)
+    else:
+        hub = F.min(F.struct(F.xxhash64("sid", F.lit(1)).alias("h"), "sid", "n", "fp", "comp")).alias("o")
+        hubs = now.groupBy("value").agg(hub, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+        other = hubs.select("value", "o.*").select("value", *as_other)
+    like = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9)
+    like &= (F.least("n", "n2") < LARGE) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) < FAR)
+    return now.join(other, "value").where(like).select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 4, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: groups of texts whose sets of shingles have a Jaccard similarity of `least`,
+    0.8 or more; fp is the fingerprint of the set."""
+    if least < 0.8:
+        raise ValueError("least must be 0.8 or more")
+    ship(docs.sparkSession)
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = cut(summaries(src, shingle, least, common_values(src, shingle), fingerprint_of))
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_k"), "doc_id", "rid")).alias("w")
+    sets = cut(rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), one, F.first("prefix").alias("prefix")))
+    where = sets.select("sid", "w.doc_id", "w.rid")
+
+    hubs = cut(sets.groupBy("fp").agg(F.min("sid").alias("hub")))
+    same = sets.select("sid", "fp").join(hubs, "fp").where("sid <> hub").select(F.col("hub").alias("u"), F.col("sid").alias("v"))
+    found = links(hubs.select("fp"), max_bits, crowd, whole=False)
+    for end in ("u", "v"):
+        found = found.join(hubs.select(F.col("fp").alias(end), F.col("hub").alias(f"{end}_")), end).drop(end).withColumnRenamed(f"{end}_", end)
+    pairs = found.select("u", "v").unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    met = sets.select(F.explode("prefix").alias("value"), "sid", "n", "fp")
+    shared = met.groupBy("value").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("value")
+    met = cut(met.join(shared, "value"))
+    near, roots = None, None
+    for every_pair in (None, False, True):
+        pairs = cut(pairs if every_pair is None else _across(met, roots, every_pair, least))
+        if pairs.isEmpty():
+            continue
+        more = cut(similar(pairs, src, where, shingle, least))
+        near = more if near is None else near.unionByName(more)
+        roots = cut(components(near).select("node", "root"))
+    if roots is None:
+        named = sets.select("sid", F.col("first_id").alias("component_id"))
+    else:
+        joined = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
+        named = joined.join(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("sid", "component_id")
+    return rows.select("doc_id", "fp", "sid").join(named, "sid").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float | None = None, **options) -> DataFrame:
+    """The rows of `docs` that carry their group's smallest doc_id: one document of each group stays. Groups are those of
+    near_groups(), or of similar_groups() if `least`, a Jaccard similarity, is given.
 
     Rows repeating that doc_id stay too, as they are one document; a group with null ids only keeps all its rows.
     """
     if "doc_id" not in docs.columns:
         raise ValueError("doc_id is missing")
-    lose = near_groups(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    groups = near_groups(docs, **options) if least is None else similar_groups(docs, least=least, **options)
+    lose = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(lose, "doc_id", "left_anti").select(*docs.columns)
