@@ -3,11 +3,12 @@
 Targets: the sources share all words by weight; a target stops at `most` times its source's words, and the excess is
 shared out again by weight until none is above (one closed form over the table of sources).
 
-Copies: a document is due target / words of its source copies (times its own weight, if one is given). The whole part
-is certain. The rest is its inclusion probability p in a fixed-size sample (Rosen, "On sampling with probability
-proportional to size", 1997): with a random u, documents are ranked by the odds u / (1 - u) divided by p / (1 - p),
-and the first are taken until the words still due are met as nearly as whole documents can. u comes from a digest of
-the doc_id, so reruns agree.
+Copies: a document is due copies in proportion to its own weight, `most` at most, such that its source's words due add up
+to the target (a closed form over the table of sources and weights; weights are rounded to two digits, so it has some
+hundreds of rows a source at most). The whole part is certain. The rest is its inclusion probability p in a fixed-size
+sample (Rosen, "On sampling with probability proportional to size", 1997): with a random u, documents are ranked by the
+odds u / (1 - u) divided by p / (1 - p), and the first are taken until the words still due are met as nearly as whole
+documents can. u comes from a digest of the doc_id, so reruns agree.
 
 No source is ever gathered or sorted: two rounds of histograms over the rank find, for each source, the cell where its
 words run out, and only that cell (some 1 / 16,777,216 of the source) is sorted.
@@ -58,23 +59,49 @@ def _same(a: DataFrame, b: DataFrame, how: str = "left") -> DataFrame:
     return a.join(b, a["source"].eqNullSafe(b["_source"]), how).drop("_source")
 
 
+def two_digits(weight: Column) -> Column:
+    """A weight above zero, rounded to two digits; null, NaN and all others count as none."""
+    ok = F.when((weight > 0) & (weight < float("inf")), weight.cast("double"))
+    place = F.floor(F.log10(ok)) - 1
+    return F.when(place >= 0, F.round(ok / F.pow(F.lit(10.0), place)) * F.pow(F.lit(10.0), place)).otherwise(F.round(ok * F.pow(F.lit(10.0), -place)) / F.pow(F.lit(10.0), -place))
+
+
+def rates(sizes: DataFrame, aims: DataFrame, most: int) -> DataFrame:
+    """sizes (source, weight, size) -> (source, weight, due): copies for each weight, that add up to the source's target.
+
+    Heavier documents reach the limit first; the level is that at which all heavier ones are at the limit and none other is.
+    """
+    per = _same(sizes.where("weight is not null").groupBy("source", "weight").agg(F.sum("size").cast("double").alias("s")), aims.select("source", "target"))
+    w = W.partitionBy("source").orderBy(F.desc("weight"))
+    before = F.coalesce(F.sum("s").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    rest = F.sum(F.col("weight") * F.col("s")).over(w.rowsBetween(0, W.unboundedFollowing))
+    per = per.withColumn("level", F.try_divide(F.col("target") - most * before, rest))
+    per = per.withColumn("level", F.when(F.col("level") * F.col("weight") < most, F.col("level")))
+    level = F.max("level").over(W.partitionBy("source"))
+    due = F.when(F.col("target") > 0, F.least(F.lit(float(most)), F.coalesce(level * F.col("weight"), F.lit(float(most))))).otherwise(0.0)
+    return per.select("source", "weight", F.greatest(due, F.lit(0.0)).alias("due"))
+
+
 def copies(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, weight: Column | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row of `docs` (doc_id, source, text)."""
-    sized = cut(
-        docs.select(
-            "doc_id",
-            F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            (F.lit(1.0) if weight is None else weight.cast("double")).alias("weight"),
-            unit(F.col("doc_id"), seed).alias("u"),
-        )
+    """(doc_id, source, size, source_size, target, copies) of every row of `docs` (doc_id, source, text).
+
+    weight: a document's own, over doc_id, source and size, its words; documents without one are left out. None: all alike.
+    """
+    sized = docs.select(
+        "doc_id",
+        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        unit(F.col("doc_id"), seed).alias("u"),
     )
-    aims = targets(sized, weights, most)
-    aims = _same(aims, sized.groupBy("source").agg((F.try_divide(F.sum("size").cast("double"), F.sum(F.col("weight") * F.col("size")))).alias("norm")))
-    aims = cut(aims)
+    sized = cut(sized.withColumn("weight", F.lit(1.0) if weight is None else two_digits(weight)))
+    aims = cut(targets(sized, weights, most))
     few = aims.count() <= FEW
-    due = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)) * F.col("weight") * F.coalesce("norm", F.lit(1.0)))
-    ranked = _same(sized, F.broadcast(aims) if few else aims).withColumn("due", due).withColumn("whole", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.col("whole"))
+    due = cut(rates(sized, aims, most))
+    many = due.count() > FEW
+    ranked = _same(sized, F.broadcast(aims) if few else aims)
+    due = due.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), "due")
+    ranked = ranked.join(due if many else F.broadcast(due), ranked["source"].eqNullSafe(F.col("_source")) & (F.col("weight") == F.col("_weight")), "left").drop("_source", "_weight")
+    ranked = ranked.withColumn("due", F.coalesce("due", F.lit(0.0))).withColumn("whole", F.floor("due").cast("long")).withColumn("p", F.col("due") - F.col("whole"))
     odds = (F.col("u") / (1 - F.col("u"))) * F.try_divide(1 - F.col("p"), F.col("p"))
     ranked = ranked.withColumn("q", odds).withColumn("at", F.col("q") / (1 + F.col("q")))
     ranked = ranked.withColumn("cell", F.least(F.floor(F.col("at") * CELLS * CELLS), F.lit(CELLS * CELLS - 1)).cast("long"))
@@ -83,6 +110,11 @@ def copies(docs: DataFrame, seed: int = 7, weights: tuple[float, ...] = (1, 2, 3
     return _same(ranked, F.broadcast(last) if few else last).select("doc_id", "source", "size", "source_size", "target", F.coalesce(taken, F.col("whole")).alias("copies"))
 
 
+#: The weight that the queries use: binary digits of a document's words, so that longer documents come more often.
+def by_length() -> Column:
+    return F.length(F.bin("size")).cast("double")
+
+
 def _last(ranked: DataFrame, few: bool) -> DataFrame:
     """(source, last): the highest rank that is still taken; sources that take none are left out. few: tables of sources
     are small enough to broadcast."""
@@ -136,9 +168,15 @@ leveled as (
 aims as (
   select source, source_size, least(3 * source_size::double, coalesce(w * max(case when 3 * source_size > w * level then level end) over (), 3 * source_size::double)) as target
   from leveled),
+classes as (select source, length(bin(size))::double as w, sum(size)::double as s from sized group by all),
+rated as (
+  select c.*, a.target, (a.target - 3 * coalesce(sum(s) over (partition by c.source order by w desc rows between unbounded preceding and 1 preceding), 0))
+            / nullif(sum(w * s) over (partition by c.source order by w desc rows between current row and unbounded following), 0) as level
+  from classes c join aims a on c.source is not distinct from a.source),
+rates as (select source, w, greatest(case when target > 0 then least(3.0::double, coalesce(max(case when level * w < 3 then level end) over (partition by source) * w, 3.0::double)) else 0 end, 0.0::double) as due from rated),
 due as (
-  select s.*, a.source_size, a.target, least(3.0::double, case when a.source_size = 0 then 0.0 else a.target / a.source_size end) as due
-  from sized s join aims a on s.source is not distinct from a.source),
+  select s.*, a.source_size, a.target, r.due
+  from sized s join aims a on s.source is not distinct from a.source join rates r on s.source is not distinct from r.source and length(bin(s.size)) = r.w),
 ranked as (
   select *, floor(due)::bigint as whole, due - floor(due) as p,
          case when due > floor(due) then (u / (1 - u)) * ((1 - (due - floor(due))) / (due - floor(due))) end as q
