@@ -6,6 +6,9 @@ and the lines that any of them covers are removed. Counting has a map-side combi
 first occurrence by a join that adaptive execution splits where it is skewed, so a passage in a third of all documents
 is no hot spot. A document with fewer than three such lines is left as it is.
 
+Very long texts are cut into lines whole; an empty text has no line. An empty table gives an empty result. Extra columns
+are kept whole, whatever their names.
+
 Nulls: a null text stays null; a null doc_id comes before all others. Rows equal in id and text are one document.
 """
 
@@ -69,15 +72,22 @@ def _marked(docs: DataFrame) -> DataFrame:
 _TEXT = "row.text"
 
 
-def _kept():
+def _with_kept(marked: DataFrame) -> DataFrame:
+    """`marked` with `kept`, the text without the lines in `gone`. Lines and marks are sorted by number together, a mark
+    before its line, so a line looks at what stands before it: no line is looked up in the list of marks."""
     text = F.col(_TEXT).cast("string")
-    rest = F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains("gone", k))
-    return F.when(F.col("gone").isNull(), text).otherwise(F.array_join(rest, "\n"))
+    none = F.lit(None).cast("string")
+    lines = F.transform(F.split(text, "\n", -1), lambda x, k: F.struct(k.alias("k"), F.lit(1).alias("line"), x.alias("x")))
+    marks = F.transform("gone", lambda k: F.struct(k.alias("k"), F.lit(0).alias("line"), none.alias("x")))
+    marked = marked.withColumn("_sorted", F.when(F.col("gone").isNotNull(), F.sort_array(F.concat(lines, marks))))
+    stays = lambda x, k: (x["line"] == 1) & ((k == 0) | (F.get(F.col("_sorted"), k - 1)["line"] == 1))
+    rest = F.array_join(F.transform(F.filter("_sorted", stays), lambda x: x["x"]), "\n")
+    return marked.withColumn("kept", F.when(F.col("gone").isNull(), text).otherwise(rest))
 
 
 def remove_later(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; text without later occurrences, and n_chars, if there is one, to match."""
-    new = _marked(docs).withColumn("kept", _kept())
+    new = _with_kept(_marked(docs))
     fresh = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.char_length("kept")).cast(docs.schema["n_chars"].dataType)
@@ -87,7 +97,7 @@ def remove_later(docs: DataFrame) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256): lines with a word, those removed, and a digest of the rest; null counts as empty."""
     has_word = F.size(F.filter(F.split(F.coalesce(F.col(_TEXT).cast("string"), F.lit("")), "\n", -1), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0))
-    return _marked(docs).select("doc_id", has_word.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return _with_kept(_marked(docs)).select("doc_id", has_word.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: DuckDB: the query op7, over the view documents.
