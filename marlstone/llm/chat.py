@@ -15,7 +15,8 @@ length needs memory for one window and its repeated turns only. The last window
 starts, so memory does not grow with a conversation.
 
 Nulls: a null text or role is empty, a null turn comes first, rows with a null conv_id are one conversation. Equal
-turns are ordered by role and text. Repeated rows are turns of their own. Other columns are ignored.
+turns are ordered by role and text. Repeated rows are turns of their own. An empty table gives no window. Other columns
+are ignored, whatever their names; a turn of any length is kept whole.
 """
 
 from __future__ import annotations
@@ -61,6 +62,8 @@ def count_words(text: str) -> int:
 
 #: Tokens that a turn's marks count for.
 MARKS = 4
+#: Characters of formatted text that are sent on together.
+TOGETHER = 1 << 20
 
 
 class Window:
@@ -144,9 +147,13 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
     dealt = src.repartition(parts(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int32()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("repeats", pa.int32())])
 
+    def packed(some):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches):
         rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), strict=True))
         ahead = next(rows, None)
+        done, size = [], 0
         while ahead is not None:
             conv = ahead[0]
 
@@ -157,8 +164,13 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
                     ahead = next(rows, None)
 
             for k, w in enumerate(windows(own(), budget, history, target, tokens)):
-                spans = [{"start": a, "end": b} for a, b in w.spans]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((conv, k, w.text(), spans, w.repeats), schema.types, strict=True)], schema=schema)
+                done.append((conv, k, w.text(), [{"start": a, "end": b} for a, b in w.spans], w.repeats))
+                size += len(done[-1][2])
+                if size >= TOGETHER:
+                    yield packed(done)
+                    done, size = [], 0
+        if done:
+            yield packed(done)
 
     return dealt.mapInArrow(run, FORMATTED)
 
