@@ -8,7 +8,9 @@ as long. So each byte is moved once at most, unique texts leave after a few doze
 equality is decided by the bytes themselves. No group is gathered: a part is known by its least row, and the rows find
 their part's count by a join that adaptive execution splits where it is skewed.
 
-Of equal texts the one with the most code points stays, then the smallest doc_id (a null id before all others).
+Of equal texts the one with the most code points stays, then the smallest doc_id (a null id before all others); where
+rows repeat that id with as many code points but other blanks, one of these texts. An empty table gives an empty result,
+and a very long text is moved in slices like any other.
 A null text is empty. Rows equal in id and text are one document: each counts in group_size, and they stay or go
 together; a hash of the text only tells rows that repeat an id apart. Other columns are ignored or kept whole.
 """
@@ -88,7 +90,7 @@ def _parts(docs: DataFrame, at: int, wide: int, open_rows: DataFrame | None) ->
 
 
 def settle(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rid, text_sha256) of every row, and (doc_id, rid, keep_id, group_size) of those that have an equal
+    """(doc_id, rid, text_sha256) of every row, and (doc_id, rid, keep_id, keep_rid, group_size) of those that have an equal
     row; in the second, one row for repeated rows."""
     id_type = docs.schema["doc_id"].dataType
     at, wide, groups, done, base = 0, FIRST, None, None, None
@@ -100,12 +102,12 @@ def settle(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             rows = cut(_on(rows.drop("text_sha256"), groups, "inner"))
         least = rows.groupBy("g_id", "g_rid", "part", "more").agg(
-            F.count("*").alias("group_size"), F.min(F.struct("doc_id", "rid")).alias("g"), F.min(F.struct((-F.col("chars")).alias("n"), "doc_id")).alias("best")
+            F.count("*").alias("group_size"), F.min(F.struct("doc_id", "rid")).alias("g"), F.min(F.struct((-F.col("chars")).alias("n"), "doc_id", "rid")).alias("best")
         )
         least = least.where("group_size > 1").select(F.col("g_id").alias("o_id"), F.col("g_rid").alias("o_rid"), F.col("part").alias("o_part"), F.col("more").alias("o_more"), "g", "best", "group_size")
         met = rows.join(least, rows["g_id"].eqNullSafe(F.col("o_id")) & (F.col("g_rid") == F.col("o_rid")) & (F.col("part") == F.col("o_part")) & (F.col("more") == F.col("o_more")))
-        now = cut(met.select("doc_id", "rid", "more", F.col("g.doc_id").alias("g_id"), F.col("g.rid").alias("g_rid"), F.col("best.doc_id").alias("keep_id"), "group_size").distinct())
-        ended = now.where("not more").select("doc_id", "rid", "keep_id", "group_size")
+        now = cut(met.select("doc_id", "rid", "more", F.col("g.doc_id").alias("g_id"), F.col("g.rid").alias("g_rid"), F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size").distinct())
+        ended = now.where("not more").select("doc_id", "rid", "keep_id", "keep_rid", "group_size")
         done = ended if done is None else done.unionByName(ended)
         if groups is not None:
             drop(rows)
@@ -119,14 +121,20 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row; the digest is of the normalised text."""
     rows, equal = settle(docs)
     found = _on(rows, equal, "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    alone = F.col("group_size").isNull()
+    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
+    return found.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | _stays()).alias("kept"), "text_sha256")
+
+
+def _stays():
+    """Whether a row of a group is the one that stays: by id, and where rows repeat an id with other blanks, by text."""
+    return F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_rid") == F.col("rid"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", row_hash(F.col("text")).alias("rid"))
-    gone = settle(docs)[1].where(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "rid")
+    gone = settle(docs)[1].where(~_stays()).select("doc_id", "rid")
     return _on(rows, gone, "left_anti").select("row.*")
 
 
