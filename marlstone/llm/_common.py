@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,17 +19,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 _tables: dict[str, list[str]] = {}
 
 
-#: Rows of an Arrow batch: texts are long, so Spark's default of 10,000 rows would be large batches.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per SparkContext, so that they need no installation of it, and make Arrow
-    batches of BATCH_ROWS rows, unless the session asks for another number than Spark's default."""
+    """Send this package to the executors once per SparkContext, so that they need no installation of it."""
     sc = spark.sparkContext
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
     if getattr(sc, "_marlstone_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -40,14 +33,29 @@ def ship(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
+#: Bytes of an Arrow batch in the registered queries and the pipeline. A task holds a few copies of a batch outside the heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let a session whose Arrow batches are of Spark's default size, 64 MB, make smaller ones. Operators do not call this:
+    it is the affair of those who set a session up, as the registered queries do."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64MB", "64m"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, one of our own if driver and executors are
+    one process, or else an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
         at = sc._jsc.sc().getCheckpointDir().get()
     return at.rstrip("/")
