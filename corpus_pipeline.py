@@ -6,11 +6,13 @@ of documents; the last returns the encoded documents. Nulls and repeated rows ar
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import bpe, lines, mixing, near, quality
-from marlstone.llm._common import cut
+from marlstone.llm import bpe, lines, mixing, quality, simhash
+from marlstone.llm._common import cut, small_batches
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -27,12 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (Jaccard similarity of five-word shingles >= 0.8) the document with the smallest id stays."""
-    return near.keep_one(docs, shingle=5, least=0.8)
+    return simhash.keep_one(docs, shingle=5, least=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: not at all up to three times."""
-    return mixing.mix(docs)
+    """Each document as often as its source's target takes it: not at all up to three times, longer ones more often."""
+    return mixing.mix(docs, weight=mixing.by_length())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,12 +42,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.read_ranks(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def _stage(work):
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return work(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("simhash near-dedup", near_dedup),
-    ("mix sources", mix_sources),
-    ("byte-level bpe", encode),
+    ("quality rules", _stage(quality_rules)),
+    ("line dedup", _stage(line_dedup)),
+    ("simhash near-dedup", _stage(near_dedup)),
+    ("mix sources", _stage(mix_sources)),
+    ("byte-level bpe", _stage(encode)),
 ]
 #: The stages' models and fingerprints are beyond SQL; tests/llm hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
