@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import DAY, carried, numbered, running
+from .scan import CHUNK, carried, numbered, running
 
+#: Grid times that one task makes at a time.
+GRID = 65_536
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "t", time: str = "rx", seq: str | None = None, strict: bool = False, chunk: int = 7 * DAY) -> DataFrame:
+
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str], at: str = "t", time: str = "rx", seq: str | None = None, strict: bool = False, chunk: int = CHUNK) -> DataFrame:
     """`left` with `values` of the last row of `right` at or before left's time (strict: before it), by keys; null if none.
 
     A union and a scan: each side is read and shuffled once, whatever the number of matches.
@@ -51,8 +54,10 @@ def event_grid(*streams: DataFrame) -> DataFrame:
 
 def uniform_grid(clock: DataFrame, warm_ticks: int, horizon: int, step: int) -> DataFrame:
     """(t): from the first tick past the warm-up, by step, up to a horizon before the last tick."""
-    ends = clock.agg(F.min(F.when(F.col("n") > warm_ticks, F.col("rx"))).alias("a"), (F.max("rx") - horizon).alias("b"))
-    return ends.where("a < b").select(F.explode(F.expr(f"sequence(a, b - 1, {step}L)")).alias("t"))
+    ends = clock.agg(F.min(F.when(F.col("n") > warm_ticks, F.col("rx"))).alias("a"), (F.max("rx") - horizon).alias("b")).where("a < b")
+    # one row for each GRID times, dealt out, and then each time: no task makes the whole grid
+    starts = ends.select("b", F.explode(F.expr(f"sequence(a, b - 1, {step * GRID}L)")).alias("_s")).repartition("_s")
+    return starts.select(F.explode(F.expr(f"sequence(_s, least(b - 1, _s + {step * (GRID - 1)}L), {step}L)")).alias("t"))
 
 
 def active_grid(grid: DataFrame, events: DataFrame, step: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import market as m
 from ..sources.market import with_ticks
-from .scan import DAY, _chunk, _same, neighbours, running
+from .scan import highest, neighbours, running
 
 STATE = ("bid_prc", "bid_qty", "ask_prc", "ask_qty")
 
@@ -75,7 +75,7 @@ def sign_products(trades: DataFrame, inverted: frozenset[str] = frozenset()) ->
 def rolling_min(df: DataFrame, value: str, rows: int, name: str) -> DataFrame:
     """Least of the last `rows` rows, for any width at one cost: rows are cut into blocks of that many, and a window is the
     end of one block and the start of the next."""
-    n = running(df, ["listing"], "rx", ["rx", "seq"], {"_n": F.lit(1)}, 7 * DAY).withColumn("_b", F.floor((F.col("_n") - 1) / rows))
+    n = running(df, ["listing"], "rx", ["rx", "seq"], {"_n": F.lit(1)}).withColumn("_b", F.floor((F.col("_n") - 1) / rows))
     up = W.partitionBy("listing", "_b").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("listing", "_b").orderBy(F.desc("_n")).rowsBetween(W.unboundedPreceding, 0)
     n = n.withColumns({"_up": F.min(value).over(up), "_down": F.min(value).over(down)})
@@ -109,13 +109,9 @@ def merged_levels(book: DataFrame, trades: DataFrame, ticks: DataFrame, inverted
     b = book.dropna(subset=["bid_prc", "ask_prc", "exchange_time"]).select("listing", "rx", "seq", F.lit(0).alias("kind"), side(0, F.col("bid_prc")).alias("bid"), side(0, F.col("ask_prc")).alias("ask"))
     lifts = m.lifts_ask(inverted)
     t = trades.where(m.good_print()).dropna(subset=["exchange_time"]).select("listing", "rx", "seq", F.lit(1).alias("kind"), side(1, F.col("prc"), ~lifts).alias("bid"), side(1, F.col("prc"), lifts).alias("ask"))
-    both = b.unionByName(t).withColumn("_chunk", _chunk("rx", 7 * DAY))
-    inside = W.partitionBy(*_same(["listing"])).orderBy("rx", "kind", "seq").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("listing").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    per = both.groupBy(*_same(["listing"])).agg(F.max("bid").alias("_b"), F.max("ask").alias("_a"), F.min(F.when(F.col("kind") == 0, F.col("rx"))).alias("_f"))
-    per = per.select("listing", "_chunk", F.max("_b").over(before).alias("_b"), F.max("_a").over(before).alias("_a"), F.min("_f").over(W.partitionBy("listing")).alias("_first"))
-    run = both.withColumns({"bid": F.max("bid").over(inside), "ask": F.max("ask").over(inside)}).join(per, ["listing", "_chunk"]).where(F.col("rx") >= F.col("_first"))
-    run = run.select("listing", "rx", F.struct("kind", "seq").alias("_o"), F.greatest("bid", "_b").alias("bid"), F.greatest("ask", "_a").alias("ask"))
+    first = b.groupBy("listing").agg(F.min("rx").alias("_first"))
+    run = highest(b.unionByName(t), ["listing"], "rx", ["rx", "kind", "seq"], ["bid", "ask"]).join(first, "listing").where(F.col("rx") >= F.col("_first"))
+    run = run.select("listing", "rx", F.struct("kind", "seq").alias("_o"), "bid", "ask")
     last = run.groupBy("listing", "rx").agg(F.max(F.struct("_o", "bid", "ask")).alias("s")).select("listing", "rx", F.col("s.bid.p").alias("b"), F.col("s.ask.p").alias("a"), F.col("s.bid.x").alias("bid_exchange_time"), F.col("s.ask.x").alias("ask_exchange_time"))
     crossed, ask_fresher = F.col("a") < F.col("b"), F.col("ask_exchange_time") >= F.col("bid_exchange_time")
     last = with_ticks(last, ticks)

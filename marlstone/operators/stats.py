@@ -6,6 +6,8 @@ combine), cut into quantile buckets, and numbered by a running sum in two levels
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from ..sources.staging import staged
 
 LEAST = 100
-BUCKETS = 64
+#: Cuts of the range of a value, in two steps of EDGES: some EDGES * EDGES buckets of about as many rows each.
+EDGES = 32
 
 
 def finite(*columns: str) -> Column:
@@ -26,19 +29,52 @@ def finite(*columns: str) -> Column:
     return ok
 
 
+def counted(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, _v, _n, _run): each value, how many rows have it, and how many rows have it or a lesser one, within keys.
+
+    Values are counted with a map-side combine, cut into buckets by quantiles of a sketch, and summed up inside buckets
+    and across them; the sketch moves work only. Its EDGES * EDGES numbers are all that reaches the driver.
+    """
+    cells = EDGES * EDGES
+    edges = df.agg(F.percentile_approx(F.col(value).cast("double"), [k / cells for k in range(1, cells)], 20 * cells)).first()[0] or []
+    edges = sorted({float(x) for x in edges})
+    coarse, own = edges[EDGES - 1 :: EDGES], df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    below = lambda some: F.size(F.filter(some, lambda x: x < F.col("_v")))
+    if edges:
+        groups = [edges[k * EDGES : (k + 1) * EDGES] for k in range(len(coarse) + 1)]
+        own = own.withColumn("_c", below(F.array(*map(F.lit, coarse))) if coarse else F.lit(0))
+        fine = F.element_at(F.from_json(F.lit(json.dumps(groups)), "array<array<double>>"), F.col("_c") + 1)
+        own = own.withColumn("_b", F.col("_c") * (EDGES + 1) + F.coalesce(below(fine), F.lit(0)))
+    else:
+        own = own.withColumn("_b", F.lit(0))
+    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # of a row for each bucket
+    per = own.groupBy(*keys, "_b").agg(F.sum("_n").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    runs = own.withColumn("_run", F.sum("_n").over(inside)).join(per, [*keys, "_b"])
+    return runs.select(*keys, "_v", "_n", (F.col("_before") + F.col("_run")).alias("_run"))
+
+
 def average_ranks(df: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """`df` with the average rank, from 1, of a value within keys."""
-    edges = [float(x) for x in (df.agg(F.percentile_approx(F.col(value).cast("double"), [k / BUCKETS for k in range(1, BUCKETS)], 1000)).first()[0] or [])]  # BUCKETS numbers
-    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda x: x < F.col("_v"))) if edges else F.lit(0)
-    own = df.groupBy(*keys, F.col(value).alias("_v")).count().withColumn("_b", bucket)
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    per = own.groupBy(*keys, "_b").agg(F.sum("count").alias("_s")).select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    ranks = own.withColumn("_run", F.sum("count").over(inside)).join(per, [*keys, "_b"])
-    ranks = ranks.select(*keys, F.col("_v").alias(value), (F.col("_before") + F.col("_run") - (F.col("count") - 1) / 2).alias(name))
+    ranks = counted(df, value, keys).select(*keys, F.col("_v").alias(value), (F.col("_run") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
 
 
+def quantiles(df: DataFrame, value: str, shares: Sequence[float], name: str = "_cuts") -> DataFrame:
+    """(name): one row, an array of exact quantiles of a value that is not null, interpolated; null if there is none.
+
+    The two counted values around each share are picked out by their running counts; no task holds all values.
+    """
+    own = counted(df.select(F.col(value).cast("double").alias("_q")).where("_q is not null"), "_q")
+    total = own.agg(F.sum("_n").alias("_all"))
+    own = own.join(F.broadcast(total))  # one row
+    at = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
+    pick = lambda k: F.max(F.when((F.col("_run") > k) & (F.col("_run") - F.col("_n") <= k), F.col("_v")))
+    got = own.agg(F.max("_all").alias("_all"), *(x for i, p in enumerate(shares) for x in (pick(F.floor(at(p))).alias(f"_lo{i}"), pick(F.ceil(at(p))).alias(f"_hi{i}"))))
+    cuts = F.array(*(F.col(f"_lo{i}") + (at(p) - F.floor(at(p))) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i, p in enumerate(shares)))
+    return got.select(F.when(F.col("_all").isNotNull(), cuts).alias(name))
+
+
 def rank_ic(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), least: int = LEAST, digits: int | None = None) -> DataFrame:
     """(keys, ic, n): Spearman's correlation of rows where both are finite; null unless n > least and both vary.
 
@@ -74,14 +110,22 @@ def partial_ic(df: DataFrame, f: str, y: str, t: str, keys: Sequence[str] = ())
 
 def quantile_bins(df: DataFrame, level: str, bins: int, name: str) -> DataFrame:
     """`df` with the number of interior quantiles at or below the level; null where it is not finite. The cuts are one row."""
-    cuts = df.where(finite(level)).agg(F.percentile(level, F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("_cuts"))
+    cuts = quantiles(df.where(finite(level)), level, [k / bins for k in range(1, bins)])
     return df.join(F.broadcast(cuts)).withColumn(name, F.when(finite(level), F.size(F.filter("_cuts", lambda x: x <= F.col(level))))).drop("_cuts")
 
 
-def stratified_ic(df: DataFrame, x: str, y: str, level: str, bins: int = 40, least: int = LEAST) -> DataFrame:
-    """(ic): mean of the correlations within bins of a level, weighted by their rows."""
-    ok = quantile_bins(df.where(finite(x, y, level)), level, bins, "_bin")
-    per = rank_ic(ok, x, y, ["_bin"], least).where("ic is not null")
+def stratified_ic(df: DataFrame, x: str, y: str, level: str, bins: int = 40, least: int = LEAST, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, ic): mean of the correlations within bins of a level, weighted by their rows; the bins are those of each
+    key's rows, one set of cuts for a key."""
+    ok = df.where(finite(x, y, level))
+    if keys:
+        values = [tuple(r) for r in ok.groupBy(*keys).count().where(F.col("count") >= LEAST).select(*keys).orderBy(*keys).collect()]  # a row for each regime
+        parts = [stratified_ic(ok.where(F.struct(*keys) == F.struct(*map(F.lit, v))), x, y, level, bins, least).select(*(F.lit(c).alias(k) for k, c in zip(keys, v, strict=True)), "ic") for v in values]
+        out = parts[0] if parts else ok.select(*keys, F.lit(None).cast("double").alias("ic")).limit(0)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    per = rank_ic(quantile_bins(ok, level, bins, "_bin"), x, y, ["_bin"], least).where("ic is not null")
     return per.agg((F.sum(F.col("ic") * F.col("n")) / F.sum("n")).alias("ic"))
 
 
@@ -162,28 +206,98 @@ def predicted(df: DataFrame, features: Sequence[str], fits: dict[int, np.ndarray
     return df.withColumn(name, pred).where(F.col(name).isNotNull())
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000, also: Sequence[str] = (), least: int = LEAST) -> tuple[DataFrame, dict]:
+def reflected(df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], embargo: int, mirror: str | None) -> tuple[DataFrame, list[str], int]:
+    """Rows, order and embargo of a walk. mirror (odd, even): each row is followed by its reflection, in the same fold, and
+    the embargo counts both; None: as they are."""
+    if mirror is None:
+        return df, list(order), embargo
+    if mirror not in ("odd", "even"):
+        raise ValueError(f"mirror is odd, even or None, not {mirror}")
+    return mirrored(df, features, target, mirror == "odd"), [*order, "_side"], 2 * embargo
+
+
+def walk_forward(
+    df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000, also: Sequence[str] = (), least: int = LEAST, mirror: str | None = None,
+) -> tuple[DataFrame, dict]:
     """Test rows with `pred`, of an expanding, purged walk; rows must be finite in features, target and `also`."""
+    df, order, embargo = reflected(df, features, target, order, embargo, mirror)
     own, _ = folded(df, order, k, embargo)
     own = staged(own.where(finite(*features, target, *also)))
     fits = fit_folds(own, features, target, k, least)
     return predicted(own, features, fits, "pred"), fits
 
 
-def wf_ic(df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000, by: Sequence[str] = ()) -> DataFrame:
+def wf_ic(df: DataFrame, features: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000, by: Sequence[str] = (), mirror: str | None = None) -> DataFrame:
     """(by, ic, folds): mean over folds of the correlation of prediction and target."""
-    test, _ = walk_forward(df, features, target, order, k, embargo)
+    test, _ = walk_forward(df, features, target, order, k, embargo, mirror=mirror)
     per = rank_ic(test, "pred", target, ["_seg", *by], LEAST - 1 if by else 1).where("ic is not null")
     return per.groupBy(*by).agg(F.avg("ic").alias("ic"), F.count("*").alias("folds"))
 
 
+def aligned(df: DataFrame, legs: Sequence[str], controls: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000) -> DataFrame:
+    """Test rows of one walk with `full` (controls and legs) and `base` (controls): both on the same rows and folds."""
+    own, _ = folded(df, order, k, embargo)
+    cols = [*controls, *legs]
+    own = staged(own.where(finite(*cols, target)))
+    both = predicted(own, cols, fit_folds(own, cols, target, k), "full")
+    return staged(predicted(both, list(controls), fit_folds(own, controls, target, k), "base"))
+
+
+def _marginals(test: DataFrame, target: str, keys: Sequence[str], least: int) -> DataFrame:
+    """(keys, marginal) of aligned() test rows."""
+    one, two = (rank_ic(test, c, target, keys, least).where("ic is not null").select(*keys, F.col("ic").alias(f"_{c}")) for c in ("full", "base"))
+    return one.join(two, list(keys)).select(*keys, (F.col("_full") - F.col("_base")).alias("marginal"))
+
+
 def fold_marginals(df: DataFrame, legs: Sequence[str], controls: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000) -> DataFrame:
     """(fold, marginal): what legs add to controls, on the same rows and folds."""
-    parts = []
-    for cols in ([*controls, *legs], list(controls)):
-        test, _ = walk_forward(df, cols, target, order, k, embargo, also=[*controls, *legs])
-        parts.append(rank_ic(test, "pred", target, ["_seg"], 1).select(F.col("_seg").alias("fold"), F.col("ic")))
-    return parts[0].join(parts[1].withColumnRenamed("ic", "_base"), "fold").select("fold", (F.col("ic") - F.col("_base")).alias("marginal"))
+    return _marginals(aligned(df, legs, controls, target, order, k, embargo), target, ["_seg"], 1).withColumnRenamed("_seg", "fold")
+
+
+def marginal_ic(df: DataFrame, features: Sequence[str], controls: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000) -> DataFrame:
+    """(marginal): score of controls and features less that of controls, each on all rows that it can use itself."""
+    one = wf_ic(df, [*controls, *features], target, order, k, embargo).select(F.col("ic").alias("_one"))
+    two = wf_ic(df, list(controls), target, order, k, embargo).select(F.col("ic").alias("_two"))
+    return one.join(F.broadcast(two)).select((F.col("_one") - F.col("_two")).alias("marginal"))  # one row
+
+
+def signal_ic(
+    df: DataFrame, legs: Sequence[str], controls: Sequence[str], target: str, order: Sequence[str], kind: str = "alpha", own: bool = False, level: str | None = None, bins: int = 40,
+    by: str | None = None, k: int = 6, embargo: int = 2000, digits: int = 3,
+) -> DataFrame:
+    """(ic), or (by, ic) for each regime: Gate B, rounded.
+
+    A feature scores what its legs add to the controls, averaged over folds. A control's own leg (kind control, own) cannot
+    be asked that: it scores its plain correlation, within bins of `level` where it shares that yardstick with the
+    target, averaged over legs. Regimes of fewer than 100 rows (of a fold's test rows) are left out.
+    """
+    if kind not in ("alpha", "control"):
+        raise ValueError(f"kind is alpha or control, not {kind}")
+    keys = [by] if by else []
+    df = df if by is None else df.where(finite(by))
+    if kind == "control" and own and (by is None or level is not None):
+        parts = [stratified_ic(df, leg, target, level, bins, keys=keys) if level else rank_ic(df, leg, target).select("ic") for leg in legs]
+        per = parts[0]
+        for p in parts[1:]:
+            per = per.unionByName(p)
+        out = per.groupBy(*keys).agg(F.avg("ic").alias("ic"))
+    else:
+        test = aligned(df, legs, controls, target, order, k, embargo)
+        out = _marginals(test, target, ["_seg", *keys], LEAST - 1 if by else 1).groupBy(*keys).agg(F.avg("marginal").alias("ic"))
+    return out.select(*keys, F.round("ic", digits).alias("ic"))
+
+
+def marginal_ci(df: DataFrame, legs: Sequence[str], controls: Sequence[str], target: str, order: Sequence[str], k: int = 6, embargo: int = 2000, draws: int = 400, seed: int = 0, digits: int = 3) -> DataFrame:
+    """(pos, folds, mean, block, lo, hi, boot_mean): how sure a marginal is. Blocks are as long as the target's memory
+    asks, and no longer than a thirtieth of the smallest fold unless the embargo is."""
+    test = aligned(df, legs, controls, target, order, k, embargo)
+    per = _marginals(test, target, ["_seg"], 1)
+    rows = [r[0] for r in test.groupBy("_seg").count().select("count").collect()]  # a row per fold
+    block = block_length(acf_lag(test, target, order), embargo, min(rows, default=0))
+    boot = block_bootstrap(test, "full", "base", target, order, block, draws, seed)
+    some = per.agg(F.count(F.when(F.col("marginal") > 0, 1)).alias("pos"), F.count("*").alias("folds"), F.round(F.avg("marginal"), digits).alias("mean"))
+    some = some.withColumn("block", F.lit(block).cast("long"))
+    return some.join(F.broadcast(boot.select(F.round("lo", digits).alias("lo"), F.round("hi", digits).alias("hi"), F.round("mean", digits).alias("boot_mean"))))  # one row
 
 
 def acf_lag(df: DataFrame, value: str, order: Sequence[str], lags: Sequence[int] = (50, 100, 200, 500, 1000, 2000, 5000, 10000)) -> int:
@@ -208,65 +322,99 @@ def block_length(lag: int, embargo: int, n: int, safety: int = 10) -> int:
     return int(np.clip(safety * lag, embargo, max(embargo, n // 30)))
 
 
-def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: Sequence[str], block: int, draws: int = 400, seed: int = 0, parts: int = 8):
-    """(lo, hi, mean) of the mean marginal over folds, from moving blocks drawn within folds.
+def block_start(seed: int, draw: int, fold: int, number: int, places: int) -> int:
+    """Where a block begins, from 0: the first 13 hex digits of a digest, as a share of the places."""
+    return int(hashlib.md5(f"{seed}|{draw}|{fold}|{number}".encode()).hexdigest()[:13], 16) * places >> 52
 
-    Draws are dealt to tasks. Each task needs the test rows of a fold in order, so they are sent to it as one group per
-    (task, fold): a sample of a series is not a sum, and the series is one walk's test rows.
+
+def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: Sequence[str], block: int, draws: int = 400, seed: int = 0, parts: int = 8) -> DataFrame:
+    """(lo, hi, mean) of the mean marginal over folds, from moving blocks drawn within folds; draws repeat on every run.
+
+    Draws are dealt to tasks. A task needs a fold's rows in order, as a sample of a series is not a sum: it is sent three
+    ranks a row, 12 bytes, packed as arrays of a few thousand rows, not the rows themselves.
     """
-    dealt = test.select(F.col("_seg").cast("long"), *order, full, base, target).withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    from .scan import numbered
+
+    rows = staged(numbered(test.select(F.col("_seg").cast("long").alias("_seg"), *order, full, base, target), ["_seg"], order[0], list(order), "_i"))
+    for c in (full, base, target):  # ties stay ties, and order is all that ranks of a sample depend on
+        rows = average_ranks(rows, c, f"_r_{c}", ["_seg"])
+    packed = rows.groupBy("_seg", F.floor((F.col("_i") - 1) / 4096).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_i", *((2 * F.col(f"_r_{c}")).cast("int").alias(n) for c, n in ((full, "a"), (base, "b"), (target, "y")))))).alias("_rows"))
+    packed = staged(packed.select("_seg", "_at", *(F.col(f"_rows.{n}").alias(n) for n in "aby")))
+    dealt = packed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(pdf):
-        task, fold = int(pdf["_task"].iloc[0]), int(pdf["_seg"].iloc[0])
-        pdf = pdf.sort_values(list(order))
-        n, rows = len(pdf), []
-        for draw in range(task, draws, parts):
-            r = np.random.default_rng([seed, draw, fold])
-            at = np.arange(n) if n <= block else (r.integers(0, n - block + 1, -(-n // block))[:, None] + np.arange(block)).ravel()[:n]
-            x = pdf.iloc[at][[full, base, target]].rank()
-            if (x.std() > 0).all():
-                rows.append((draw, x[full].corr(x[target]) - x[base].corr(x[target])))
         import pandas as pd
 
-        return pd.DataFrame(rows, columns=["draw", "v"])
+        task, fold = int(pdf["_task"].iloc[0]), int(pdf["_seg"].iloc[0])
+        pdf = pdf.sort_values("_at")
+        x = [np.concatenate([np.asarray(v, np.int32) for v in pdf[n]]) for n in "aby"]
+        n, out = len(x[0]), []
+        for draw in range(task, draws, parts):
+            if n <= block:
+                at = np.arange(n)
+            else:
+                starts = np.array([block_start(seed, draw, fold, j, n - block + 1) for j in range(-(-n // block))])
+                at = (starts[:, None] + np.arange(block)).ravel()[:n]
+            r = [_sample_ranks(c[at]) for c in x]
+            if all(c.std() > 0 for c in r):
+                out.append((draw, np.corrcoef(r[0], r[2])[0, 1] - np.corrcoef(r[1], r[2])[0, 1]))
+        return pd.DataFrame(out, columns=["draw", "v"])
 
     per = dealt.groupBy("_task", "_seg").applyInPandas(run, "draw long, v double").groupBy("draw").agg(F.avg("v").alias("v"))
-    return per.agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"), F.avg("v").alias("mean"))
+    return per.agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"), F.avg("v").alias("mean"))  # of `draws` numbers
+
+
+def _sample_ranks(codes: np.ndarray) -> np.ndarray:
+    """Average ranks, from counts of whole numbers."""
+    n = np.bincount(codes)
+    return (np.cumsum(n) - (n - 1) / 2)[codes]
 
 
 # shaping
 
 
+# The coefficients of Acklam's rational approximation of the inverse normal distribution, highest power first.
+ACKLAM = {
+    "a": (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    "b": (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    "c": (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    "d": (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+}
+#: Where its middle part begins.
+ACKLAM_TAIL = 0.02425
+
+
 def normal_quantile(p: Column) -> Column:
-    """Inverse of the normal distribution, by Acklam's rational approximation (error below 1.2e-9 of the value)."""
-    # fixed values: the coefficients of the approximation
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
-
-    def poly(k, x):
+    """Inverse of the normal distribution (error below 1.2e-9 of the value)."""
+
+    def poly(name, x):
+        k = ACKLAM[name]
         out = F.lit(k[0])
         for v in k[1:]:
             out = out * x + v
         return out
 
     q = p - 0.5
-    tail = lambda x: poly(c, x) / poly(d, x)
-    return F.when(p < 0.02425, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - 0.02425, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(q * poly(a, q * q) / poly(b, q * q))
+    tail = lambda x: poly("c", x) / poly("d", x)
+    middle = q * poly("a", q * q) / poly("b", q * q)
+    return F.when(p < ACKLAM_TAIL, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - ACKLAM_TAIL, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
 
 
 def shaping(df: DataFrame, value: str, clip: float = 4.0) -> DataFrame:
-    """(shape, excess_kurtosis, max_abs) of the raw feature and of its four candidate shapes."""
+    """(shape, n, std, skew, excess_kurtosis, max_abs) of the raw feature and of its four candidate shapes; raises where no
+    value is finite."""
     ok = staged(df.where(finite(value)).select(F.col(value).alias("f")))
-    mid = ok.agg(F.avg("f").alias("m"), F.stddev_pop("f").alias("s"), F.percentile("f", F.lit(0.5)).alias("med"), F.count("*").alias("n"))
-    ok = ok.join(F.broadcast(mid))
-    mad = ok.agg((1.4826 * F.percentile(F.abs(F.col("f") - F.col("med")), F.lit(0.5))).alias("mad"))
+    if ok.isEmpty():
+        raise ValueError(f"{value} has no finite value")
+    mid = ok.agg(F.avg("f").alias("m"), F.stddev_pop("f").alias("s"), F.count("*").alias("n"))
+    med = quantiles(ok, "f", [0.5]).select(F.col("_cuts")[0].alias("med"))
+    ok = staged(ok.join(F.broadcast(mid)).join(F.broadcast(med)).withColumn("_off", F.abs(F.col("f") - F.col("med"))))  # one row each
+    mad = quantiles(ok, "_off", [0.5]).select((1.4826 * F.col("_cuts")[0]).alias("mad"))
     ok = average_ranks(ok.join(F.broadcast(mad)), "f", "r")
     rz = F.when(F.col("mad") > 0, (F.col("f") - F.col("med")) / F.col("mad")).otherwise(0.0)
     shapes = {"raw": F.col("f"), "z-score": F.when(F.col("s") > 0, (F.col("f") - F.col("m")) / F.col("s")).otherwise(0.0), "robust+clip": F.greatest(F.least(rz, F.lit(clip)), F.lit(-clip)), "arcsinh": F.asinh(rz), "rank-Gaussian": normal_quantile((F.col("r") - 0.5) / F.col("n"))}
     long = ok.select(F.explode(F.array(*(F.struct(F.lit(k).alias("shape"), v.alias("v")) for k, v in shapes.items()))).alias("x")).select("x.*")
-    return long.groupBy("shape").agg(F.kurtosis("v").alias("excess_kurtosis"), F.max(F.abs("v")).alias("max_abs"))
+    return long.groupBy("shape").agg(F.count("*").alias("n"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"), F.kurtosis("v").alias("excess_kurtosis"), F.max(F.abs("v")).alias("max_abs"))
 
 
 def lightest(report: DataFrame, bar: float = 5.0) -> DataFrame:

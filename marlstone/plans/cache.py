@@ -29,7 +29,7 @@ def cached_columns(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None = None, blocks: Sequence[str] | None = None, trim: dict[str, int] | None = None, least_gap: int = 1) -> DataFrame:
-    """Columns of some blocks, in order of block and t. trim: steps to leave out at the start of a block, per block, if the
+    """Columns of some blocks; a reader that needs an order sorts by (block, t) itself. trim: steps to leave out at the start of a block, per block, if the
     gap since the block before it is at least `least_gap` steps; it is found from each block's ends."""
     have = cached_columns(spark, path)
     missing = set(columns or ()) - set(have)
@@ -43,4 +43,4 @@ def read_dataset(spark: SparkSession, path: str, columns: Sequence[str] | None =
         ends = ends.withColumn("_gap", F.col("_lo") - F.lag("_hi").over(W.orderBy("_lo")))  # a row per block
         cut = F.coalesce(*(F.when(F.col("block").cast("string") == b, F.lit(k)) for b, k in trim.items()), F.lit(0))
         df = df.join(F.broadcast(ends), "block").where(F.col("t") >= F.col("_lo") + F.when(F.coalesce(F.col("_gap"), F.lit(1 << 60)) >= least_gap, cut).otherwise(0)).drop("_lo", "_hi", "_gap")
-    return df.orderBy("block", "t")
+    return df

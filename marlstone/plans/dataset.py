@@ -2,8 +2,8 @@
 
 A column is asked for by template, e.g. `{LISTING}_ema_ofi_{N}b@...`; `expand` checks and names it. Columns of one
 listing that are read from one stream share that stream's scan and as-of read, so a listing costs a handful of scans
-however many columns are asked for, and columns that nobody asked for are never built. Only masked steps are read;
-averages over every step run over the dense grid in chunks of steps, which are partitions.
+however many columns are asked for, and columns that nobody asked for are never built. Only masked steps are read, and
+averages over every step are closed forms over the steps at which something changes: the dense grid is never made.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from itertools import product
 
+from pyspark.sql import Column as C
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import market as m
 from ..operators import events as ev
 from ..operators.align import asof, bucket_sum, interval_sum, masked_steps, trailing_count
-from ..operators.ema import ewm
-from ..operators.scan import numbered
+from ..operators.ema import alpha, ewm, kernel
+from ..operators.scan import carried, numbered
 from ..sources.staging import staged
 
 # The column families, by kind of clock.
@@ -183,10 +184,9 @@ class Dataset:
         back = ev.neighbours(t, ["listing"], "rx", ["rx", "seq"], {"_p1": ("prc", 1), "_p2": ("prc", 2)})
         return back.withColumn("trade_serial_cov", F.coalesce((F.col("prc") - F.col("_p1")) * (F.col("_p1") - F.col("_p2")), F.lit(0.0)))
 
-    def _read(self, stream: DataFrame, values: list[str], steps: DataFrame | None = None, seq: str | None = None) -> DataFrame:
+    def _read(self, stream: DataFrame, values: list[str], seq: str | None = None) -> DataFrame:
         """Values as of each step's time."""
-        q = (self.steps() if steps is None else steps).withColumn("_at", F.col("t") * self.step)
-        return asof(q, stream, [], values, at="_at", seq=seq)
+        return asof(self.steps().withColumn("_at", F.col("t") * self.step), stream, [], values, at="_at", seq=seq)
 
     @staticmethod
     def _atom(family: str) -> tuple[str, bool]:
@@ -266,29 +266,59 @@ class Dataset:
             out = out.withColumn(u.name, F.when(ok, F.log("_now") - F.log("microprice")).otherwise(0.0)).drop("microprice", "_then_at")
         return out.select("t", *(u.name for u in own))
 
-    def _every_step(self, listing: str, price: str = "microprice") -> DataFrame:
-        """Every step, numbered from 1, with the price as of it."""
-        return self._once(("every", listing, price), lambda: self._make_every(listing, price))
-
-    def _make_every(self, listing: str, price: str) -> DataFrame:
-        dense = self.book.sparkSession.range(self.low, self.high + 1).select(F.col("id").alias("t"))
-        return self._read(self._states(listing).withColumn("mid", m.mid()).select("rx", price), [price], dense).select("t", (F.col("t") - self.low + 1).alias("n"), price)
+    # averages over every step, of levels that stay put between a few changes: no step without a change is ever made.
+    # With jumps D_k at steps t_k a level is x(t) = sum of D_k so far, and its average from zero is x(t) - sum of
+    # D_k d^(t - t_k + 1); the sum is a flow that decays by the step.
+
+    def _changes(self, listing: str) -> DataFrame:
+        """(rx, k, microprice, mid, and p_ of both): steps at which a state is first seen, from `low` on, with the one before."""
+        return self._once(("changes", listing), lambda: self._make_changes(listing))
+
+    def _make_changes(self, listing: str) -> DataFrame:
+        k = F.greatest(F.floor((F.col("rx") + self.step - 1) / self.step), F.lit(self.low)).cast("long")
+        s = self._states(listing).withColumns({"mid": m.mid(), "k": k}).where(F.col("k") <= self.high)
+        s = s.groupBy("k").agg(F.max_by(F.struct("microprice", "mid"), "rx").alias("_s")).select((F.col("k") * self.step).alias("rx"), "k", "_s.*")
+        return ev.neighbours(s, [], "rx", ["rx"], {"p_k": ("k", 1), "p_microprice": ("microprice", 1), "p_mid": ("mid", 1)})
+
+    def _step_emas(self, events: DataFrame, levels: DataFrame, own: list[Unit], now: dict[str, C], was: dict[str, C], flows: dict[str, C]) -> DataFrame:
+        """(t, columns): averages at the asked steps. events (k, ...) are changes and flows by step; now and was: levels
+        before and after a change, by atom, of columns that `levels` has as of each step."""
+        reads = self.steps().select("t", (F.col("t") - self.low + 1).alias("c"))
+        square = lambda x, u: x * x if self._atom(u.family)[1] else x
+        out = levels
+        for span in sorted({u.span for u in own}):
+            some = {u.name.replace("@", "__"): (u, self._atom(u.family)[0]) for u in own if u.span == span}
+            mass = {n: square(flows[x], u) if x in flows else square(now[x], u) - square(was[x], u) for n, (u, x) in some.items()}
+            ev_ = events.select(F.lit("").alias("listing"), F.col("k").alias("rx"), (F.col("k") - self.low + 1).alias("k"), *(v.alias(n) for n, v in mass.items()))
+            got = kernel(ev_, reads, reads, [""], {n: F.col(n) for n in some}, span, indexed=True).drop("listing")
+            a = alpha(span)
+            out = out.join(got.withColumnsRenamed({n: f"_e_{n}" for n in some}), "t")
+            out = out.withColumns({n: F.col(f"_e_{n}") if x in flows else square(now[x], u) - (1 - a) / a * F.col(f"_e_{n}") for n, (u, x) in some.items()})
+        return self._named(out, own)
 
     def _dense(self, own: list[Unit], listing: str) -> DataFrame:
-        d = self._every_step(listing)
-        back = d.select((F.col("n") + 1).alias("n"), F.col("microprice").alias("_p"))
-        d = d.join(back, "n", "left")
-        ret = F.when((F.col("microprice") > 0) & (F.col("_p") > 0), F.log(F.col("microprice") / F.col("_p"))).otherwise(0.0)
-        d = d.withColumns({"microprice_centered": F.coalesce(F.col("microprice") - self.reference.get(listing, 0.0), F.lit(0.0)), "microprice_return": ret})
+        s, ref = self._changes(listing), self.reference.get(listing, 0.0)
+        centered = lambda c: F.coalesce(F.col(c) - ref, F.lit(0.0))
+        moved = (F.col("microprice") > 0) & (F.col("p_microprice") > 0)
+        flows = {"microprice_return": F.when(moved, F.log(F.col("microprice") / F.col("p_microprice"))).otherwise(0.0)}
+        events = s
         if any("trade_value" in u.family for u in own):
-            sums = bucket_sum(self._collapsed(listing), [], self.step, {x: F.col(x) for x in FLOW})
-            d = d.join(sums, "t", "left").withColumns({x: F.coalesce(x, F.lit(0.0)) for x in FLOW})
-        return self._named(self._emas(d, own), own)
+            sums = bucket_sum(self._collapsed(listing), [], self.step, {x: F.col(x) for x in FLOW}).withColumnRenamed("t", "k")
+            events = s.unionByName(sums.where(F.col("k").between(self.low, self.high)), allowMissingColumns=True)
+            flows |= {x: F.coalesce(x, F.lit(0.0)) for x in FLOW}
+        levels = self._read(s, ["microprice"])
+        return self._step_emas(events, levels, own, {"microprice_centered": centered("microprice")}, {"microprice_centered": centered("p_microprice")}, flows)
 
     def _cross(self, own: list[Unit], one: str, two: str) -> DataFrame:
-        a, b = self._every_step(one), self._every_step(two).select("n", F.col("microprice").alias("_b"))
-        d = a.join(b, "n").withColumn("log_microprice_ratio", F.when((F.col("microprice") > 0) & (F.col("_b") > 0), F.log(F.col("microprice") / F.col("_b"))).otherwise(0.0))
-        return self._named(self._emas(d, own), own)
+        none = F.lit(None).cast("double")
+        a = self._changes(one).select("rx", "k", F.col("microprice").alias("_a"), none.alias("_b"))
+        b = self._changes(two).select("rx", "k", none.alias("_a"), F.col("microprice").alias("_b"))
+        both = a.unionByName(b).groupBy("rx", "k").agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+        both = carried(both, [], "rx", ["rx"], ["_a", "_b"])
+        ratio = F.when((F.col("_a") > 0) & (F.col("_b") > 0), F.log(F.col("_a") / F.col("_b"))).otherwise(0.0)
+        s = self._once(("ratio", one, two), lambda: ev.neighbours(both.select("rx", "k", ratio.alias("ratio")), [], "rx", ["rx"], {"p_ratio": ("ratio", 1)}))
+        level = lambda c: F.coalesce(c, F.lit(0.0))
+        return self._step_emas(s, self._read(s, ["ratio"]), own, {"log_microprice_ratio": level("ratio")}, {"log_microprice_ratio": level("p_ratio")}, {})
 
     def _clocked(self, own: list[Unit], listing: str, clock: str) -> DataFrame:
         """Averages over the ticks of a listing's trades: levels as of each tick, flows summed since the tick before."""
@@ -322,8 +352,7 @@ class Dataset:
         if vols:
             inside = ticks.where(F.col("rx").between(self.low * self.step, self.high * self.step))
             inside = numbered(inside.select("rx"), [], "rx", ["rx"])
-            d = self._every_step(listing, "mid")
-            d = d.join(d.select((F.col("n") + 1).alias("n"), F.col("mid").alias("_p")), "n").where("mid > 0 and _p > 0").select((F.col("t") * self.step).alias("rx"), F.pow(F.log(F.col("mid") / F.col("_p")), 2).alias("_r2")).where("_r2 > 0")
+            d = self._changes(listing).where("mid > 0 and p_mid > 0").select("rx", F.pow(F.log(F.col("mid") / F.col("p_mid")), 2).alias("_r2")).where("_r2 > 0")
             v = inside.join(interval_sum(d, inside, [], {"_r2": F.col("_r2")}), "n", "left")
             for u in vols:
                 v = ewm(v, [], "n", {u.name.replace("@", "__"): F.col("_r2")}, u.span)
