@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ _tables: list[tuple[str, str]] = []
 
 
 def _folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a folder of our own if driver and executors are one process, or else an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = sc._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="marlstone-"))
             held = sc._jsc.sc().getCheckpointDir()
         at = held.get()
