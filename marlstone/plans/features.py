@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as ev
 from ..operators.ema import alpha, held, mean
+from ..operators.stats import quantiles, rank_ic
 from ..sources.staging import staged
 from .market import Market
 
@@ -201,16 +202,53 @@ def m_ofi_normalised(mk: Market, span: float, variant: str = "sigma") -> DataFra
     return raw.join(yard, "t").select("listing", "t", (F.col("value") / F.greatest("y", F.lit(1e-12))).alias("value"))
 
 
+VARIANTS = ("none", "sigma", "lambda")
+
+
+def best_variants(mk: Market, spans: Sequence[float], target: DataFrame, y: str) -> DataFrame:
+    """(listing, variant, span, ic): of each leg the reading of m_ofi_normalised that goes most with the target in sample,
+    whatever its sign; of equal ones the first variant, then the least span."""
+    every = None
+    for span in spans:
+        for k, v in enumerate(VARIANTS):
+            one = m_ofi_normalised(mk, span, v).select("listing", "t", "value", F.lit(v).alias("variant"), F.lit(k).alias("_k"), F.lit(span).alias("span"))
+            every = one if every is None else every.unionByName(one)
+    ics = rank_ic(every.join(target, "t"), "value", y, ["listing", "variant", "_k", "span"]).where("ic is not null")
+    best = ics.groupBy("listing").agg(F.max(F.struct(F.abs("ic").alias("_s"), (-F.col("_k")).alias("_o"), (-F.col("span")).alias("_l"), "variant", "span", "ic")).alias("_b"))
+    return best.select("listing", "_b.variant", "_b.span", "_b.ic")
+
+
+def ofi_best(mk: Market, spans: Sequence[float], target: DataFrame, y: str) -> DataFrame:
+    """(listing, t, value): m_ofi_normalised, each leg in its best reading."""
+    legs = best_variants(mk, spans, target, y).collect()  # one row per leg
+    out = None
+    for leg in legs:
+        one = m_ofi_normalised(mk, leg.span, leg.variant).where(F.col("listing") == leg.listing)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else m_ofi_normalised(mk, spans[0], "none").limit(0)
+
+
+#: Span and bar of the rule that decides whether momentum is divided by sigma.
+SCALE_SPAN, SCALE_BAR = 50, 3.0
+
+
+def too_spread(mk: Market, span: float = SCALE_SPAN) -> bool:
+    """Whether raw momentum of the target changes its scale with the regime: more than SCALE_BAR times over deciles of sigma."""
+    v = mk.of_target(mk.flow(mk.moves, {"value": F.col("d")}, span)).join(mk.of_target(mk.sigma()), "t").where("sigma > 0").withColumn("level", F.log("sigma"))
+    got = scale_spread(v, "level", "value").first()[0]  # one number
+    return got is not None and got > SCALE_BAR
+
+
 @_module(1, "odd")
-def m_price_momentum(mk: Market, span: float, normalise: bool = False) -> DataFrame:
-    """Decayed sum of log moves, raw or per sigma."""
+def m_price_momentum(mk: Market, span: float, normalise: bool | None = False) -> DataFrame:
+    """Decayed sum of log moves, raw or per sigma; None: per sigma if too_spread()."""
     out = mk.flow(mk.moves, {"value": F.col("d")}, span)
-    return mk.per_sigma(out) if normalise else out
+    return mk.per_sigma(out) if (too_spread(mk) if normalise is None else normalise) else out
 
 
 def scale_spread(values: DataFrame, level: str, value: str) -> DataFrame:
     """(scale): greatest over least deviation of a value within deciles of a level; above 3 it should be normalised."""
-    cuts = values.agg(F.percentile(level, F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("_cuts"))
+    cuts = quantiles(values, level, [k / 10 for k in range(1, 10)])
     d = F.size(F.filter("_cuts", lambda x: x <= F.col(level)))
     per = values.crossJoin(F.broadcast(cuts)).groupBy(d.alias("d")).agg(F.stddev_pop(value).alias("s")).where("s > 0")  # one row, broadcast
     return per.agg((F.max("s") / F.min("s")).alias("scale"))

@@ -67,7 +67,7 @@ def controls(mk: Market) -> DataFrame:
 
 
 def terciles(df: DataFrame, level: str, name: str = "regime") -> DataFrame:
-    cuts = df.where(stats.finite(level)).agg(F.percentile(level, F.array(F.lit(0.33), F.lit(0.67))).alias("_cuts"))
+    cuts = stats.quantiles(df.where(stats.finite(level)), level, [0.33, 0.67])
     return df.join(F.broadcast(cuts)).withColumn(name, F.size(F.filter("_cuts", lambda x: x <= F.col(level)))).drop("_cuts")  # one row
 
 
@@ -103,21 +103,38 @@ def gate_report(mk: Market, name: str, spans: tuple, target: DataFrame, y: str,
     return {"joint": marg, **worst, "passes": passes}
 
 
-def second_span_adds(table: DataFrame, one: str, two: str, y: str, embargo: int, bar: float = 0.01) -> DataFrame:
-    """(solo, joint, adds): whether a second span adds to a first, out of sample."""
-    solo = stats.wf_ic(table, [one], y, ["t"], embargo=embargo).select(F.col("ic").alias("solo"))
-    joint = stats.wf_ic(table, [one, two], y, ["t"], embargo=embargo).select(F.col("ic").alias("joint"))
-    return solo.join(F.broadcast(joint)).withColumn("adds", F.col("joint") - F.col("solo") >= bar)  # one row
+def second_span_adds(table: DataFrame, chosen: str, others: Sequence[str], y: str, embargo: int, bar: float = 0.01, size: bool = False, mirror: str | None = None) -> DataFrame:
+    """(second, conditional, solo, joint, adds): whether another span adds to the chosen one, out of sample.
 
-
-def joint_adds(table: DataFrame, legs: Sequence[str], y: str, embargo: int, bar: float = 0.01) -> DataFrame:
-    """(joint, best, single, adds): whether all legs together beat the best one, out of sample."""
+    The second span is the one whose correlation with the target, given the chosen one, is strongest in sample, whatever
+    its sign; the walk then decides. size: sizes of features and target (then nothing is mirrored).
+    """
+    if not others:
+        raise ValueError("there is no other span")
+    if size:
+        table, mirror = table.withColumns({c: F.abs(c) for c in (chosen, *others, y)}), None
+    table = staged(table)
+    flat = table if mirror is None else stats.mirrored(table, [chosen, *others], y, mirror == "odd")
+    member = flat.select(F.explode(F.array(*(F.struct(F.lit(o).alias("second"), F.col(o).alias("_f")) for o in others))).alias("_"), chosen, y).select("_.*", F.col(chosen).alias("_c"), F.col(y).alias("_y"))
+    screen = stats.partial_ic(member, "_f", "_y", "_c", ["second"]).where("netted is not null")
+    best = screen.agg(F.max_by("second", F.struct(F.abs("netted"), "second")).alias("second"), F.max_by("netted", F.struct(F.abs("netted"), "second")).alias("conditional")).first()
+    walk = lambda cols, name: stats.wf_ic(table, cols, y, ["t"], embargo=embargo, mirror=mirror).select(F.col("ic").alias(name))
+    solo = walk([chosen], "solo")
+    if best.second is None:
+        return solo.select(F.lit(None).cast("string").alias("second"), F.lit(None).cast("double").alias("conditional"), "solo", F.lit(None).cast("double").alias("joint"), F.lit(False).alias("adds"))
+    both = solo.join(F.broadcast(walk([chosen, best.second], "joint")))  # one row
+    return both.select(F.lit(best.second).alias("second"), F.lit(best.conditional).alias("conditional"), "solo", "joint", (F.col("joint") - F.col("solo") >= bar).alias("adds"))
+
+
+def joint_adds(table: DataFrame, legs: Sequence[str], y: str, embargo: int, bar: float = 0.01, mirror: str | None = None) -> DataFrame:
+    """(joint, best, single, adds): whether all legs together beat the best one, out of sample. Each leg is scored on the
+    rows it has; of equal ones the last by name counts as best."""
     ones = None
-    for leg in legs:
-        one = stats.wf_ic(table, [leg], y, ["t"], embargo=embargo).select(F.lit(leg).alias("leg"), "ic")
+    for leg in sorted(legs):  # a walk's folds depend on its leg's rows
+        one = stats.wf_ic(table, [leg], y, ["t"], embargo=embargo, mirror=mirror).select(F.lit(leg).alias("leg"), "ic")
         ones = one if ones is None else ones.unionByName(one)
-    best = ones.agg(F.max_by("leg", "ic").alias("best"), F.max("ic").alias("single"))
-    joint = stats.wf_ic(table, list(legs), y, ["t"], embargo=embargo).select(F.col("ic").alias("joint"))
+    best = ones.groupBy().agg(F.max(F.struct("ic", "leg")).alias("_b")).select(F.col("_b.leg").alias("best"), F.col("_b.ic").alias("single"))
+    joint = stats.wf_ic(table, list(legs), y, ["t"], embargo=embargo, mirror=mirror).select(F.col("ic").alias("joint"))
     return joint.join(F.broadcast(best)).withColumn("adds", F.col("joint") - F.col("single") >= bar)  # one row
 
 

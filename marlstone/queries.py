@@ -87,6 +87,35 @@ def a_missing_streams(spark, d):
     return want.join(_blocks(src.trades(spark, d)), ["listing", "block"], "left_anti")
 
 
+@query("a_block_files", o.sql("""SELECT listing, kind, block, count(*) AS n, min(rx) AS lo, max(rx) AS hi FROM (
+  SELECT listing, 'front_levels' AS kind, rx FROM book UNION ALL SELECT listing, 'trade', rx FROM trade WHERE listing <> 'okx' OR rx < (SELECT min(rx) FROM book) + 168 * 3600000000000),
+  (SELECT min(rx) AS a FROM book), LATERAL (SELECT CASE WHEN rx < a + 168 * 3600000000000 THEN 'h.0.0' ELSE 'h.1.0' END AS block) GROUP BY ALL
+UNION ALL SELECT l.listing, 'merged_levels', b.block, 0, NULL, NULL FROM ls l, (SELECT unnest(['h.0.0', 'h.1.0']) AS block) b WHERE l.listing <> 'okx' OR b.block = 'h.0.0'"""))
+def a_block_files(spark, d):
+    """(listing, kind, block, n, lo, hi) of block files, as they are listed and loaded; merged streams are only listed."""
+    from .sources.staging import folder
+
+    at = folder(spark)
+    low = src.books(spark, d).agg(F.min("rx")).first()[0] + 168 * HOUR
+    settings = src.Settings(data_dir=at)
+    for kind, df in (("front_levels", src.books(spark, d)), ("trade", src.trades(spark, d))):
+        for x in LISTINGS:
+            for block, own in (("h.0.0", F.col("rx") < low), ("h.1.0", F.col("rx") >= low)):
+                if (x, kind, block) != ("okx", "trade", "h.1.0"):  # a stream that is missing
+                    df.where((F.col("listing") == x) & own).drop("listing").coalesce(1).write.parquet(f"{at}/{block}.{x}.{kind}.parquet")
+    out = None
+    for kind in ("front_levels", "trade", "merged_levels"):
+        for x in LISTINGS:
+            for block in src.list_blocks(spark, settings, x, kind):
+                if kind == "merged_levels":
+                    one = spark.range(1).select(F.lit(x).alias("listing"), F.lit(block).alias("block"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"))
+                else:
+                    one = src.load_block(spark, settings, block, x, kind).groupBy("listing", "block").agg(F.count("*").alias("n"), F.min("rx").alias("lo"), F.max("rx").alias("hi"))
+                one = one.select("listing", F.lit(kind).alias("kind"), "block", "n", "lo", "hi")
+                out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("a_tick_lookup", o.sql("SELECT listing, seq, CASE listing WHEN 'okx' THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END AS tick, round((ask_prc - bid_prc) / CASE listing WHEN 'okx' THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END, 6) AS spread_ticks FROM book"))
 def a_tick_lookup(spark, d):
     return _rounded(src.with_ticks(src.books(spark, d), src.tick_sizes(spark)).select("listing", "seq", "tick", ((F.col("ask_prc") - F.col("bid_prc")) / F.col("tick")).alias("spread_ticks")))
@@ -466,6 +495,17 @@ def k_momentum_scale(spark, d):
     return _rounded(features.scale_spread(v, "level", "value"), 4)
 
 
+_MOMENTUM = ("lv AS (SELECT f.t, f.e AS v, ln(s.v) AS y FROM fs f JOIN s ON s.t = f.t AND s.listing = f.listing WHERE f.listing = 'byb' AND s.v > 0)",
+             "sc AS (SELECT max(s) / min(s) > 3 AS wide FROM (SELECT d, stddev_pop(v) AS s FROM (SELECT v, len(list_filter(cuts, lambda x: x <= y)) AS d FROM lv, (SELECT quantile_cont(y, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM lv)) GROUP BY d) WHERE s > 0)")
+
+
+@query("k_momentum_ruled", o.sql("SELECT f.listing, f.t, round(CASE WHEN wide THEN f.e / nullif(s.v, 0) ELSE f.e END, 6) + 0.0::DOUBLE AS value FROM f JOIN s ON s.t = f.t AND s.listing = 'byb', sc", o.kern("f", "moves", FAST, e="d"), o.kern("fs", "moves", features.SCALE_SPAN, e="d"), o.sigma("s", YARD), *_MOMENTUM))
+def k_momentum_ruled(spark, d):
+    """Momentum as the scale rule says: raw, or per sigma where deciles of sigma differ by more than three times."""
+    mk = market(spark, d)
+    return _rounded(features.get("m_price_momentum").build(mk, FAST, None).select("listing", "t", "value"))
+
+
 # dataset columns: steps of a minute, columns of byb and others
 
 from .plans.dataset import Column, Dataset  # noqa: E402
@@ -767,44 +807,193 @@ def j_best_span(spark, d):
     return stats.best_span(research.ic_scan(mk, "trade_flow_imbalance", [(20,), (60,)], research.price_target(mk, HOUR), "price_target", 9))
 
 
+_VARIANT_ROWS = ", ".join(f"vr{n} AS (SELECT f.listing, f.t, f.v AS v_none, f.v / greatest(s.v, 1e-12) AS v_sigma, f.v / greatest(l.v, 1e-12) AS v_lambda, p.y FROM ofi{n} f JOIN ys s ON s.t = f.t AND s.listing = 'byb' JOIN yl l ON l.t = f.t AND l.listing = 'byb' JOIN price p ON p.t = f.t)" for n in (FAST, SLOW))
+_VARIANT_ICS = " UNION ALL ".join(f"SELECT k AS listing, '{v}' AS variant, {j} AS o, {n} AS span, ic FROM ({_ic(f'vr{n}', f'v_{v}', 'y', 'listing')})" for n in (FAST, SLOW) for j, v in enumerate(features.VARIANTS))
+
+
+@query("k_ofi_best_variant", o.sql(f"SELECT listing, variant, span, round(ic, 4) AS ic FROM (SELECT *, row_number() OVER (PARTITION BY listing ORDER BY abs(ic) DESC, o, span) AS r FROM ({_VARIANT_ICS})) WHERE r = 1", _TGT, *(o.mean(f"ofi{n}", "ofi", n, "ofi") for n in (FAST, SLOW)), _VARIANT_ROWS))
+def k_ofi_best_variant(spark, d):
+    """Of each leg the reading of normalised order flow that goes most with the target."""
+    mk = market(spark, d)
+    return _rounded(features.best_variants(mk, (FAST, SLOW), research.price_target(mk, HOUR), "price_target"), 4)
+
+
 @query("j_acf_lag", o.sql("SELECT coalesce(min(CASE WHEN abs(c / (n * v)) < 2 / sqrt(n) THEN lag END), 10000)::INT AS lag FROM (SELECT l.lag, sum((a.y - m) * (b.y - m)) AS c, any_value(n) AS n, any_value(v) AS v FROM (SELECT unnest([50, 100, 200, 500]) AS lag) l, (SELECT avg(y) AS m, var_pop(y) AS v, count(*) AS n FROM own) s, (SELECT y, row_number() OVER (ORDER BY t) AS i FROM own) a JOIN (SELECT y, row_number() OVER (ORDER BY t) AS i FROM own) b ON b.i = a.i + l.lag GROUP BY l.lag)", _TGT))
 def j_acf_lag(spark, d):
     lag = stats.acf_lag(_table(market(spark, d)), "y", ["t"])
     return spark.createDataFrame([(lag,)], "lag int")
 
 
-@query("j_fold_marginals")
+# Walks in SQL: least squares of up to three columns by Cramer's rule on covariances of the rows before each fold.
+
+
+def _walk(name: str, source: str, columns: tuple[str, ...], y: str = "y", need: str = "true", embargo: int = 24) -> str:
+    """CTE name (s, t, i, p, y, and the source's columns): test rows of each fold with their prediction, up to a constant.
+    source has i (row number from 0) and total."""
+    usable = f"{need} AND {y} IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    n = len(columns)
+    cell = lambda a, b: f"v{min(a, b)}{max(a, b)}"
+    covs = ", ".join(f"covar_pop({columns[a]}, {columns[b]}) AS v{a}{b}" for a in range(n) for b in range(a, n)) + ", " + ", ".join(f"covar_pop({columns[a]}, {y}) AS y{a}" for a in range(n))
+    full = [[cell(a, b) for b in range(n)] for a in range(n)]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'+' if c % 2 == 0 else '-'} {m[0][c]} * {det([[*r[:c], *r[c + 1:]] for r in m[1:]])}" for c in range(len(m))) + ")"
+
+    slopes = [f"{det([[f'y{a}' if b == c else full[a][b] for b in range(n)] for a in range(n)])} / {det(full)} AS b{c}" for c in range(n)]
+    return f"""{name}_u AS (SELECT *, (SELECT count(*) FROM range(1, 6) e(j) WHERE i >= floor(total * e.j / 6.0)) AS s FROM {source} WHERE {usable}),
+{name}_v AS (SELECT j, {covs} FROM {name}_u, range(1, 6) e(j) WHERE i < floor(total * e.j / 6.0) - {embargo} GROUP BY j HAVING count(*) >= 100),
+{name}_b AS (SELECT j, {', '.join(slopes)} FROM {name}_v WHERE (SELECT count(*) FROM {name}_u u WHERE u.s = j) >= 100),
+{name} AS (SELECT u.*, {' + '.join(f'b{c} * {columns[c]}' for c in range(n))} AS p FROM {name}_u u JOIN {name}_b b ON b.j = u.s)"""
+
+
+def _score(walk: str) -> str:
+    """Mean over folds of the correlation of a walk's prediction and target."""
+    return f"(SELECT avg(ic) FROM ({_ic(walk, 'p', 'y', 's')}))"
+
+
+_NEST = (_walk("wfull", "num", ("g", "tr", "f")), _walk("wbase", "num", ("g", "tr"), need="f IS NOT NULL"))
+
+
+def _nested(key: str = "s", extra: str = "true") -> str:
+    """(k, m): what f adds to g and tr, by key."""
+    full, base = (_ic(f"(SELECT *, {key} AS kk FROM {w} WHERE {extra})", "p", "y", "kk") for w in ("wfull", "wbase"))
+    return f"SELECT a.k, a.ic - b.ic AS m, a.n FROM ({full}) a JOIN ({base}) b ON a.k = b.k"
+
+
+@query("j_fold_marginals", o.sql(f"SELECT k::INT AS fold, round(m, 4) AS marginal FROM ({_nested()})", _TGT, *_NEST))
 def j_fold_marginals(spark, d):
-    return _rounded(stats.fold_marginals(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24))
+    return _rounded(stats.fold_marginals(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24), 4)
+
+
+@query("j_harness_marginal", o.sql(f"SELECT round({_score('w3')} - {_score('w2')}, 4) AS marginal", _TGT, _walk("w3", "num", ("g", "tr", "f")), _walk("w2", "num", ("g", "tr"))))
+def j_harness_marginal(spark, d):
+    """Each walk on all rows that it can use itself."""
+    return _rounded(stats.marginal_ic(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24), 4)
+
+
+@query("j_signal_ic", o.sql(f"SELECT round(avg(m), 3) AS ic FROM ({_nested()})", _TGT, *_NEST))
+def j_signal_ic(spark, d):
+    return stats.signal_ic(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24)
+
+
+_HALF = "num2 AS (SELECT *, CASE WHEN vol >= (SELECT median(vol) FROM num) THEN 1 ELSE 0 END AS half FROM num WHERE vol IS NOT NULL)"
 
 
-@query("j_bootstrap")
-def j_bootstrap(spark, d):
-    t = _table(market(spark, d))
-    full, _ = stats.walk_forward(t, ["g", "f"], "y", ["t"], embargo=24)
-    base, _ = stats.walk_forward(t, ["g"], "y", ["t"], embargo=24, also=["f"])
-    both = full.withColumnRenamed("pred", "full").join(base.select("t", F.col("pred").alias("base")), "t")
-    return _rounded(stats.block_bootstrap(both, "full", "base", "y", ["t"], stats.block_length(50, 24, 100), draws=64))
+@query("j_signal_ic_by_regime", o.sql(f"SELECT (k % 10)::INT AS regime, round(avg(m), 3) AS ic FROM ({_nested('s * 10 + half')}) WHERE n >= 100 GROUP BY ALL", _TGT, _HALF, "num3 AS (SELECT * REPLACE (row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS total) FROM num2)",
+       _walk("wfull", "num3", ("g", "tr", "f")), _walk("wbase", "num3", ("g", "tr"), need="f IS NOT NULL")))
+def j_signal_ic_by_regime(spark, d):
+    """Two regimes, above and below the median volatility: thirds of so few reads have under 100 rows in a fold."""
+    t = stats.quantile_bins(_table(market(spark, d)), "vol_level", 2, "regime")
+    return stats.signal_ic(t, ["f"], ["g", "tr"], "y", ["t"], by="regime", embargo=24)
 
 
-@query("j_second_span")
+@query("j_own_control_ic", o.sql(f"SELECT round(sum(ic * n) / sum(n), 3) AS ic FROM ({_ic('(SELECT *, len(list_filter(cuts, lambda x: x <= vol)) AS b FROM own, (SELECT quantile_cont(vol, [0.25, 0.5, 0.75]) AS cuts FROM own WHERE g IS NOT NULL AND y IS NOT NULL))', 'g', 'y', 'b')}) WHERE n > 100", _TGT))
+def j_own_control_ic(spark, d):
+    """Gate B of a control's own leg: within bins of the yardstick that it shares with the target."""
+    return stats.signal_ic(_table(market(spark, d)), ["g"], [], "y", ["t"], kind="control", own=True, level="vol_level", bins=4)
+
+
+_REFLECTED = "ref AS (SELECT t, side, CASE side WHEN 0 THEN f ELSE -f END AS f, CASE side WHEN 0 THEN y ELSE -y END AS y, 2 * i + side AS i, 2 * total AS total FROM num, range(0, 2) e(side))"
+
+
+@query("j_mirror_walk", o.sql(f"SELECT round({_score('wm')}, 4) AS ic, (SELECT count(DISTINCT s) FROM wm) AS folds", _TGT, _REFLECTED, _walk("wm", "ref", ("f",), embargo=48)))
+def j_mirror_walk(spark, d):
+    """Each read with its reflection, in one fold."""
+    return _rounded(stats.wf_ic(_table(market(spark, d)), ["f"], "y", ["t"], embargo=24, mirror="odd"), 4)
+
+
+_BOOT = f"""
+bt AS (SELECT a.s, a.y, a.p AS pf, b.p AS pb, row_number() OVER (PARTITION BY a.s ORDER BY a.t) - 1 AS r, count(*) OVER (PARTITION BY a.s) AS n, row_number() OVER (ORDER BY a.t) AS q FROM wfull a JOIN wbase b ON a.t = b.t),
+mo AS (SELECT avg(y) AS m, var_pop(y) AS v, count(*) AS n, (SELECT min(n) FROM bt) AS least FROM bt),
+lg AS (SELECT coalesce(min(CASE WHEN abs(c / (n * v)) < 2 / sqrt(n) THEN lag END), 10000) AS lag FROM (SELECT l.lag, sum((a.y - m) * (b.y - m)) AS c, any_value(mo.n) AS n, any_value(v) AS v FROM (SELECT unnest([50, 100, 200, 500, 1000]) AS lag) l, mo, bt a JOIN bt b ON b.q = a.q + l.lag GROUP BY l.lag)),
+bl AS (SELECT least(greatest(10 * lag, 24), greatest(24, least // 30)) AS block FROM lg, mo),
+st AS (SELECT d.draw, f.s, f.n, j.j, bl.block, CASE WHEN f.n <= bl.block THEN 0 ELSE (('0x' || substr(md5('0|' || d.draw || '|' || f.s || '|' || j.j), 1, 13))::BIGINT::HUGEINT * (f.n - bl.block + 1) // 4503599627370496)::BIGINT END AS start
+  FROM (SELECT unnest(range(0, 400)) AS draw) d, (SELECT DISTINCT s, n FROM bt) f, bl, LATERAL (SELECT unnest(range(0, CASE WHEN f.n <= bl.block THEN 1 ELSE (f.n + bl.block - 1) // bl.block END)) AS j) j),
+sm AS (SELECT st.draw, st.s, bt.y, bt.pf, bt.pb FROM st, LATERAL (SELECT unnest(range(0, CASE WHEN st.n <= st.block THEN st.n ELSE st.block END)) AS o) x JOIN bt ON bt.s = st.s AND bt.r = st.start + x.o WHERE st.j * st.block + x.o < st.n),
+"""
+
+
+def _sampled(column: str) -> str:
+    over = f"PARTITION BY draw, s, {column}"
+    return f"rank() OVER (PARTITION BY draw, s ORDER BY {column}) + (count(*) OVER ({over}) - 1) / 2.0"
+
+
+_CI = f"""SELECT pos, folds, mean, block, lo, hi, boot_mean FROM (SELECT count(CASE WHEN m > 0 THEN 1 END) AS pos, count(*) AS folds, round(avg(m), 3) AS mean FROM ({_nested()})),
+(SELECT block::BIGINT AS block FROM bl), (SELECT round(quantile_cont(v, 0.05), 3) AS lo, round(quantile_cont(v, 0.95), 3) AS hi, round(avg(v), 3) AS boot_mean FROM (
+  SELECT draw, avg(v) AS v FROM (SELECT draw, s, corr(a, c) - corr(b, c) AS v FROM (SELECT draw, s, {_sampled('pf')} AS a, {_sampled('pb')} AS b, {_sampled('y')} AS c FROM sm) GROUP BY draw, s) GROUP BY draw))"""
+
+
+@query("j_marginal_ci", o.sql(_CI, _TGT, *_NEST, _BOOT.strip().rstrip(",")))
+def j_marginal_ci(spark, d):
+    """A marginal with its interval from 400 draws of moving blocks, as long as the target's memory asks."""
+    return stats.marginal_ci(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24)
+
+
+_SPANS = (5, 60, 200)
+
+
+def _with_spans(mk: Market) -> DataFrame:
+    """(t, f, s5, s60, s200, y): one feature of byb at several spans."""
+    out = research.price_target(mk, HOUR).withColumnRenamed("price_target", "y")
+    for s in (FAST, *_SPANS):
+        out = out.join(mk.of_target(features.get("trade_flow_imbalance").build(mk, s)).withColumnRenamed("value", "f" if s == FAST else f"s{s}"), "t")
+    return staged(_rounded(out, 9))
+
+
+_SPAN_ROWS = "sps AS (SELECT f.t, round(f.v, 9) + 0.0::DOUBLE AS f, " + ", ".join(f"round(x{s}.v, 9) + 0.0::DOUBLE AS s{s}" for s in _SPANS) + ", round(p.y, 9) + 0.0::DOUBLE AS y FROM tfi f JOIN price p ON p.t = f.t " + " ".join(f"JOIN tfi{s} x{s} ON x{s}.t = f.t AND x{s}.listing = f.listing" for s in _SPANS) + " WHERE f.listing = 'byb'), spn AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS total FROM sps)"
+
+
+def _given(s: int) -> str:
+    a, b, c = (_ic("sps", x, y, where=f"{z} IS NOT NULL") for x, y, z in ((f"s{s}", "y", "f"), (f"s{s}", "f", "y"), ("f", "y", f"s{s}")))
+    return f"SELECT 's{s}' AS second, (a.ic - b.ic * c.ic) / sqrt((1 - b.ic * b.ic) * (1 - c.ic * c.ic)) AS net, {_score(f'wj{s}')} AS joint FROM ({a}) a, ({b}) b, ({c}) c"
+
+
+@query("j_second_span", o.sql(f"SELECT second, round(net, 4) AS conditional, round(solo, 4) AS solo, round(joint, 4) AS joint, joint - solo >= 0.01 AS adds FROM ({' UNION ALL '.join(map(_given, _SPANS))}), (SELECT {_score('w1')} AS solo) ORDER BY abs(net) DESC LIMIT 1",
+       _TGT, *(o.mean(f"tfi{s}", "vol", s, "signed", "total") for s in _SPANS), _SPAN_ROWS, _walk("w1", "spn", ("f",)), *(_walk(f"wj{s}", "spn", ("f", f"s{s}")) for s in _SPANS)))
 def j_second_span(spark, d):
-    return _rounded(research.second_span_adds(_table(market(spark, d)), "f", "g", "y", 24))
+    """The span that says most beside the chosen one, and whether it adds out of sample."""
+    return _rounded(research.second_span_adds(_with_spans(market(spark, d)), "f", [f"s{s}" for s in _SPANS], "y", 24), 4)
+
+
+_LEG_ROWS = "lgs AS (SELECT p.t, " + ", ".join(f"round({x}.v, 9) + 0.0::DOUBLE AS {x}" for x in LISTINGS) + ", round(p.y, 9) + 0.0::DOUBLE AS y FROM price p " + " ".join(f"JOIN tfi {x} ON {x}.t = p.t AND {x}.listing = '{x}'" for x in LISTINGS) + "), lgn AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS total FROM lgs)"
+
 
+_SINGLE = " UNION ALL ".join(f"SELECT '{x}' AS best, {_score('w_' + x)} AS single" for x in LISTINGS)
 
-@query("j_joint_adds", o.sql(f"""SELECT 'f' AS leg, round(avg(ic), 4) AS single FROM ({_ic('(SELECT s, f * sign(b) AS p, y FROM seg JOIN fit ON fit.j = seg.s)', 'p', 'y', 's')})""", _TGT, _WF))
+
+@query("j_joint_adds", o.sql(f"SELECT round(joint, 4) AS joint, best, round(single, 4) AS single, joint - single >= 0.01 AS adds FROM (SELECT {_score('wall')} AS joint), (SELECT best, single FROM ({_SINGLE}) ORDER BY single DESC, best DESC LIMIT 1)",
+       _TGT, _LEG_ROWS, _walk("wall", "lgn", LISTINGS), *(_walk(f"w_{x}", "lgn", (x,)) for x in LISTINGS)))
 def j_joint_adds(spark, d):
-    """The best single leg of two, and what it scores; its joint score has several columns and is held by tests."""
-    t = _table(market(spark, d)).where("f is not null and g is not null")
-    out = research.joint_adds(t, ["f"], "y", 24)
-    return _rounded(out.select(F.col("best").alias("leg"), "single"), 4)
+    """Whether the legs of all three listings together beat the best one."""
+    mk = market(spark, d)
+    f = features.get("trade_flow_imbalance").build(mk, FAST).groupBy("t").pivot("listing", list(LISTINGS)).agg(F.first("value"))
+    t = f.join(research.price_target(mk, HOUR).withColumnRenamed("price_target", "y"), "t")
+    return _rounded(research.joint_adds(staged(_rounded(t, 9)), LISTINGS, "y", 24), 4)
+
+
+def _acklam(p: str) -> str:
+    def poly(name: str, x: str) -> str:
+        k = stats.ACKLAM[name]
+        out = f"{k[0]!r}::DOUBLE"
+        for v in k[1:]:
+            out = f"({out} * {x} + {v!r}::DOUBLE)"
+        return out
 
+    tail = lambda x: f"{poly('c', x)} / {poly('d', x)}"
+    q, low = f"({p} - 0.5)", stats.ACKLAM_TAIL
+    return f"CASE WHEN {p} < {low} THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN {p} > {1 - low!r} THEN -({tail(f'sqrt(-2 * ln(1 - {p}))')}) ELSE {q} * {poly('a', f'{q} * {q}')} / {poly('b', f'{q} * {q}')} END"
 
-@query("j_shaping", o.sql("""SELECT 'raw' AS shape, round(kurtosis_pop(f), 4) AS excess_kurtosis, round(max(abs(f)), 4) AS max_abs FROM own
-UNION ALL SELECT 'z-score', round(kurtosis_pop(z), 4), round(max(abs(z)), 4) FROM sh UNION ALL SELECT 'robust+clip', round(kurtosis_pop(greatest(least(rz, 4), -4)), 4), round(max(abs(greatest(least(rz, 4), -4))), 4) FROM sh UNION ALL SELECT 'arcsinh', round(kurtosis_pop(asinh(rz)), 4), round(max(abs(asinh(rz))), 4) FROM sh""",
-       _TGT, "mo AS (SELECT avg(f) AS m, stddev_pop(f) AS s, median(f) AS med FROM own)", "md AS (SELECT 1.4826 * median(abs(f - med)) AS mad FROM own, mo)", "sh AS (SELECT (f - m) / s AS z, (f - med) / mad AS rz FROM own, mo, md)"))
+
+_SHAPES = {"raw": "f", "z-score": "(f - m) / s", "robust+clip": "greatest(least((f - med) / mad, 4), -4)", "arcsinh": "asinh((f - med) / mad)", "rank-Gaussian": _acklam("pr")}
+
+
+@query("j_shaping", o.sql(" UNION ALL ".join(f"SELECT '{k}' AS shape, count(*) AS n, round(stddev_pop(v), 4) AS std, round(avg(pow(v - mu, 3)) / pow(stddev_pop(v), 3), 4) + 0.0::DOUBLE AS skew, round(kurtosis_pop(v), 4) + 0.0::DOUBLE AS excess_kurtosis, round(max(abs(v)), 4) AS max_abs FROM (SELECT v, avg(v) OVER () AS mu FROM (SELECT {e} AS v FROM sh))" for k, e in _SHAPES.items()),
+       _TGT, "fin AS (SELECT f FROM own WHERE f IS NOT NULL)", "mo AS (SELECT avg(f) AS m, stddev_pop(f) AS s, median(f) AS med, count(*) AS n FROM fin)", "md AS (SELECT 1.4826 * median(abs(f - med)) AS mad FROM fin, mo)",
+       "sh AS (SELECT f, m, s, med, mad, (rank() OVER (ORDER BY f) + (count(*) OVER (PARTITION BY f) - 1) / 2.0 - 0.5) / n AS pr FROM fin, mo, md)"))
 def j_shaping(spark, d):
-    return _rounded(stats.shaping(_table(market(spark, d)).where("f is not null"), "f").where("shape <> 'rank-Gaussian'"), 4)
+    return _rounded(stats.shaping(_table(market(spark, d)), "f"), 4)
 
 
 _WEEK = f"(t - (SELECT min(t) FROM anchors)) // (168 * {HOUR})"
@@ -995,14 +1184,9 @@ def m_eps_merge_r2(spark, d):
 
 def _newest(book: DataFrame) -> DataFrame:
     """(listing, rx, x): the newest exchange time so far, at each book time."""
-    from pyspark.sql import Window as W
-
-    from .operators.scan import DAY
+    from .operators.scan import highest
 
-    b = book.groupBy("listing", "rx").agg(F.max("exchange_time").alias("x")).withColumn("c", F.floor(F.col("rx") / (7 * DAY)))
-    per = b.groupBy("listing", "c").agg(F.max("x").alias("m")).select("listing", "c", F.max("m").over(W.partitionBy("listing").orderBy("c").rowsBetween(W.unboundedPreceding, -1)).alias("m"))
-    run = b.withColumn("x", F.max("x").over(W.partitionBy("listing", "c").orderBy("rx").rowsBetween(W.unboundedPreceding, 0)))
-    return run.join(per, ["listing", "c"]).select("listing", "rx", F.greatest("x", "m").alias("x"))
+    return highest(book.groupBy("listing", "rx").agg(F.max("exchange_time").alias("x")), ["listing"], "rx", ["rx"], ["x"])
 
 
 @query("m_xcorr", o.sql("SELECT l.lag, round(corr(a.r, b.r), 5) AS c FROM (SELECT unnest(range(-5, 6)) AS lag) l, tr a JOIN tr b ON b.n = a.n + l.lag WHERE a.listing = 'bin' AND b.listing = 'byb' GROUP BY l.lag", f"tr AS ({_RET})"))

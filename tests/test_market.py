@@ -110,6 +110,45 @@ def test_scans_do_not_depend_on_chunks(spark, chunk):
     assert sorted(map(tuple, out.select("seq", "s", "v", "one", "three").collect()), key=lambda y: y[0]) == sorted(want)
 
 
+@pytest.mark.parametrize("fan", [1, 3, 4096])
+def test_scans_do_not_depend_on_spans(spark, fan, monkeypatch):
+    monkeypatch.setattr(scan, "FAN", fan)
+    test_scans_do_not_depend_on_chunks(spark, 7)
+
+
+def test_no_window_partition_grows_with_the_history(spark):
+    """Millisecond steps of two days: the rows of a chunk, and the chunks of a span, stay below what their lengths allow."""
+    ms = spark.range(0, 2 * 86_400_000, 100).select(F.lit("a").alias("listing"), (F.col("id") * 1_000_000).alias("rx"))
+    chunks = scan.in_chunks(ms, "rx")
+    assert chunks.groupBy("listing", "_chunk").count().agg(F.max("count")).first()[0] == scan.CHUNK // 100_000_000
+    year = spark.range(0, 365 * 86_400_000_000_000 // scan.CHUNK).select(F.lit("a").alias("listing"), F.col("id").alias("_chunk"))
+    per_span = scan._in_spans(year).groupBy("listing", "_span").count()
+    assert per_span.agg(F.max("count")).first()[0] == scan.FAN and per_span.count() == 13
+    plan = scan.running(ms, ["listing"], "rx", ["rx"], {"n": F.lit(1)})._jdf.queryExecution().analyzed().toString()
+    windows = [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Window")]
+    assert len(windows) == 3 and sum("_chunk" in x.split("],")[1] for x in windows) >= 1
+
+
+def test_running_maximum(spark):
+    r = random.Random(4)
+    own = [("ab"[k % 2], k, r.randint(0, 400), r.choice([None, r.random()])) for k in range(150)]
+    df = spark.createDataFrame(own, "listing string, seq long, rx long, v double")
+    best, want = {}, []
+    for a, k, _, v in sorted(own, key=lambda y: (y[2], y[1])):
+        if v is not None:
+            best[a] = max(best.get(a, v), v)
+        want.append((k, best.get(a)))
+    assert rows(scan.highest(df, ["listing"], "rx", ["rx", "seq"], ["v"], 20), "seq", "v") == sorted(want)
+
+
+def test_uniform_grid_is_a_range(spark, monkeypatch):
+    clock = spark.createDataFrame([(10 * k, k) for k in range(1, 101)], "rx long, n long")
+    for grid in (1, 7, 65_536):
+        monkeypatch.setattr(align, "GRID", grid)
+        assert [x[0] for x in rows(align.uniform_grid(clock, 5, 100, 3), "t")] == list(range(60, 900, 3))
+    assert align.uniform_grid(clock, 5, 10_000, 3).count() == 0
+
+
 def test_as_of_reads(spark):
     e = spark.createDataFrame([("a", 10, 1.0), ("a", 20, 2.0), ("a", 30, None)], "listing string, rx long, v double")
     q = spark.createDataFrame([("a", t) for t in (5, 10, 15, 20, 31)], "listing string, t long")
@@ -235,6 +274,60 @@ def test_a_subset_of_columns_is_the_same_columns(spark, data, tmp_path):
         cache.read_dataset(spark, path, ["nothing"])
 
 
+@pytest.mark.parametrize("span", [1, 4, 60])
+def test_averages_over_every_step_match_a_dense_loop(spark, span):
+    """States and trades at odd times, read on a grid on which most steps have no event."""
+    r = random.Random(span)
+    times = sorted(r.sample(range(3000), 120))
+    price, states = 100.0, []
+    for k, t in enumerate(times):
+        price += r.choice([-0.1, 0.0, 0.1])
+        states.append(("ab"[k % 3 == 0], k, t, price, 1.0 + r.randrange(5), price + 0.2, 1.0 + r.randrange(5)))
+    trades = [("a", 1000 + k, t, r.choice(["Bid", "Ask"]), 100.0, 1.0 + r.randrange(3)) for k, t in enumerate(sorted(r.sample(range(3000), 60)))]
+    step, low, high = 10, 20, 290
+    ds = dataset.Dataset(book_of(spark, states), trade_of(spark, trades), ("a", "b"), "a", step, low, high, reference={"a": 99.5})
+    c = dataset.Column
+    one = [c(f"{{LISTING}}_{x}", ["a"], [span]) for x in ("ema_microprice_centered_{N}ms", "ema_microprice_centered_sq_{N}ms", "ema_microprice_return_sq_{N}ms", "ema_buy_trade_value_{N}ms")]
+    two = [c(f"{{LISTING1}}_{{LISTING2}}_{x}", pairs=[("a", "b")], spans=[span]) for x in ("ema_log_microprice_ratio_{N}ms", "ema_log_microprice_ratio_sq_{N}ms")]
+    got_ = {x[0]: x[1:] for x in map(tuple, ds.build(one + two, single=False).collect())}
+    a, y, want, before = 2 / (span + 1), np.zeros(6), {}, None
+    for t in range(low, high + 1):
+        micro = {}
+        for x, _, rx, bid, bq, ask, aq in states:
+            if rx <= t * step:
+                micro[x] = (bid * aq + ask * bq) / (bq + aq)
+        now = micro.get("a")
+        level = now - 99.5 if now is not None else 0.0
+        ret = math.log(now / before) if now is not None and before is not None else 0.0
+        buys = sum(p * q for _, _, rx, g, p, q in trades if g == "Bid" and (t - 1) * step < rx <= t * step)
+        ratio = math.log(micro["a"] / micro["b"]) if len(micro) == 2 else 0.0
+        y = (1 - a) * y + a * np.array([level, level**2, ret**2, buys, ratio, ratio**2])
+        want[t], before = y.copy(), now
+    swapped = ds.build(one, single=False).first() is not None
+    assert swapped and len(got_) > 20
+    assert max(np.abs(np.array(v) - want[t]).max() for t, v in got_.items()) < 1e-9
+
+
+def test_trades_between_entry_and_exit_match_a_scan(spark):
+    r = random.Random(9)
+    b = book_of(spark, [("a", k, 10 * k, 100.0 + r.random(), 10.0, 101.0 + r.random(), 10.0) for k in range(300)])
+    own = [("a", 1000 + k, r.randrange(3000), r.choice(["Bid", "Ask"]), 90 + 20 * r.random(), 1.0 + r.randrange(4)) for k in range(500)]
+    own += [("a", 5000 + k, 1500, "Bid", 100.0 + k, 1.0) for k in range(5)]  # at one time
+    for horizon in (40, 700, 2500):
+        q = [(t,) for t in range(0, 2900, 37)]
+        out = {x.t: x for x in outcomes.outcomes(b, trade_of(spark, own), spark.createDataFrame(q, "t long"), horizon).collect()}
+        for (t,) in q:
+            mid = out[t].eval_mid
+            for name, side in (("buy", "Bid"), ("sell", "Ask")):
+                hit = [(p, p * z) for _, _, rx, g, p, z in own if g == side and t <= rx < t + horizon]
+                assert out[t][f"c_{name}_trade_count"] == len(hit)
+                low, high, value = out[t][f"c_{name}_trade_min_l"], out[t][f"c_{name}_trade_max_l"], out[t][f"c_{name}_trade_value_l"]
+                if hit:
+                    assert low == math.log(min(hit)[0] / mid) and high == math.log(max(hit)[0] / mid) and abs(value - math.log(sum(x[1] for x in hit))) < 1e-9
+                else:
+                    assert (low, high, value) == (math.inf, -math.inf, -math.inf)
+
+
 def test_outcomes_of_a_small_session(spark):
     b = book_of(spark, [("a", k, 1000 * k, 100.0 + k, 10.0, 101.0 + k, 10.0) for k in range(10)])
     t = trade_of(spark, [("a", 100, 2500, "Bid", 104.0, 1.0), ("a", 101, 3500, "Ask", 102.0, 2.0), ("a", 102, 9000, "Bid", 200.0, 1.0)])
@@ -288,18 +381,136 @@ def test_walk_forward_is_least_squares_on_the_past(sample):
     assert abs(none) < 0.05
 
 
-def test_bootstrap_is_seeded_and_brackets_its_mean(sample):
+def folds_of(pdf, cols, y, embargo, k=6):
+    """(test rows, prediction) of each fold, by least squares."""
+    edges = np.linspace(0, len(pdf), k + 1).astype(int)
+    for i in range(1, k):
+        tr, te = pdf.iloc[: max(0, edges[i] - embargo)].dropna(), pdf.iloc[edges[i] : edges[i + 1]].dropna()
+        w, *_ = np.linalg.lstsq(np.column_stack([tr[cols], np.ones(len(tr))]), tr[y], rcond=None)
+        yield te, np.column_stack([te[cols], np.ones(len(te))]) @ w
+
+
+def test_gate_b(sample):
+    pdf, df = sample
+    pdf = pdf.assign(half=(pdf.lv > 0).astype(int))
+    df = df.withColumn("half", (F.col("lv") > 0).cast("int"))
+    full, base = list(folds_of(pdf, ["c", "f"], "y", 100)), list(folds_of(pdf, ["c"], "y", 100))
+    want = [spearman(p, te.y) - spearman(q, te.y) for (te, p), (_, q) in zip(full, base, strict=True)]
+    args = (df, ["f"], ["c"], "y", ["t"])
+    got_ = sorted(tuple(r) for r in stats.fold_marginals(*args, embargo=100).collect())
+    assert np.abs(np.array([x[1] for x in got_]) - want).max() < 1e-9
+    assert stats.signal_ic(*args, embargo=100).first().ic == round(float(np.mean(want)), 3)
+    by = {}
+    for (te, p), (_, q) in zip(full, base, strict=True):
+        for h in (0, 1):
+            at = (te.half == h).to_numpy()
+            if at.sum() >= 100:
+                by.setdefault(h, []).append(spearman(p[at], te.y[at]) - spearman(q[at], te.y[at]))
+    found = {r.half: r.ic for r in stats.signal_ic(*args, by="half", embargo=100).collect()}
+    assert found.keys() == {0, 1} and all(abs(found[h] - np.mean(v)) < 6e-4 for h, v in by.items())
+    ok = pdf.dropna()
+    own = stats.signal_ic(df, ["f", "c"], [], "y", ["t"], kind="control", own=True).first().ic
+    assert abs(own - (spearman(ok.f, ok.y) + spearman(pdf.c, pdf.y)) / 2) < 6e-4
+    strata = stats.signal_ic(df, ["f"], [], "y", ["t"], kind="control", own=True, level="lv", bins=4).first().ic
+    cuts = np.quantile(ok.lv, [0.25, 0.5, 0.75])
+    parts = [(spearman(x.f, x.y), len(x)) for _, x in ok.groupby(np.searchsorted(cuts, ok.lv, "right"))]
+    assert abs(strata - np.average([p[0] for p in parts], weights=[p[1] for p in parts])) < 6e-4
+    regimes = stats.signal_ic(df, ["f"], [], "y", ["t"], kind="control", own=True, level="lv", bins=4, by="half").collect()
+    assert {r.half for r in regimes} == {0, 1}
+    with pytest.raises(ValueError):
+        stats.signal_ic(*args, kind="other")
+    assert abs(stats.marginal_ic(*args, embargo=100).first()[0] - 0.0) > 0.1
+
+
+def test_a_mirrored_walk_is_the_walk_over_reflected_rows(sample):
+    pdf, df = sample
+    two = pd.concat([pdf.assign(side=0), pdf.assign(side=1, f=-pdf.f, y=-pdf.y)]).sort_values(["t", "side"])[["f", "y"]]
+    want = np.mean([spearman(p, te.y) for te, p in folds_of(two, ["f"], "y", 200)])
+    got_ = stats.wf_ic(df.drop("c", "lv"), ["f"], "y", ["t"], embargo=100, mirror="odd").first()
+    assert got_.folds == 5 and abs(got_.ic - want) < 1e-9
+    with pytest.raises(ValueError):
+        stats.wf_ic(df, ["f"], "y", ["t"], mirror="sideways")
+
+
+def test_bootstrap_repeats_and_matches_a_plain_one(sample):
+    pdf, df = sample
+    test = stats.aligned(df, ["f"], ["c"], "y", ["t"], embargo=100)
+    a, b = (stats.block_bootstrap(test, "full", "base", "y", ["t"], 50, draws=24, parts=p).first() for p in (2, 5))
+    assert np.allclose(a, b, atol=1e-12) and a.lo < a.mean < a.hi
+    folds = [x.sort_values("t") for _, x in test.toPandas().groupby("_seg")]
+    means = []
+    for draw in range(24):
+        each = []
+        for x in folds:
+            n, fold = len(x), int(x._seg.iloc[0])
+            at = np.concatenate([np.arange(50) + stats.block_start(0, draw, fold, j, n - 49) for j in range(-(-n // 50))])[:n]
+            some = x.iloc[at]
+            each.append(spearman(some.full, some.y) - spearman(some.base, some.y))
+        means.append(np.mean(each))
+    assert np.allclose(a, (np.percentile(means, 5), np.percentile(means, 95), np.mean(means)), atol=1e-9)
+    assert len({stats.block_start(0, d, 1, 0, 1000) for d in range(200)}) > 150 and all(0 <= stats.block_start(1, d, 2, 3, 7) < 7 for d in range(100))
+
+
+def test_interval_of_a_marginal(sample):
     _, df = sample
-    test, _ = stats.walk_forward(df, ["f", "c"], "y", ["t"], embargo=100)
-    both = test.withColumn("base", F.col("c"))
-    a, b = (stats.block_bootstrap(both, "pred", "base", "y", ["t"], 50, draws=24, parts=2).first() for _ in range(2))
-    assert a == b and a.lo < a.mean < a.hi
+    r = stats.marginal_ci(df, ["f"], ["c"], "y", ["t"], embargo=100, draws=40).first()
+    lag = stats.acf_lag(stats.aligned(df, ["f"], ["c"], "y", ["t"], embargo=100), "y", ["t"])
+    assert r.pos == r.folds == 5 and r.lo < r.boot_mean < r.hi and r.lo < r["mean"] < r.hi
+    assert r.block == stats.block_length(lag, 100, 490) and lag in (50, 100, 200, 500, 1000, 2000)
+
+
+def test_memory_of_a_series(spark):
+    r = np.random.default_rng(5)
+    x = np.convolve(r.normal(size=4000), np.ones(120), "valid")
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(len(x)), "y": x}))
+    z = x - x.mean()
+    want = next(k for k in (50, 100, 200, 500, 1000) if abs((z[k:] * z[:-k]).sum() / (z * z).sum()) < 2 / len(x) ** 0.5)
+    assert stats.acf_lag(df, "y", ["t"]) == want > 50
+    assert stats.acf_lag(df.limit(150), "y", ["t"]) == 50
+    assert stats.block_length(100, 2000, 60_000) == 2000 and stats.block_length(500, 2000, 600_000) == 5000
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 5000])
+def test_quantiles_are_exact(spark, n, monkeypatch):
+    r = np.random.default_rng(n)
+    x = np.round(r.normal(size=n), 2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(3)
+    p = [0, 0.05, 0.33, 0.5, 0.9, 1]
+    for edges in (2, 32):
+        monkeypatch.setattr(stats, "EDGES", edges)
+        assert np.allclose(stats.quantiles(df, "v", p).first()[0], np.quantile(x, p), atol=1e-12)
+    assert stats.quantiles(df.where("v is null"), "v", p).first()[0] is None
+    keyed = df.where("v is not null").select(F.col("v"), (F.col("v") > 0).alias("k"))
+    ranks = {(x.k, x.v): x.r for x in stats.average_ranks(keyed, "v", "r", ["k"]).collect()}
+    own = pd.DataFrame({"v": x, "k": x > 0})
+    own["r"] = own.groupby("k").v.rank()
+    assert ranks == {(k, v): r for k, v, r in own[["k", "v", "r"]].itertuples(index=False)}
+
+
+def test_a_second_span_and_joint_legs(sample):
+    pdf, df = sample
+    df = df.withColumns({"near": F.col("f") + 0.1 * F.col("lv"), "far": F.col("c") + 0.2 * F.col("f")})
+    r = research.second_span_adds(df, "f", ["near", "far"], "y", 100).first()
+    assert r.second == "far" and r.adds and r.joint > r.solo + 0.01
+    alone = research.second_span_adds(df, "f", ["near"], "y", 100).first()
+    assert alone.second == "near" and not alone.adds
+    assert research.second_span_adds(df, "f", ["near", "far"], "y", 100, mirror="odd").first().second == "far"
+    assert research.second_span_adds(df, "f", ["near", "far"], "y", 100, size=True).first().solo is not None
+    with pytest.raises(ValueError):
+        research.second_span_adds(df, "f", [], "y", 100)
+    out = research.joint_adds(df, ["f", "c"], "y", 100).first()
+    ones = {x: np.mean([spearman(p, te.y) for te, p in folds_of(pdf[["t", x, "y"]], [x], "y", 100)]) for x in ("f", "c")}
+    both = np.mean([spearman(p, te.y) for te, p in folds_of(pdf[["t", "f", "c", "y"]], ["f", "c"], "y", 100)])
+    assert out.best == max(ones, key=ones.get) and abs(out.single - max(ones.values())) < 1e-9 and abs(out.joint - both) < 1e-9 and out.adds
 
 
 def test_shapes_and_verdicts(spark, sample):
     pdf, df = sample
     rep = {r.shape: r for r in stats.shaping(df, "f").collect()}
     x = pdf.f.dropna()
+    assert rep["raw"].n == len(x) and abs(rep["raw"].std - x.std(ddof=0)) < 1e-9 and abs(rep["raw"].skew - ((x - x.mean()) ** 3).mean() / x.std(ddof=0) ** 3) < 1e-9
+    with pytest.raises(ValueError):
+        stats.shaping(df.where("f is null"), "f")
     assert abs(rep["z-score"].max_abs - ((x - x.mean()) / x.std(ddof=0)).abs().max()) < 1e-9 and rep["robust+clip"].max_abs <= 4
     p = spark.createDataFrame([(0.975,), (0.5,), (0.001,)], "p double").select(stats.normal_quantile(F.col("p"))).collect()
     assert np.abs(np.array([r[0] for r in p]) - [1.959963984540054, 0.0, -3.090232306167813]).max() < 1e-8
@@ -321,10 +532,16 @@ def test_reports_over_a_market(spark, data, tmp_path):
     oos.append_matrix(ics, str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "m")).count() == 6
     rep = research.gate_report(data, "trade_flow_imbalance", (5,), y, "price_target", 10)
-    assert set(rep) == {"joint", "scale", "track", "mag", "disp", "passes"} and rep["passes"] in (True, False)
-    wide = y.withColumn("a", F.col("price_target") + F.rand(1)).withColumn("b", F.rand(2))
-    out = research.joint_adds(wide, ["a", "b"], "price_target", 5).first()
-    assert out.best in ("a", "b", None)
+    assert set(rep) == {"joint", "scale", "track", "mag", "disp", "passes"}
+    bars = {"scale": 3.0, "track": 0.05, "mag": 0.1, "disp": 0.1}
+    assert rep["passes"] == (rep["joint"] is not None and rep["joint"] >= 0.01 and all(rep[k] is not None and rep[k] <= b for k, b in bars.items()))
+    best = {x.listing: x for x in features.best_variants(data, (5, 20), y, "price_target").collect()}
+    assert set(best) == set(src.LISTINGS) and all(b.variant in features.VARIANTS and b.span in (5, 20) for b in best.values())
+    legs = features.ofi_best(data, (5, 20), y, "price_target")
+    b = best["okx"]
+    assert rows(legs.where("listing = 'okx'"), "t", "value") == rows(features.get("m_ofi_normalised").build(data, b.span, b.variant).where("listing = 'okx'"), "t", "value")
+    ruled, plain = (features.get("m_price_momentum").build(data, 5, n) for n in (None, features.too_spread(data)))
+    assert rows(ruled, "listing", "t", "value") == rows(plain, "listing", "t", "value")
 
 
 def test_spans_and_scores_are_kept(spark, tmp_path):
@@ -367,7 +584,7 @@ def test_live_book_unparts_crossed_quotes():
 def test_every_query_has_an_oracle_or_says_why():
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q)
-    assert {n for n in q if n not in sql and not n.startswith("op") and n != "pipeline"} == {"j_fold_marginals", "j_bootstrap", "j_second_span"}
+    assert {n for n in q if n not in sql and not n.startswith("op") and n != "pipeline"} == set()
 
 
 def test_stream_equals_batch(spark):
