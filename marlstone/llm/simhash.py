@@ -226,17 +226,24 @@ def _by_balls(crowd: DataFrame, max_bits: int) -> DataFrame:
     return held.select(F.explode("own").alias("u"), "v").where("u <> v").distinct()
 
 
+def _rank(fp="fp"):
+    """One order of fingerprints, by a hash, in which the first of any crowd is its hub."""
+    return F.xxhash64(fp, F.lit(1))
+
+
 def _by_stars(keys: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each crowded value's fingerprints, and those probing it, held against its least one."""
+    """Each fingerprint in a crowded value, or probing one, with the first of all the hubs of its values."""
     own = keys.join(hot, ["part", "value"])
-    least = own.where("not probe").groupBy("part", "value").agg(F.min("fp").alias("v"))
-    return own.select("part", "value", F.col("fp").alias("u")).join(least, ["part", "value"]).where("u <> v").select("u", "v").distinct()
+    hub = F.min(F.struct(_rank().alias("h"), F.col("fp").alias("v"))).alias("o")
+    hubs = own.where("not probe").groupBy("part", "value").agg(hub)
+    met = own.select("part", "value", F.col("fp").alias("u")).join(hubs, ["part", "value"])
+    return met.groupBy("u").agg(F.min("o").alias("o")).select("u", F.col("o.v").alias("v")).where("u <> v")
 
 
 def links(distinct: DataFrame, max_bits: int = 2, crowd: int = CROWD, whole: bool = True) -> DataFrame:
     """(u, v) between distinct fingerprints (column fp): every pair within max_bits, but inside crowds only as many as connect the same sets.
 
-    whole=False is for callers that search on by other means: crowded values only propose pairs with their least fingerprint.
+    whole=False is for callers that search on by other means: crowded values only propose one pair for each fingerprint.
     """
     spark = distinct.sparkSession
     ship(spark)
@@ -266,19 +273,16 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _across(met: DataFrame, roots: DataFrame | None, every_pair: bool, least: float) -> DataFrame:
-    """(u, v) of sets that share a value of met (value, sid, n, fp) and are not in one group yet. every_pair: all but those
-    inside the group that has the value most often; else each value's hub against the others."""
-    now = met.withColumn("comp", F.col("sid"))
-    if roots is not None:
-        now = met.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select(*met.columns, F.coalesce("root", "sid").alias("comp"))
-    now = cut(now)
+def _across(met: DataFrame, comps: DataFrame, every_pair: bool, least: float) -> DataFrame:
+    """(u, v) of sets that share a value of met (value, sid, n, fp) and are not in one group of comps (sid, comp) yet.
+    every_pair: all but those inside the group that has the value most often; else each value's hub against the others."""
+    now = cut(met.join(comps, "sid"))
     as_other = [F.col(c).alias(f"{c}2") for c in ("sid", "n", "fp", "comp")]
     if every_pair:
         large = now.groupBy("value", "comp").count().groupBy("value").agg(F.max(F.struct("count", "comp")).alias("o"), F.count("*").alias("c")).where("c > 1")
         other = now.join(large, "value").where("comp <> o.comp").select("value", *as_other)
     else:
-        hub = F.min(F.struct(F.xxhash64("sid", F.lit(1)).alias("h"), "sid", "n", "fp", "comp")).alias("o")
+        hub = F.min(F.struct(_rank().alias("h"), "sid", "n", "fp", "comp")).alias("o")
         hubs = now.groupBy("value").agg(hub, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
         other = hubs.select("value", "o.*").select("value", *as_other)
     like = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9)
@@ -286,6 +290,15 @@ def _across(met: DataFrame, roots: DataFrame | None, every_pair: bool, least: fl
     return now.join(other, "value").where(like).select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
 
 
+def _joined(comps: DataFrame, linked: DataFrame) -> DataFrame:
+    """comps (sid, comp) once the groups of linked sets (u, v) are one; groups count as one node each."""
+    ends = linked
+    for end in ("u", "v"):
+        ends = ends.join(comps.select(F.col("sid").alias(end), F.col("comp").alias(f"_{end}")), end).drop(end)
+    roots = components(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v"))).select(F.col("node").alias("comp"), "root")
+    return cut(comps.join(roots, "comp", "left").select("sid", F.coalesce("root", "comp").alias("comp")))
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bits: int = 4, crowd: int = CROWD) -> DataFrame:
     """(doc_id, fp, component_id) of every row: groups of texts whose sets of shingles have a Jaccard similarity of `least`,
     0.8 or more; fp is the fingerprint of the set."""
@@ -308,19 +321,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bi
     met = sets.select(F.explode("prefix").alias("value"), "sid", "n", "fp")
     shared = met.groupBy("value").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("value")
     met = cut(met.join(shared, "value"))
-    near, roots = None, None
-    for every_pair in (None, False, True):
-        pairs = cut(pairs if every_pair is None else _across(met, roots, every_pair, least))
-        if pairs.isEmpty():
-            continue
-        more = cut(similar(pairs, src, where, shingle, least))
-        near = more if near is None else near.unionByName(more)
-        roots = cut(components(near).select("node", "root"))
-    if roots is None:
-        named = sets.select("sid", F.col("first_id").alias("component_id"))
-    else:
-        joined = sets.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "first_id", F.coalesce("root", "sid").alias("root"))
-        named = joined.join(joined.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("sid", "component_id")
+    comps = sets.select("sid", F.col("sid").alias("comp"))
+    for every_pair in (False, True):
+        new = _across(met, comps, every_pair, least)
+        new = cut(new if every_pair else new.unionByName(pairs).distinct())  # what the search proposes goes with the hubs
+        if not new.isEmpty():
+            comps = _joined(comps, cut(similar(new, src, where, shingle, least)))
+    joined = sets.select("sid", "first_id").join(comps, "sid")
+    named = joined.join(joined.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("sid", "component_id")
     return rows.select("doc_id", "fp", "sid").join(named, "sid").select("doc_id", "fp", "component_id")
 
 
