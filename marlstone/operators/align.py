@@ -117,3 +117,9 @@ def nth_after(left: DataFrame, events: DataFrame, keys: Sequence[str], n: int, v
     own = numbered(events, keys, "rx", ["rx"], "_n")
     now = asof(left, own, keys, ["_n"], at).withColumn("_n", F.coalesce("_n", F.lit(0)) + n)
     return now.join(own.select(*keys, "_n", *values), [*keys, "_n"], "left").drop("_n")
+
+
+def with_event(grid: DataFrame, events: DataFrame, step: int) -> DataFrame:
+    """Grid times t, whole numbers of steps, with an event in [t, t + step)."""
+    hit = events.select((F.floor(F.col("rx") / step) * step).cast("long").alias("t")).distinct()
+    return grid.join(hit, "t", "left_semi")

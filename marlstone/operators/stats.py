@@ -322,9 +322,22 @@ def block_length(lag: int, embargo: int, n: int, safety: int = 10) -> int:
     return int(np.clip(safety * lag, embargo, max(embargo, n // 30)))
 
 
-def block_start(seed: int, draw: int, fold: int, number: int, places: int) -> int:
-    """Where a block begins, from 0: the first 13 hex digits of a digest, as a share of the places."""
-    return int(hashlib.md5(f"{seed}|{draw}|{fold}|{number}".encode()).hexdigest()[:13], 16) * places >> 52
+def _sampler():
+    """Functions that travel to the executors by value, so that these need no installation of this package."""
+
+    def block_start(seed: int, draw: int, fold: int, number: int, places: int) -> int:
+        """Where a block begins, from 0: the first 13 hex digits of a digest, as a share of the places."""
+        return int(hashlib.md5(f"{seed}|{draw}|{fold}|{number}".encode()).hexdigest()[:13], 16) * places >> 52
+
+    def sample_ranks(codes: np.ndarray) -> np.ndarray:
+        """Average ranks, from counts of whole numbers."""
+        n = np.bincount(codes)
+        return (np.cumsum(n) - (n - 1) / 2)[codes]
+
+    return block_start, sample_ranks
+
+
+block_start, _sample_ranks = _sampler()
 
 
 def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: Sequence[str], block: int, draws: int = 400, seed: int = 0, parts: int = 8) -> DataFrame:
@@ -340,6 +353,7 @@ def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: S
         rows = average_ranks(rows, c, f"_r_{c}", ["_seg"])
     packed = rows.groupBy("_seg", F.floor((F.col("_i") - 1) / 4096).alias("_at")).agg(F.sort_array(F.collect_list(F.struct("_i", *((2 * F.col(f"_r_{c}")).cast("int").alias(n) for c, n in ((full, "a"), (base, "b"), (target, "y")))))).alias("_rows"))
     packed = staged(packed.select("_seg", "_at", *(F.col(f"_rows.{n}").alias(n) for n in "aby")))
+    start_of, ranks_of = block_start, _sample_ranks
     dealt = packed.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def run(pdf):
@@ -353,9 +367,9 @@ def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: S
             if n <= block:
                 at = np.arange(n)
             else:
-                starts = np.array([block_start(seed, draw, fold, j, n - block + 1) for j in range(-(-n // block))])
+                starts = np.array([start_of(seed, draw, fold, j, n - block + 1) for j in range(-(-n // block))])
                 at = (starts[:, None] + np.arange(block)).ravel()[:n]
-            r = [_sample_ranks(c[at]) for c in x]
+            r = [ranks_of(c[at]) for c in x]
             if all(c.std() > 0 for c in r):
                 out.append((draw, np.corrcoef(r[0], r[2])[0, 1] - np.corrcoef(r[1], r[2])[0, 1]))
         return pd.DataFrame(out, columns=["draw", "v"])
@@ -364,12 +378,6 @@ def block_bootstrap(test: DataFrame, full: str, base: str, target: str, order: S
     return per.agg(F.percentile("v", F.lit(0.05)).alias("lo"), F.percentile("v", F.lit(0.95)).alias("hi"), F.avg("v").alias("mean"))  # of `draws` numbers
 
 
-def _sample_ranks(codes: np.ndarray) -> np.ndarray:
-    """Average ranks, from counts of whole numbers."""
-    n = np.bincount(codes)
-    return (np.cumsum(n) - (n - 1) / 2)[codes]
-
-
 # shaping
 
 

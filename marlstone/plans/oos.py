@@ -6,7 +6,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..operators import stats
 from . import features, research
 from .market import Market
 
+log = logging.getLogger(__name__)
+
 
 def readings(mk: Market, spans: dict[str, tuple]) -> DataFrame:
     """(feature, leg, t, value) of modules at given spans."""
@@ -54,6 +57,22 @@ def load_spans(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def sweep_blocks(spark: SparkSession, blocks: dict[int, Callable[[], DataFrame]], path: str, scores: Sequence[str] = ("ic",)) -> list[int]:
+    """Score blocks that have to be loaded apart, one after the other, and append (feature, leg, block, scores) of each to
+    the matrix at `path`. A block that fails is written as one row without scores, so that the matrix names every block;
+    the numbers of those that failed are returned."""
+    failed = []
+    for number, score in blocks.items():
+        try:
+            append_matrix(score().select("feature", "leg", F.lit(number).alias("block"), *scores), path)
+        except Exception as e:  # noqa: BLE001  one block's fault is not the others'
+            none = (F.lit(None).cast("string").alias(c) for c in ("feature", "leg"))
+            append_matrix(spark.range(1).select(*none, F.lit(number).alias("block"), *(F.lit(None).cast("double").alias(c) for c in scores)), path)
+            failed.append(number)
+            log.warning("block %s failed: %s", number, (str(e).splitlines() or [type(e).__name__])[0])
+    return failed
+
+
 def append_matrix(ics: DataFrame, path: str) -> None:
     """Scores of more blocks, as CSV; failed ones are empty."""
     ics.write.mode("append").option("header", True).csv(path)

@@ -878,14 +878,14 @@ def j_signal_ic(spark, d):
     return stats.signal_ic(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24)
 
 
-_HALF = "num2 AS (SELECT *, CASE WHEN vol >= (SELECT median(vol) FROM num) THEN 1 ELSE 0 END AS half FROM num WHERE vol IS NOT NULL)"
+_HALF = "num2 AS (SELECT *, CASE WHEN vol >= (SELECT quantile_cont(vol, 0.1) FROM num) THEN 1 ELSE 0 END AS half FROM num WHERE vol IS NOT NULL)"
 
 
 @query("j_signal_ic_by_regime", o.sql(f"SELECT (k % 10)::INT AS regime, round(avg(m), 3) AS ic FROM ({_nested('s * 10 + half')}) WHERE n >= 100 GROUP BY ALL", _TGT, _HALF, "num3 AS (SELECT * REPLACE (row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS total) FROM num2)",
        _walk("wfull", "num3", ("g", "tr", "f")), _walk("wbase", "num3", ("g", "tr"), need="f IS NOT NULL")))
 def j_signal_ic_by_regime(spark, d):
-    """Two regimes, above and below the median volatility: thirds of so few reads have under 100 rows in a fold."""
-    t = stats.quantile_bins(_table(market(spark, d)), "vol_level", 2, "regime")
+    """Two regimes, the calmest tenth of reads and the rest: thirds of so few reads have under 100 rows in a fold."""
+    t = stats.quantile_bins(_table(market(spark, d)), "vol_level", 10, "_bin").withColumn("regime", F.when(F.col("_bin") > 0, 1).when(F.col("_bin") == 0, 0))
     return stats.signal_ic(t, ["f"], ["g", "tr"], "y", ["t"], by="regime", embargo=24)
 
 
