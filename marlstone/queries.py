@@ -931,11 +931,11 @@ def j_marginal_ci(spark, d):
     return stats.marginal_ci(_table(market(spark, d)), ["f"], ["g", "tr"], "y", ["t"], embargo=24)
 
 
-_SPANS = (5, 60, 200)
+_SPANS = (40, 60, 200)
 
 
 def _with_spans(mk: Market) -> DataFrame:
-    """(t, f, s5, s60, s200, y): one feature of byb at several spans."""
+    """(t, f, s40, s60, s200, y): one feature of byb at several spans."""
     out = research.price_target(mk, HOUR).withColumnRenamed("price_target", "y")
     for s in (FAST, *_SPANS):
         out = out.join(mk.of_target(features.get("trade_flow_imbalance").build(mk, s)).withColumnRenamed("value", "f" if s == FAST else f"s{s}"), "t")
