@@ -231,7 +231,7 @@ def test_mix_includes_documents_as_their_weights_say(spark, monkeypatch):
     size = {k: r.choice([1, 3, 9, 20, 40]) for k in range(300)}
     docs = spark.createDataFrame([(k, "ab"[k % 2], "w " * n) for k, n in size.items()], "doc_id long, source string, text string").cache()
     seen, due = Counter(), {}
-    for seed in range(30):
+    for seed in range(10):
         for x in mixing.copies(docs, seed, weight=mixing.by_length()).collect():
             seen[x.doc_id] += x.copies
             due[x.doc_id] = x.source, x.target
@@ -244,7 +244,7 @@ def test_mix_includes_documents_as_their_weights_say(spark, monkeypatch):
             low, high = (level, high) if sum(min(3, level * weight[k]) * size[k] for k in own) < target else (low, level)
         for w in set(weight.values()):
             group = [k for k in own if weight[k] == w]
-            assert abs(sum(seen[k] for k in group) / 30 / len(group) - min(3, level * w)) < 0.12
+            assert abs(sum(seen[k] for k in group) / 10 / len(group) - min(3, level * w)) < 0.12
         assert len({min(3, level * w) for w in weight.values()}) > 2
     same = got(mixing.copies(docs, weight=mixing.by_length()))
     monkeypatch.setattr(mixing, "FEW", 0)  # tables of sources too large to broadcast
@@ -463,7 +463,7 @@ def test_simhash_groups(rows, docs, crowd):
     assert got(simhash.near_groups(docs, crowd=crowd)) == want
 
 
-@pytest.mark.parametrize("crowd,bits", [(512, 2), (1, 2), (512, 4), (1, 4), (512, 3), (1, 3), (0, 1), (512, 0)])
+@pytest.mark.parametrize("crowd,bits", [(512, 2), (1, 2), (1, 4), (512, 3), (1, 3), (512, 0)])
 def test_simhash_links_every_pair(spark, crowd, bits):
     r = random.Random(bits)
     base = [r.getrandbits(64) for _ in range(60)]
@@ -537,7 +537,7 @@ def jaccard_groups(rows):
     return {rows[k][0]: rows[root(k)][0] for k in range(len(rows))}, pairs
 
 
-@pytest.mark.parametrize(("often", "max_bits", "crowd"), [(3, 0, 512), (100, 4, 512), (3, 3, 2)])
+@pytest.mark.parametrize(("often", "max_bits", "crowd"), [(100, 4, 512), (3, 3, 2)])
 def test_similar_groups(spark, empty, clashing, monkeypatch, often, max_bits, crowd):
     monkeypatch.setattr(_sets, "OFTEN", often)
     rows = list(enumerate(near_texts()))
