@@ -19,8 +19,9 @@ from ._common import row_hash, ship
 from ._words import hashes, lower_ascii, shingles
 from .exact import _filter, _places
 
-#: Texts of the sample that tells common shingles, how often they occur there, and how many are told apart.
-SAMPLE, OFTEN, COMMON = 5_000, 4, 500_000
+#: The sample that tells common shingles: texts it has at least, and the share of larger corpora (one in EVERY, so that a shingle
+#: is told as soon as some EVERY * OFTEN texts have it, however many there are); how often they occur there, and how many are told apart.
+SAMPLE, EVERY, OFTEN, COMMON = 5_000, 8, 4, 500_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -32,8 +33,26 @@ def name_of(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
 
 
+#: Columns of a set's odd sketch, 64 bits each.
+ODD = ("q0", "q1", "q2", "q3")
+
+
+def odd_sketch(own: np.ndarray) -> np.ndarray:
+    """Bit b is 1 if an odd number of shingles fall on b (Mitzenmacher, Pagh, Pham, "Efficient Estimation for High Similarities
+    Using Odd Sketches", 2014). Each shingle that only one of two sets has flips one bit of their difference, so no more bits differ
+    than shingles do: as a filter it loses nothing."""
+    bits = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def may_be_similar(least: float, n, n2, odd, odd2):
+    """False only where J < least: of sets of n and n2 shingles no more than (1 - J) / (1 + J) (n + n2) differ."""
+    differ = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(odd, odd2, strict=True)), F.lit(0))
+    return (F.least(n, n2) >= least * F.greatest(n, n2) - 1e-9) & (differ <= (1 - least) / (1 + least) * (F.col(n) + F.col(n2)) + 1e-6)
+
+
 def common_values(src: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many texts of a bounded sample share, sorted."""
+    """Shingles that many texts of a sample share, sorted."""
 
     def run(batches):
         for b in batches:
@@ -41,7 +60,7 @@ def common_values(src: DataFrame, shingle: int) -> np.ndarray:
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], ["value"])
 
-    every = max(1, src.count() // SAMPLE)
+    every = max(1, min(EVERY, src.count() // SAMPLE))
     some = src.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0) if every > 1 else src.select("text")
     counts = some.mapInArrow(run, "value long").groupBy("value").count().where(F.col("count") >= OFTEN)
     got = counts.orderBy(F.desc("count"), "value").limit(COMMON).select("value").toArrow()
@@ -49,8 +68,8 @@ def common_values(src: DataFrame, shingle: int) -> np.ndarray:
 
 
 def summaries(src: DataFrame, shingle: int, least: float, common: np.ndarray, fingerprint) -> DataFrame:
-    """(doc_id, rid, sid, n, fp, prefix) of every row: name, size and fingerprint of its set, and the shingles of which
-    any set as similar as `least` has one among its own."""
+    """(doc_id, rid, sid, n, fp, prefix, ODD) of every row: name, size and fingerprint of its set, the shingles of which
+    any set as similar as `least` has one among its own, and its odd sketch."""
     held = src.sparkSession.sparkContext.broadcast(common)  # COMMON numbers at most
 
     def run(batches):
@@ -58,20 +77,21 @@ def summaries(src: DataFrame, shingle: int, least: float, common: np.ndarray, fi
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sid, n, fp, first = [], [], [], []
+                sid, n, fp, first, odd = [], [], [], [], [np.zeros((0, len(ODD)), np.int64)]
                 for t in part.column(2).to_pylist():
                     own = shingle_set(t, shingle)
                     sid.append(name_of(own))
                     n.append(len(own))
                     fp.append(fingerprint(own))
+                    odd.append(odd_sketch(own)[None])
                     late = values[np.minimum(np.searchsorted(values, own), len(values) - 1)] == own if len(values) else np.zeros(len(own), bool)
                     first.append(np.concatenate([own[~late], own[late]])[: len(own) - ceil(least * len(own) - 1e-9) + 1].view(np.int64))
-                cols = [part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "sid", "n", "fp", "prefix"])
+                cols = [part.column(0), part.column(1), pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(first, pa.list_(pa.int64())), *map(pa.array, np.concatenate(odd).T.copy())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rid", "sid", "n", "fp", "prefix", *ODD])
 
     rows = src.select("doc_id", row_hash(F.col("text")).alias("rid"), "text")
     zero = F.lit(0).cast("long")
-    kinds = rows.select("doc_id", "rid", zero.alias("sid"), F.lit(0).alias("n"), zero.alias("fp"), F.array(zero).alias("prefix"))
+    kinds = rows.select("doc_id", "rid", zero.alias("sid"), F.lit(0).alias("n"), zero.alias("fp"), F.array(zero).alias("prefix"), *(zero.alias(q) for q in ODD))
     return rows.mapInArrow(run, kinds.schema)
 
 

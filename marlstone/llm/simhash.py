@@ -17,10 +17,12 @@ other, and a point is shared by at most as many fingerprints as a ball has point
 similar_groups() asks for more than a few bits can tell: a Jaccard similarity of `least`, 0.8 by default, of five-word
 shingles. Sets of that similarity differ in about ten bits of 64, which no pigeonhole search reaches without probing
 most of the corpus. So the search proposes the pairs within `max_bits`, and what it cannot reach is found by prefixes of
-the sets (_sets); a pair that prefixes propose is dropped if its fingerprints are `FAR` bits apart or more, and every pair
-left is verified by the Jaccard similarity of the whole sets. For each shared shingle one set, the hub, is held against the
-others, what links is closed into groups, and then only pairs across groups are compared, so a large group of near copies
-costs a few comparisons a member.
+the sets (_sets); a pair that prefixes propose is dropped if odd sketches of the two sets show that too many shingles
+differ, which is exact, or if the fingerprints are `FAR` bits apart or more, and every pair left is verified by the Jaccard
+similarity of the whole sets. Comparisons go in rounds, after each of which what links is closed into groups: first a set is
+held against one that the search proposes, then, `ROUNDS` times, against one of the hubs of its shared shingles, chosen anew
+each time, and only then all pairs across groups are compared. So a large group of near copies costs a comparison a member
+and round.
 
 Nulls: a null text has no word, so fingerprint zero; a null doc_id is kept, and counts as no id when a group's
 smallest is taken. Rows that repeat are each returned. Other columns are ignored.
@@ -35,19 +37,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ship
+from ._common import cut, drop, ship
 from ._components import components
-from ._sets import common_values, similar, summaries
+from ._sets import ODD, common_values, may_be_similar, similar, summaries
 from ._words import hashes, lower_ascii, shingles
 
 BITS = 64
 #: Distinct fingerprints of one partition value up to which its candidates are paired.
 CROWD = 512
+#: Rounds in which a set is held against one hub of its values, before all pairs across groups are compared.
+ROUNDS = 3
 #: Cost of one probe in candidates, for the dynamic programme.
 PROBE_COST = 4.0
 #: Sets of LARGE shingles and more with J >= 0.8 differ in FAR bits or more with a chance of some 1e-6: a bit differs with
 #: chance acos(0.889) / pi = 0.15.
 FAR, LARGE = 25, 64
+#: What goes with a set to its shared shingles.
+CARRIED = ("sid", "n", "fp", *ODD)
 
 
 def fingerprint_of(got: np.ndarray) -> int:
@@ -273,21 +279,36 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, crowd: int
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _across(met: DataFrame, comps: DataFrame, every_pair: bool, least: float) -> DataFrame:
-    """(u, v) of sets that share a value of met (value, sid, n, fp) and are not in one group of comps (sid, comp) yet.
-    every_pair: all but those inside the group that has the value most often; else each value's hub against the others."""
-    now = cut(met.join(comps, "sid"))
-    as_other = [F.col(c).alias(f"{c}2") for c in ("sid", "n", "fp", "comp")]
-    if every_pair:
-        large = now.groupBy("value", "comp").count().groupBy("value").agg(F.max(F.struct("count", "comp")).alias("o"), F.count("*").alias("c")).where("c > 1")
-        other = now.join(large, "value").where("comp <> o.comp").select("value", *as_other)
-    else:
-        hub = F.min(F.struct(_rank().alias("h"), "sid", "n", "fp", "comp")).alias("o")
-        hubs = now.groupBy("value").agg(hub, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-        other = hubs.select("value", "o.*").select("value", *as_other)
-    like = (F.col("comp") != F.col("comp2")) & (F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-9)
+def _met_again(met: DataFrame, comps: DataFrame, least: float):
+    """met (value, CARRIED) with groups, the other set's columns, and whether a set and another may be alike."""
+    two = [f"{q}2" for q in ODD]
+    like = (F.col("comp") != F.col("comp2")) & may_be_similar(least, "n", "n2", ODD, two)
     like &= (F.least("n", "n2") < LARGE) | (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) < FAR)
-    return now.join(other, "value").where(like).select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct()
+    return cut(met.join(comps, "sid")), [F.col(c).alias(f"{c}2") for c in (*CARRIED, "comp")], like
+
+
+def _to_hubs(met: DataFrame, comps: DataFrame, seed: int, least: float) -> DataFrame:
+    """(u, v): each set with one other, the first of the hubs of its values that is in another group of comps (sid, comp). A value's
+    hub is the first of its sets in an order that hangs on the value and the seed, so that a set meets many."""
+    now, as_other, like = _met_again(met, comps, least)
+    hub = F.min(F.struct(F.xxhash64("sid", "value", F.lit(seed)).alias("h"), *CARRIED, "comp")).alias("o")
+    hubs = now.groupBy("value").agg(hub, F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
+    other = hubs.select("value", "o.*").select("value", "h", *as_other)
+    first = now.join(other, "value").where(like).groupBy("sid").agg(F.min(F.struct("h", "sid2")).alias("o"))
+    out = cut(first.select(F.least("sid", "o.sid2").alias("u"), F.greatest("sid", "o.sid2").alias("v")).distinct())
+    drop(now)
+    return out
+
+
+def _across(met: DataFrame, comps: DataFrame, least: float) -> DataFrame:
+    """(u, v): all sets that share a value of met and are not in one group of comps yet; pairs inside the group that has the value
+    most often are not even formed."""
+    now, as_other, like = _met_again(met, comps, least)
+    large = now.groupBy("value", "comp").count().groupBy("value").agg(F.max(F.struct("count", "comp")).alias("o"), F.count("*").alias("c")).where("c > 1")
+    other = now.join(large, "value").where("comp <> o.comp").select("value", *as_other)
+    out = cut(now.join(other, "value").where(like).select(F.least("sid", "sid2").alias("u"), F.greatest("sid", "sid2").alias("v")).distinct())
+    drop(now)
+    return out
 
 
 def _joined(comps: DataFrame, linked: DataFrame) -> DataFrame:
@@ -308,25 +329,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, max_bi
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = cut(summaries(src, shingle, least, common_values(src, shingle), fingerprint_of))
     one = F.min(F.struct(F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("_k"), "doc_id", "rid")).alias("w")
-    sets = cut(rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), one, F.first("prefix").alias("prefix")))
+    sets = cut(rows.groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("fp").alias("fp"), one, F.first("prefix").alias("prefix"), *(F.first(q).alias(q) for q in ODD)))
     where = sets.select("sid", "w.doc_id", "w.rid")
 
     hubs = cut(sets.groupBy("fp").agg(F.min("sid").alias("hub")))
     same = sets.select("sid", "fp").join(hubs, "fp").where("sid <> hub").select(F.col("hub").alias("u"), F.col("sid").alias("v"))
     found = links(hubs.select("fp"), max_bits, crowd, whole=False)
+    found = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"))).where(_rank("v") < _rank("u"))
+    found = found.groupBy("u").agg(F.min(F.struct(_rank("v").alias("h"), "v")).alias("o")).select("u", F.col("o.v").alias("v"))
     for end in ("u", "v"):
         found = found.join(hubs.select(F.col("fp").alias(end), F.col("hub").alias(f"{end}_")), end).drop(end).withColumnRenamed(f"{end}_", end)
     pairs = found.select("u", "v").unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    met = sets.select(F.explode("prefix").alias("value"), "sid", "n", "fp")
+    met = sets.select(F.explode("prefix").alias("value"), *CARRIED)
     shared = met.groupBy("value").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("value")
     met = cut(met.join(shared, "value"))
     comps = sets.select("sid", F.col("sid").alias("comp"))
-    for every_pair in (False, True):
-        new = _across(met, comps, every_pair, least)
-        new = cut(new if every_pair else new.unionByName(pairs).distinct())  # what the search proposes goes with the hubs
+    for step in range(ROUNDS + 2):
+        new = cut(pairs) if not step else _to_hubs(met, comps, step, least) if step <= ROUNDS else _across(met, comps, least)
         if not new.isEmpty():
             comps = _joined(comps, cut(similar(new, src, where, shingle, least)))
+    drop(met)
     joined = sets.select("sid", "first_id").join(comps, "sid")
     named = joined.join(joined.groupBy("comp").agg(F.min("first_id").alias("component_id")), "comp").select("sid", "component_id")
     return rows.select("doc_id", "fp", "sid").join(named, "sid").select("doc_id", "fp", "component_id")

@@ -569,6 +569,50 @@ def test_similar_groups_of_long_texts_and_repeated_rows(spark, docs):
     assert sorted(x.doc_id or 0 for x in simhash.keep_one(table, least=0.8).collect()) == [0, 1, 3, 3, 4]
 
 
+def test_a_crowd_of_texts_just_too_different_is_hardly_compared(spark, monkeypatch):
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    texts = []
+    for k in range(60):  # three edits each: two texts share 66 of 126 shingles or so
+        w = list(base)
+        for at in r.sample(range(100), 3):
+            w[at] = f"x{k}.{at}"
+        texts.append(" ".join(w))
+    compared = []
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return _sets.similar(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "similar", counting)
+    want, _ = jaccard_groups(list(enumerate(texts)))
+    made = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got(made.select("doc_id", "component_id")) == sorted(want.items(), key=repr)
+    assert sum(compared) < 3 * len(texts)  # of 1,770 pairs
+
+
+def test_odd_sketches_never_hide_a_similar_pair(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for n in (1, 5, 60, 300, 3000):
+        for lost in (0, n // 20, n // 10, n // 3):
+            own = r.integers(0, 1 << 63, n, dtype=np.uint64)
+            two = np.concatenate([own[lost:], r.integers(0, 1 << 63, lost, dtype=np.uint64)])
+            j = (n - lost) / (n + lost)
+            rows.append((n, n, j, *map(int, _sets.odd_sketch(own)), *map(int, _sets.odd_sketch(two))))
+    one, two = _sets.ODD, [f"{q}2" for q in _sets.ODD]
+    df = spark.createDataFrame(rows, "n int, n2 int, j double, " + ", ".join(f"{q} long" for q in (*one, *two)))
+    out = df.select("n", "j", _sets.may_be_similar(0.8, "n", "n2", one, two).alias("may")).collect()
+    assert all(x.may for x in out if x.j >= 0.8) and not any(x.may for x in out if x.j <= 0.5 and 60 <= x.n <= 300)
+
+
+def test_common_shingles_are_told_in_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(_sets, "SAMPLE", 4)
+    rows = [(k, f"{' '.join(f'u{k}.{j}' for j in range(6))} one passage of five words" if k % 4 == 0 else f"u{k}") for k in range(800)]
+    common = _sets.common_values(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    assert int(_sets.shingle_set("one passage of five words", 5)[0]) in common.tolist()
+
+
 def test_pipeline_drops_near_copies_at_the_limit(spark):
     import corpus_pipeline
 
