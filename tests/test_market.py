@@ -55,6 +55,12 @@ def test_same_time_rows_are_one_event(spark):
     assert rows(ev.collapse_trades(t), "rx", "aggressor", "prc", "qty") == [(10, "Ask", 5.0, 1.0), (10, "Bid", 1.75, 4.0), (10, "Bid", 7.0, 2.0), (11, "Bid", 7.0, 2.0)]
 
 
+def test_serial_covariance_of_every_print_at_one_time(spark):
+    t = trade_of(spark, [("a", 1, 10, "Bid", 1.0, 1.0), ("a", 2, 10, "Bid", 2.0, 1.0), ("a", 3, 10, "Bid", 4.0, 1.0), ("a", 4, 20, "Bid", 3.0, 1.0)])
+    assert rows(ev.serial_covariance(t, collapse=False), "seq", "cov") == [(1, 0.0), (2, 0.0), (3, 2.0), (4, -2.0)]
+    assert ev.serial_covariance(t).count() < 4
+
+
 def test_order_flow_forms_differ_at_one_time(spark):
     b = book_of(spark, [("a", 1, 10, 1.0, 5.0, 2.0, 5.0), ("a", 2, 20, 1.1, 4.0, 2.0, 5.0), ("a", 3, 20, 1.0, 6.0, 2.0, 5.0), ("a", 4, 30, 1.0, 7.0, 1.9, 2.0)])
     assert rows(ev.ofi_path(b), "rx", "ofi") == [(20, 4.0 - 4.0), (30, 1.0 - 2.0)]
