@@ -8,22 +8,29 @@ suffix sets that suffix's common prefix with its predecessor to the length of w.
 length: suffixes not reached by then share at least that many bytes with their predecessors. Rotations are sorted to
 128 bytes only, by doubling, as intervals of strings up to the minimum length do not depend on more.
 
+Super-k-mers of one minimiser that are too many to be indexed together are cut again, inside their bucket, by the
+minimisers of longer runs, until what shares one is small enough; runs as long as a window leave equal windows only.
+
 Order is by doc_id, then start. Strings are judged on the input; matches never cross documents. Nulls: a null text is
 empty. Texts shorter than `width` keep all bytes. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._superkmers import NO_ID, Held, Job, by_byte, covered, run
+from ._superkmers import _TABLE, NO_ID, Held, Job, by_byte, covered, first_of, run, super_kmers
 
 #: Bytes indexed together.
 INDEX = 1 << 20
+#: Different super-k-mers of one minimiser, beyond one for each batch, from which windows are dealt one by one. A window sent alone
+#: costs 141 bytes, 35 times a super-k-mer's share, so this follows what a task can hold (some 18 MB), not what is indexed together.
+HOT = 100_000
 
 
 def sorted_rotations(x: np.ndarray, depth: int) -> np.ndarray:
@@ -91,8 +98,37 @@ def equal_windows(contents: list[bytes], windows: np.ndarray, width: int) -> tup
     return group, owner[at], offset[at]
 
 
-def resolve(held: Held, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset) of windows that also start earlier, by (id, rid, place)."""
+def finer(held: Held, width: int, k: int) -> tuple[np.ndarray, np.ndarray, Held]:
+    """(row, offset, super-k-mers) of held contents cut by the minimisers of runs of k bytes."""
+    parts = []
+    ends = np.cumsum(np.fromiter(map(len, held.data), np.int64, len(held.data)))
+    at = 0
+    while at < len(ends):  # INDEX bytes at once
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + INDEX, "right")))
+        raw = b"".join(held.data[at:to])
+        end = ends[at:to] - (ends[at - 1] if at else 0)
+        begin = np.append(0, end[:-1])
+        r = super_kmers(_TABLE[np.frombuffer(raw, np.uint8)], begin, end, width, k)
+        data = [raw[a:b] for a, b in zip(r.start.tolist(), (r.start + r.count + width - 1).tolist(), strict=True)]
+        parts.append((at + r.doc, r.start - begin[r.doc], r.least, r.count, r.twice, data))
+        at = to
+    row, step, least, count, twice = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:-1])
+    return row, step, Held([d for x in parts for d in x[-1]], least, held.id[row], held.rid[row], held.pos[row] + step, count, twice, held.batch[row])
+
+
+def resolve_crowd(held: Held, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """resolve() for contents that share the minimiser of runs of fewer than k bytes."""
+    row, step, cut = finer(held, width, k)
+    later, first = first_of(cut.data, cut.id, cut.rid, cut.pos, True)
+    n = cut.windows[later]
+    each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    again, offset = resolve(cut.take(first), width, k)
+    again = first[again]
+    return np.concatenate([np.repeat(row[later], n), row[again]]), np.concatenate([np.repeat(step[later], n) + each, step[again] + offset])
+
+
+def resolve(held: Held, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) of windows that also start earlier, by (id, rid, place); minimisers are those of runs of k bytes."""
     code: dict[bytes, int] = {}
     content = np.fromiter((code.setdefault(d, len(code)) for d in held.data), np.int64, len(held.data))
     order = np.lexsort((content, held.key))
@@ -115,6 +151,12 @@ def resolve(held: Held, width: int) -> tuple[np.ndarray, np.ndarray]:
         if length[-1] <= limit:
             end = len(rows)
         own = rows[at:end]
+        if k < width and length[end - 1] > limit:  # one minimiser with more than that
+            who, step = resolve_crowd(held.take(own), width, (k + width + 1) // 2)
+            out_row.append(own[who])
+            out_step.append(step)
+            at = end
+            continue
         group, who, step = equal_windows([held.data[i] for i in own.tolist()], held.windows[own], width)
         who = own[who]
         i, r, p = held.id[who], held.rid[who], held.pos[who] + step
@@ -150,8 +192,9 @@ def _finish(width: int):
 
 def remove_repeats(docs: DataFrame, width: int = 100, k: int = 32, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes, which may cut a code point."""
-    job = Job(width, min(k, width), by_byte, None, True, resolve, _finish(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return run(docs, job, **options)
+    k = min(k, width)
+    job = Job(width, k, by_byte, None, True, functools.partial(resolve, k=k), _finish(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return run(docs, job, **{"hot": HOT} | options)
 
 
 def digests(docs: DataFrame, width: int = 100, **options) -> DataFrame:
@@ -162,5 +205,6 @@ def digests(docs: DataFrame, width: int = 100, **options) -> DataFrame:
         out = plain(table, runs, pa.schema([*list(schema)[:-1], ("kept", pa.binary())]))
         return pa.table([*out.columns[:-1], [hashlib.sha256(x.as_py()).hexdigest() for x in out["kept"]]], schema=schema)
 
-    job = Job(width, min(32, width), by_byte, None, True, resolve, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return run(docs, job, **options)
+    k = min(32, width)
+    job = Job(width, k, by_byte, None, True, functools.partial(resolve, k=k), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return run(docs, job, **{"hot": HOT} | options)

@@ -8,12 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from marlstone.llm import _sets, bpe, chat, exact, lines, mixing, ngrams, quality, simhash, substrings, toxicity
+from marlstone.llm import _sets, _superkmers, bpe, chat, exact, lines, mixing, ngrams, quality, simhash, substrings, toxicity
 from marlstone.llm._components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -389,6 +391,44 @@ def test_repeated_bytes_of_odd_texts(spark, empty, clashing):
     assert sha(bytes(kept[0])) == {x[0]: x[4] for x in cut_bytes(own, 20)}[0]
 
 
+def in_steps(monkeypatch, rows, n_batches, n):
+    """The steps of op4's digests without Spark: (rows as cut_bytes has them, bytes sent with the super-k-mers)."""
+    seen = {}
+    with monkeypatch.context() as m:
+        m.setattr(substrings, "run", lambda docs, job, hot=_superkmers.HOT: seen.update(job=job, hot=hot))
+        substrings.digests(None)
+    job, together = seen["job"], pa.concat_tables
+    own = [pa.table({"id": pa.array([i for i, _ in x], pa.int64()), "rid": pa.array([0] * len(x), pa.int64()), "data": [t.encode() for _, t in x]}) for x in (rows[b::n_batches] for b in range(n_batches))]
+    sent = together(_superkmers._send(job, b, t, n) for b, t in enumerate(own))
+    told = together(_superkmers._tell(sent.filter(pc.equal(sent["bucket"], b)), seen["hot"]) for b in range(n))
+    packed = together(_superkmers._superstrings(job, b, t, told.filter(pc.equal(told["batch"], b)), n) for b, t in enumerate(own))
+    found = together(_superkmers._settle(job, packed.filter(pc.equal(packed["bucket"], b))) for b in range(n))
+    out = together(job.finish(t, _superkmers.spans_by_row(found.filter(pc.equal(found["batch"], b))), _superkmers._schema(job.out)) for b, t in enumerate(own))
+    return sorted((tuple(x.values()) for x in out.to_pylist()), key=repr), packed.nbytes
+
+
+def crowd(n):
+    """Texts with one common phrase and nothing else, the second quarter with more before it and the third with more after it."""
+    r = random.Random(6)
+    word = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    phrase, before, after = word(95), word(50), word(50)
+    return [(k, word(120) + before * (4 * k // n == 1) + phrase + after * (4 * k // n == 2) + word(120)) for k in range(n)]
+
+
+def test_a_crowded_phrase_is_sent_in_proportion(monkeypatch):
+    rows = crowd(5000)
+    out, sent = in_steps(monkeypatch, rows, 20, 7)
+    assert out == cut_bytes(rows, 100) and sent < 2 * sum(len(t) for _, t in rows)
+
+
+def test_a_crowded_phrase_is_indexed_in_parts(monkeypatch):
+    rows, sizes, plain = crowd(400) + [(k, "ab" * (40 + k % 30)) for k in range(400, 440)], [], substrings.equal_windows
+    monkeypatch.setattr(substrings, "INDEX", 6000)
+    monkeypatch.setattr(substrings, "equal_windows", lambda c, *x: sizes.append(sum(map(len, c)) + len(c)) or plain(c, *x))
+    out, _ = in_steps(monkeypatch, rows, 3, 2)
+    assert out == cut_bytes(rows, 100) and sizes and max(sizes) <= 6000
+
+
 def test_common_prefixes_by_backward_extension():
     r = np.random.default_rng(4)
     for least in (1, 3, 7):
